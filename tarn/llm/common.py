@@ -127,3 +127,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = stage(nodes, "cc-nodes") if len(steps) > 1 else nodes
     lowest = nodes.groupBy("root").agg(F.min("node").alias("component"))
     return nodes.join(lowest, "root").select("node", "component")
+
+
+#: Pattern of a word: a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def word_count(text: Column) -> Column:
+    """Number of words of a text; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def unpacked(df: DataFrame, *new: Column, row: str = "row") -> DataFrame:
+    """The fields of the struct `row` and then the columns `new`, which replace fields of the same name (in any case)."""
+    taken = {c.lower() for c in df.select(*new).columns}
+    return df.select(*[F.col(f"{row}.`{f}`") for f in df.schema[row].dataType.fieldNames() if f.lower() not in taken], *new)
+
+
+def sqrt_bits(n: int) -> int:
+    """Bits of a bucket number such that buckets, and rows in a bucket, are each about the square root of n."""
+    return max(0, (int(n) - 1).bit_length() // 2) if n > 1 else 0
+
+
+def top_bits(h: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(h), 64 - bits) if bits else F.lit(0).cast("long")
