@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, seed: int) -> DataFrame:
-    """docs packed as `row`, with fp, id and component_id."""
+    """docs packed as `row`, with fp, id, component (a fingerprint) and component_id."""
     rows = stage(fingerprints(docs, text_col, words, seed), "simhash")
     rows = rows.withColumn("id", F.col(f"row.`{id_col}`").cast("long"))
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
@@ -270,7 +270,7 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, distance
     whole = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     whole = stage(whole, "simhash-nodes")
     lows = whole.groupBy("component").agg(F.min("low").alias("component_id"))
-    whole = whole.join(lows, "component").select("fp", "component_id")
+    whole = whole.join(lows, "component").select("fp", "component", "component_id")
     return rows.join(whole, "fp")
 
 
@@ -285,5 +285,4 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked, one of these stays.
     """
     out = components(docs, id_col, text_col, words, distance, seed).where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = out.where("id is not null").dropDuplicates(["component_id"]).unionByName(out.where("id is null").dropDuplicates(["fp"]))
-    return first.select("row.*")
+    return out.dropDuplicates(["component"]).select("row.*")
