@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import common, mixing, quality, sharding, simhash, substring, suffix
+from tarn.llm import common, covertree, mixing, quality, sharding, simhash, substring, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "n_words_left")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_shard": op5_shard, "op6_quality": op6_quality}
+def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return linked.select("vec_id", "n_links", "component_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_shard": op5_shard, "op6_quality": op6_quality, "op8_covertree": op8_covertree}
 
 ORACLE_SQL: dict[str, str] = {}
