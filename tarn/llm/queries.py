@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import common, covertree, mixing, quality, sharding, simhash, substring, suffix
+from tarn.llm import common, covertree, extraction, mixing, quality, sharding, simhash, substring, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("vec_id", "n_links", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_shard": op5_shard, "op6_quality": op6_quality, "op8_covertree": op8_covertree}
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_shard": op5_shard, "op6_quality": op6_quality, "op8_covertree": op8_covertree, "op9_extract": op9_extract}
 
 ORACLE_SQL: dict[str, str] = {}
