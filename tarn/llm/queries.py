@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import common, covertree, extraction, mixing, quality, sharding, simhash, substring, suffix
+from tarn.llm import common, covertree, extraction, mixing, packing, quality, sharding, simhash, substring, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "n_words_left")
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", common.word_count(F.col("text")).alias("size"), common.text_hash("text").alias("h"))
+    return packing.pack(docs, F.col("size"))
+
+
 def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
     return linked.select("vec_id", "n_links", "component_id", "kept")
@@ -56,6 +61,10 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_shard": op5_shard, "op6_quality": op6_quality, "op8_covertree": op8_covertree, "op9_extract": op9_extract}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_pack": op7_pack, "op8_covertree": op8_covertree, "op9_extract": op9_extract, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
