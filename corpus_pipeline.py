@@ -1,18 +1,77 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed training sequences.
+
+Quality rules, SimHash near-dedup, substring dedup, mixing sources to target weights and
+best-fit packing, each on all that the stage before kept. All stages but the last return the
+columns of documents; repeated rows, nulls and empty tables are treated as the operators state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import common, mixing, packing, quality, simhash, substring
+
+#: Differing bits of near-duplicate fingerprints in this pipeline. Two texts that share over 0.8 of
+#: their five-word shingles differ in about 4 to 8 of 64 bits; unrelated ones differ in 17 or more.
+DISTANCE = 6
+
+
+def replaced(df: DataFrame, like: DataFrame, text: str) -> DataFrame:
+    """The columns of `like`, with the text from another column and its length to match."""
+    df = df.withColumn("text", F.col(text))
+    if "n_chars" in like.columns:
+        df = df.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
+    return df.select(*like.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without lines that too many documents of their source have."""
+    judged = quality.judge(docs, "source", "text").where("kept")
+    return replaced(judged, docs, "kept_text")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: that with the smallest doc_id."""
+    return simhash.first_of_each(docs, distance=DISTANCE)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words that an earlier document has; a text left without a word goes."""
+    cut = substring.drop_repeats(docs, layout=True)
+    return replaced(cut.where("n_removed < n_words"), docs, "kept_text")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, in the order of the mix."""
+    narrow = docs.withColumn("n_words", common.word_count(F.col("text")))
+    mixed = mixing.mix(narrow, F.col("n_words"), F.col("source"), [F.col("doc_id"), common.text_hash("text")])
+    return mixing.in_order(mixed).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of permitted lengths, as word ranges of documents."""
+    narrow = docs.select("doc_id", common.word_count(F.col("text")).alias("n_words"), common.text_hash("text").alias("h"))
+    return packing.pack(narrow, F.col("n_words"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-#: Fingerprints, cover and packing can't be expressed in SQL; tests hold run() against a brute-force version.
+#: Fingerprints, shuffles by hash and packing can't be expressed in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of sf_dir."""
+    """All stages in order over the documents of sf_dir, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.stage(docs, f"pipeline-{k}")
     return docs

@@ -24,7 +24,7 @@ from tarn.llm.common import connected_components, local_components, packed, stag
 
 SHINGLES_AT_ONCE = 1 << 17
 #: Cost of verifying a candidate against that of shuffling an index or probe row.
-CANDIDATE_COST = 0.02
+CANDIDATE_COST = 0.002
 #: Rows of a bucket held at once; larger buckets are dealt out in blocks.
 BLOCK = 2048
 
