@@ -9,6 +9,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType
 
 
 def encode(b: Column, form: str) -> Column:
@@ -32,7 +33,7 @@ def set_byte(b: Column, i: int, value: int) -> Column:
 
 
 def hmac(b: Column, key: bytes, kind: str = "sha256") -> Column:
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def apply(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else _hmac.new(key, bytes(v), kind).digest())
 
@@ -50,7 +51,7 @@ def digest(b: Column, kind: str) -> Column:
 def uuid_v5(namespace: str, name: Column) -> Column:
     ns = uuid.UUID(namespace)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def apply(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else str(uuid.uuid5(ns, v)))
 
@@ -64,7 +65,7 @@ def uuid_v3(namespace: str, name: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), nibble, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(b: pd.Series) -> pd.Series:
     table = []
     for n in range(256):
@@ -119,7 +120,7 @@ def xpath_exists(x: Column, path: str) -> Column:
     return F.xpath_boolean(x, F.lit(path))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def xml_is_well_formed(x: pd.Series) -> pd.Series:
     def one(v):
         try:

@@ -77,7 +77,7 @@ def to_char(ts: Column, fmt: str) -> Column:
 
 
 def to_timestamp(s: Column, fmt: str) -> Column:
-    return F.to_timestamp(s, F.lit(template(fmt))).cast("timestamp_ntz")
+    return F.to_timestamp(s, template(fmt)).cast("timestamp_ntz")
 
 
 def to_date(s: Column, fmt: str) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 
 def get(j: Column, *path: str | int) -> Column:
@@ -43,7 +44,7 @@ def row_to_json(*columns: str) -> Column:
 
 
 def _edit(f: Callable[[object], object]) -> Callable[[Column], Column]:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def apply(j: pd.Series) -> pd.Series:
         return j.map(lambda x: None if x is None else _json.dumps(f(_json.loads(x)), ensure_ascii=False))
 
@@ -104,7 +105,7 @@ def strip_nulls(j: Column) -> Column:
 def concat(a: Column, b: Column) -> Column:
     """a || b for objects (b's members win) and arrays."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q):
             if p is None or q is None:
@@ -129,7 +130,7 @@ def contains(a: Column, b: Column) -> Column:
             return isinstance(p, list) and all(any(within(x, v) for x in p) for v in q)
         return p == q and isinstance(p, bool) == isinstance(q, bool)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else within(_json.loads(p), _json.loads(q)) for p, q in zip(x, y)])
 
@@ -137,7 +138,7 @@ def contains(a: Column, b: Column) -> Column:
 
 
 def pretty(j: Column) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def apply(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else _json.dumps(_json.loads(v), indent=4, ensure_ascii=False))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 
 def log(x: Column, base: Column | None = None) -> Column:
@@ -59,7 +60,7 @@ def atan2d(y: Column, x: Column) -> Column:
     return F.degrees(F.atan2(y, x))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     known = a.notna() & b.notna()
     out = pd.Series(pd.NA, index=a.index, dtype="Int64")
@@ -67,7 +68,7 @@ def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def lcm(a: pd.Series, b: pd.Series) -> pd.Series:
     known = a.notna() & b.notna()
     out = pd.Series(pd.NA, index=a.index, dtype="Int64")
@@ -75,7 +76,7 @@ def lcm(a: pd.Series, b: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def factorial(n: pd.Series) -> pd.Series:
     """As digits, since numeric has no bound."""
     return n.map(lambda x: None if pd.isna(x) else str(math.factorial(int(x))))

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def concat(*parts: Column) -> Column:
@@ -117,12 +118,12 @@ def initcap(s: Column) -> Column:
     return _initcap(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _initcap(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else re.sub(r"[^\W_]+", lambda m: m[0][:1].upper() + m[0][1:].lower(), x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def chr_(n: pd.Series) -> pd.Series:
     return n.map(lambda x: None if pd.isna(x) else chr(int(x)))
 
@@ -132,14 +133,14 @@ def to_hex(n: Column) -> Column:
 
 
 def normalize(s: Column, form: str = "NFC") -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def apply(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else unicodedata.normalize(form, v))
 
     return apply(s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccent(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)))
 

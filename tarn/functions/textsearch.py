@@ -32,6 +32,10 @@ def to_tsvector(text: Column, config: str = "english") -> Column:
     return F.map_from_arrays(lexemes, F.transform(lexemes, lambda k: F.transform(F.filter(placed, lambda x: x["w"] == k), lambda x: x["p"])))
 
 
+def _less(i: int):
+    return lambda p: p - i
+
+
 class Query:
     """A text query; match(vector) is a Column. Combine with &, |, ~."""
 
@@ -53,7 +57,7 @@ class Query:
             word, prefix = self.parts
             return F.exists(F.map_keys(vector), lambda k: k.startswith(word)) if prefix else F.map_contains_key(vector, word)
         if self.kind == "phrase":
-            starts = [F.transform(F.coalesce(F.try_element_at(vector, F.lit(w)), F.array().cast("array<int>")), lambda p, i=i: p - i) for i, w in self.parts[0]]
+            starts = [F.transform(F.coalesce(F.try_element_at(vector, F.lit(w)), F.array().cast("array<int>")), _less(i)) for i, w in self.parts[0]]
             return F.size(reduce(F.array_intersect, starts)) > 0
         found = [p.match(vector) for p in self.parts]
         return ~found[0] if self.kind == "not" else reduce((lambda a, b: a & b) if self.kind == "and" else (lambda a, b: a | b), found, F.lit(self.kind == "and"))

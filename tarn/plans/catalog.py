@@ -1,11 +1,565 @@
-"""The registered queries over the driver's tables, each with the SQL that its result is held against."""
+"""The registered queries over the driver's tables, each with the SQL that its result is held against.
+
+`same` registers SQL that means the same in Spark and in DuckDB; `query` registers a DataFrame
+plan beside its SQL. Tables stand in braces.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tarn.functions import arrays, binary, datetime, geometry, json, math, network, ranges, string, textsearch
+from tarn.operators import aggregates, constraints, dml, joins, recursive, series, sets, sorting, timeseries, windows
+from tarn.session import Tables, configured
+from tarn.streaming import windows as event_time
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "tpch_q1"
+FLAGSHIP = "flagship_segments"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    def register(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: plan(Tables(configured(spark), sf_dir))
+        if sql:
+            ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", sql)
+        return plan
+
+    return register
+
+
+def same(name: str, sql: str) -> None:
+    query(name, sql)(lambda t: t.sql(sql))
+
+
+# Scans, joins and subqueries ---------------------------------------------------------------------
+
+same("flagship_segments", """SELECT c_mktsegment, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' GROUP BY c_mktsegment""")
+same("tpch_q1", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
+round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""")
+same("tpch_q5", """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey
+JOIN {supplier} ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY n_name""")
+same("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue, count(*) AS n FROM {lineitem} WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24")
+same("filter_predicates", """SELECT p_partkey, p_size FROM {part} WHERE (p_name LIKE '%a%' OR p_brand IN ('Brand#11', 'Brand#23')) AND NOT (p_size BETWEEN 10 AND 20) AND p_retailprice IS NOT NULL""")
+same("case_expression", "SELECT l_returnflag, CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM {lineitem} GROUP BY 1, 2")
+same("is_distinct_from", "SELECT count(*) AS n FROM {lineitem} WHERE nullif(l_linenumber, 1) IS DISTINCT FROM nullif(l_linenumber, 2)")
+same("having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 15")
+same("join_inner", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey")
+same("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+same("join_right", "SELECT c_custkey, count(o_orderkey) AS n FROM {orders} RIGHT JOIN {customer} ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY c_custkey")
+same("join_full", "SELECT a.c_custkey AS a_key, b.s_suppkey AS b_key FROM {customer} a FULL JOIN {supplier} b ON a.c_custkey = b.s_suppkey + 50")
+same("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
+same("join_self", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+same("join_theta", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey < r_regionkey")
+same("join_semi_exists", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+same("join_anti_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+same("sub_scalar", "SELECT count(*) AS n FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) FROM {orders})")
+same("sub_correlated", "SELECT o_orderkey FROM {orders} o WHERE o_totalprice = (SELECT max(o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)")
+same("sub_in", "SELECT s_suppkey FROM {supplier} WHERE s_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)")
+same("sub_derived", "SELECT seg, max(n) AS most FROM (SELECT c_mktsegment AS seg, c_nationkey, count(*) AS n FROM {customer} GROUP BY 1, 2) s GROUP BY seg")
+
+
+@query("join_natural", "SELECT c_custkey AS k, c_nationkey AS nationkey, n_name, n_regionkey FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey")
+def _(t: Tables) -> DataFrame:
+    c = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nationkey"))
+    return joins.natural(c, t.nation.withColumnRenamed("n_nationkey", "nationkey"))
+
+
+@query("join_using_full", "SELECT coalesce(c_custkey, s_suppkey) AS k, c_name, s_name FROM {customer} FULL JOIN {supplier} ON c_custkey = s_suppkey")
+def _(t: Tables) -> DataFrame:
+    return joins.using(t.customer.selectExpr("c_custkey k", "c_name"), t.supplier.selectExpr("s_suppkey k", "s_name"), ["k"], "full")
+
+
+@query("sub_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000)")
+def _(t: Tables) -> DataFrame:
+    return joins.not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.where("o_totalprice > 200000"), "o_custkey")
+
+
+@query("sub_not_in_with_nulls", "SELECT s_suppkey FROM {supplier} WHERE s_suppkey NOT IN (SELECT nullif(l_linenumber, 1) FROM {lineitem})")
+def _(t: Tables) -> DataFrame:
+    return joins.not_in(t.supplier.select("s_suppkey"), "s_suppkey", t.lineitem.selectExpr("nullif(l_linenumber, 1) m"), "m")
+
+
+@query("sub_all", "SELECT count(*) AS n FROM {part} WHERE p_retailprice >= ALL (SELECT p_retailprice FROM {part} WHERE p_size = 1)")
+def _(t: Tables) -> DataFrame:
+    most = t.part.where("p_size = 1").agg(F.max("p_retailprice").alias("m"), F.count_if(F.col("p_retailprice").isNull()).alias("nulls"))
+    return t.part.join(F.broadcast(most), (F.col("p_retailprice") >= F.col("m")) & (F.col("nulls") == 0) | F.col("m").isNull() & (F.col("nulls") == 0)).agg(F.count("*").alias("n"))
+
+
+@query("lateral_top_n", "SELECT c_custkey, o_orderkey, o_totalprice FROM {customer} JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {orders}) ON o_custkey = c_custkey WHERE r <= 3")
+def _(t: Tables) -> DataFrame:
+    return joins.lateral_top_n(t.customer, t.orders, [("c_custkey", "o_custkey")], ["o_totalprice desc", "o_orderkey"], 3).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("join_asof", """SELECT e.event_id, p.event_id AS last_purchase FROM {events} e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM {events} WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def _(t: Tables) -> DataFrame:
+    bought = t.events.where("event_type = 'purchase'").selectExpr("user_id", "ts p_ts", "event_id last_purchase")
+    return joins.asof(t.events, bought, ["user_id"], "ts", "p_ts", ["last_purchase"]).select("event_id", "last_purchase")
+
+
+@query("join_range", "SELECT o_orderkey, band FROM {orders} JOIN (VALUES ('a', 0, 90000), ('b', 80000, 200000), ('c', 200000, 1000000)) AS s(band, low, high) ON o_totalprice >= low AND o_totalprice < high")
+def _(t: Tables) -> DataFrame:
+    spans = t.orders.sparkSession.createDataFrame([("a", 0.0, 90000.0), ("b", 80000.0, 200000.0), ("c", 200000.0, 1000000.0)], "band string, low double, high double")
+    return joins.interval_join(t.orders, spans, "o_totalprice", "low", "high", 100_000).select("o_orderkey", "band")
+
+
+# Aggregation -------------------------------------------------------------------------------------
+
+same("agg_basic", "SELECT l_returnflag, count(*) AS n, count(nullif(l_linenumber, 1)) AS n_known, min(l_quantity) AS lo, max(l_quantity) AS hi, round(sum(l_tax), 4) AS tax, round(avg(l_tax), 8) AS avg_tax FROM {lineitem} GROUP BY l_returnflag")
+same("agg_distinct", "SELECT l_shipdate, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM {lineitem} GROUP BY l_shipdate")
+same("agg_filter", "SELECT event_type, count(*) FILTER (WHERE value > 50) AS n_large, round(sum(value) FILTER (WHERE user_id % 2 = 0), 4) AS even_sum FROM {events} GROUP BY event_type")
+same("agg_bool", "SELECT o_orderpriority, bool_and(o_totalprice > 1000) AS every_one, bool_or(o_totalprice > 400000) AS some_one FROM {orders} GROUP BY o_orderpriority")
+same("agg_bit", "SELECT event_type, bit_and(user_id) AS a, bit_or(user_id) AS o, bit_xor(user_id) AS x FROM {events} GROUP BY event_type")
+same("agg_stats", "SELECT event_type, round(stddev_samp(value), 6) AS sd, round(stddev_pop(value), 6) AS sdp, round(var_samp(value), 6) AS v, round(var_pop(value), 6) AS vp FROM {events} GROUP BY event_type")
+same("agg_regression", """SELECT p_size, round(corr(p_retailprice, p_partkey), 6) AS r, round(covar_pop(p_retailprice, p_partkey), 4) AS cp, round(covar_samp(p_retailprice, p_partkey), 4) AS cs, round(regr_slope(p_retailprice, p_partkey), 8) AS slope,
+round(regr_intercept(p_retailprice, p_partkey), 6) AS icept, round(regr_r2(p_retailprice, p_partkey), 6) AS r2, regr_count(p_retailprice, p_partkey) AS n, round(regr_avgx(p_retailprice, p_partkey), 6) AS ax, round(regr_avgy(p_retailprice, p_partkey), 6) AS ay,
+round(regr_sxx(p_retailprice, p_partkey), 2) AS sxx, round(regr_syy(p_retailprice, p_partkey), 2) AS syy, round(regr_sxy(p_retailprice, p_partkey), 2) AS sxy FROM {part} GROUP BY p_size""")
+same("agg_percentile_cont", "SELECT event_type, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY value), 6) AS q1, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS med FROM {events} GROUP BY event_type")
+same("agg_percentile_disc", "SELECT event_type, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY user_id) AS DOUBLE) AS med FROM {events} GROUP BY event_type")
+same("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+same("rollup", "SELECT n_regionkey, n_name, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)")
+same("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS BIGINT) AS g FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+same("pivot_by_filter", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views FROM {events} GROUP BY user_id")
+
+
+@query("agg_string_agg", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
+def _(t: Tables) -> DataFrame:
+    return t.nation.groupBy("n_regionkey").agg(aggregates.string_agg(F.col("n_name"), ", ", F.col("n_name")).alias("names"))
+
+
+@query("agg_array_agg", "SELECT n_regionkey, string_agg(coalesce(CAST(nullif(n_nationkey, 3) AS VARCHAR), '-'), ',' ORDER BY n_name) AS keys FROM {nation} GROUP BY n_regionkey")
+def _(t: Tables) -> DataFrame:
+    a = aggregates.array_agg(F.nullif("n_nationkey", F.lit(3)), F.col("n_name"))
+    return t.nation.groupBy("n_regionkey").agg(F.array_join(a.cast("array<string>"), ",", "-").alias("keys"))
+
+
+@query("agg_mode", "SELECT o_orderstatus, min(p) AS m FROM (SELECT o_orderstatus, o_orderpriority AS p, rank() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC) AS r FROM {orders} GROUP BY 1, 2) WHERE r = 1 GROUP BY o_orderstatus")
+def _(t: Tables) -> DataFrame:
+    return t.orders.groupBy("o_orderstatus").agg(aggregates.mode(F.col("o_orderpriority")).alias("m"))
+
+
+@query("agg_hypothetical", """SELECT event_type, count(*) FILTER (WHERE value < 50) + 1 AS r, count(DISTINCT CASE WHEN value < 50 THEN value END) + 1 AS dr, round(count(*) FILTER (WHERE value < 50) / count(*), 8) AS pr, round((count(*) FILTER (WHERE value <= 50) + 1) / (count(*) + 1), 8) AS cd FROM {events} GROUP BY event_type""")
+def _(t: Tables) -> DataFrame:
+    v = F.col("value")
+    return t.events.groupBy("event_type").agg(aggregates.rank_of(50.0, v).alias("r"), aggregates.dense_rank_of(50.0, v).alias("dr"), F.round(aggregates.percent_rank_of(50.0, v), 8).alias("pr"), F.round(aggregates.cume_dist_of(50.0, v), 8).alias("cd"))
+
+
+@query("agg_json", "SELECT n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_name) || ']' AS names, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS by_name FROM {nation} GROUP BY n_regionkey")
+def _(t: Tables) -> DataFrame:
+    return t.nation.groupBy("n_regionkey").agg(aggregates.json_agg(F.col("n_name"), F.col("n_name")).alias("names"), aggregates.json_object_agg(F.col("n_name"), F.col("n_nationkey")).alias("by_name"))
+
+
+@query("agg_range", """WITH s AS (SELECT user_id, epoch_us(ts) // 1000000 AS low, epoch_us(ts) // 1000000 + 36000 AS high FROM {events}), m AS (SELECT *, CASE WHEN low <= max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM s),
+g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT user_id, min(low) AS low, max(high) AS high FROM g GROUP BY user_id, island""")
+def _(t: Tables) -> DataFrame:
+    s = t.events.select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("low")).withColumn("high", F.col("low") + 36000)
+    return aggregates.range_agg(s, ["user_id"], "low", "high")
+
+
+@query("agg_user_defined", "SELECT l_returnflag, round(sum(l_quantity * l_quantity), 2) AS sq FROM {lineitem} WHERE l_linenumber = 1 GROUP BY l_returnflag")
+def _(t: Tables) -> DataFrame:
+    squares = aggregates.user_aggregate(0.0, lambda s, x: s + x * x, lambda s: F.round(s, 2))
+    return t.lineitem.where("l_linenumber = 1").groupBy("l_returnflag").agg(squares(F.col("l_quantity")).alias("sq"))
+
+
+# Windows -----------------------------------------------------------------------------------------
+
+same("win_ranking", """SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, ntile(4) OVER w AS nt, round(percent_rank() OVER v, 8) AS pr, round(cume_dist() OVER v, 8) AS cd
+FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
+same("win_offset", """SELECT event_id, lag(value, 1) OVER w AS before, lead(value, 2, -1.0) OVER w AS after, first_value(value) OVER w AS first, last_value(value) OVER w AS last, nth_value(value, 3) OVER w AS third FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+same("frame_rows", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS s FROM {events}")
+same("frame_range", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM {lineitem}")
+same("frame_default_peers", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey ORDER BY l_quantity) AS n FROM {lineitem}")
+same("win_over_aggregate", "SELECT c_nationkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM {customer} GROUP BY c_nationkey")
+
+
+@query("frame_groups", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM {orders}")
+def _(t: Tables) -> DataFrame:
+    return windows.groups_frame(t.orders, "n", F.count("*"), ["o_custkey"], ["o_orderpriority"], 1, 1).select("o_orderkey", "n")
+
+
+def _exclude(what: str) -> None:
+    @query(f"frame_exclude_{what.replace(' ', '_')}", f"SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {what.upper()}), 2) AS s FROM {{orders}}")
+    def _(t: Tables) -> DataFrame:
+        whole = Window.partitionBy("o_custkey")
+        s = windows.sum_excluding(F.col("o_totalprice"), whole, Window.partitionBy("o_custkey", "o_orderpriority"), what)
+        return t.orders.select("o_orderkey", F.round(s, 2).alias("s"))
+
+
+for _what in ("current row", "group", "ties"):
+    _exclude(_what)
+
+
+@query("win_filter", "SELECT event_id, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS clicks FROM {events}")
+def _(t: Tables) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t.events.select("event_id", windows.filtered(F.count, F.lit(1), F.col("event_type") == "click", w).alias("clicks"))
+
+
+@query("win_count_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS kinds FROM {events}")
+def _(t: Tables) -> DataFrame:
+    return t.events.select("event_id", windows.count_distinct(F.col("event_type"), Window.partitionBy("user_id")).alias("kinds"))
+
+
+@query("win_nth_from_last", "SELECT event_id, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x FROM {events}")
+def _(t: Tables) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return t.events.select("event_id", windows.nth_from_last(F.col("event_id"), 2, w).alias("x"))
+
+
+@query("win_ignore_nulls", "SELECT l_orderkey, l_linenumber, last_value(nullif(l_linenumber, 2) IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS x FROM {lineitem}")
+def _(t: Tables) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.last(F.nullif("l_linenumber", F.lit(2)), ignorenulls=True).over(w).alias("x"))
+
+
+# Order, limit, distinct, set operations, common table expressions ---------------------------------
+
+
+@query("limit_offset", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+def _(t: Tables) -> DataFrame:
+    return sorting.limit(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice desc", "o_orderkey"], 20, 10)
+
+
+@query("order_nulls", "SELECT l_orderkey, l_linenumber FROM {lineitem} ORDER BY nullif(l_linenumber, 1) DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 50")
+def _(t: Tables) -> DataFrame:
+    return sorting.limit(t.lineitem.withColumn("k", F.nullif("l_linenumber", F.lit(1))), ["k desc", "l_orderkey", "l_linenumber"], 50).select("l_orderkey", "l_linenumber")
+
+
+@query("fetch_with_ties", "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM {part}) WHERE r <= 5")
+def _(t: Tables) -> DataFrame:
+    return sorting.with_ties(t.part.select("p_partkey", "p_size"), ["p_size desc"], 5)
+
+
+@query("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM {orders} ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+def _(t: Tables) -> DataFrame:
+    return sorting.distinct_on(t.orders, ["o_custkey"], ["o_totalprice desc", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("top_n_per_group", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM {events}) WHERE r <= 2")
+def _(t: Tables) -> DataFrame:
+    return sorting.top_n(t.events, ["user_id"], ["value desc", "event_id"], 2).select("user_id", "event_id")
+
+
+same("distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}")
+for _name, _f, _all in (("union", sets.union, False), ("union_all", sets.union, True), ("intersect", sets.intersect, False), ("intersect_all", sets.intersect, True), ("except", sets.except_, False), ("except_all", sets.except_, True)):
+
+    @query(f"setop_{_name}", f"SELECT c_nationkey AS k FROM {{customer}} WHERE c_acctbal > 5000 {_name.replace('_', ' ').upper()} SELECT s_nationkey FROM {{supplier}} WHERE s_nationkey > 3")
+    def _(t: Tables, f=_f, keep_all=_all) -> DataFrame:
+        return f(t.customer.where("c_acctbal > 5000").selectExpr("c_nationkey k"), t.supplier.where("s_nationkey > 3").select("s_nationkey"), keep_all)
+
+
+same("cte_plain", "WITH big AS (SELECT * FROM {orders} WHERE o_totalprice > 300000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT n, count(*) AS customers FROM per GROUP BY n")
+same("cte_recursive_all", "WITH RECURSIVE r(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM r WHERE n < 60) SELECT n, total FROM r")
+
+_EDGES = "SELECT DISTINCT l_partkey % 97 AS src, l_suppkey % 97 AS dst FROM {lineitem} WHERE l_orderkey % 40 = 0"
+
+
+@query("cte_recursive_union", f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT 5 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
+def _(t: Tables) -> DataFrame:
+    e = t.sql(_EDGES)
+    seed = e.sparkSession.sql("SELECT 5L AS node")
+    return recursive.recursive(seed, lambda new: new.join(e, F.col("src") == F.col("node")).select("dst"))
+
+
+_TREE = "SELECT n_nationkey AS child, CASE WHEN n_nationkey = 0 THEN NULL ELSE (n_nationkey - 1) // 2 END AS parent FROM {nation}"
+
+
+@query("cte_search_depth_first", f"WITH RECURSIVE e AS ({_TREE}), r AS (SELECT child AS node, 0 AS depth, [child] AS path FROM e WHERE parent IS NULL UNION ALL SELECT child, depth + 1, list_append(path, child) FROM r JOIN e ON parent = node) SELECT node, depth, array_to_string(path, '.') AS path, row_number() OVER (ORDER BY path) AS seq FROM r")
+def _(t: Tables) -> DataFrame:
+    e = t.sql(_TREE.replace("//", "DIV"))
+    out = recursive.walk(e, e.where("parent is null").selectExpr("child node"), "parent", "child")
+    return out.select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), F.row_number().over(Window.orderBy(recursive.depth_first(F.col("path")))).alias("seq"))
+
+
+@query("cte_cycle", "WITH RECURSIVE e(src, dst) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (4, 4)), r AS (SELECT 1 AS node, 0 AS depth, [1] AS path, false AS is_cycle UNION ALL SELECT dst, depth + 1, list_append(path, dst), list_contains(path, dst) FROM r JOIN e ON src = node WHERE NOT is_cycle) SELECT node, depth, array_to_string(path, '.') AS path, is_cycle FROM r")
+def _(t: Tables) -> DataFrame:
+    spark = t.region.sparkSession
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 4)], "src int, dst int")
+    out = recursive.walk(e, spark.sql("SELECT 1 AS node"), "src", "dst")
+    return out.select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "is_cycle")
+
+
+# Set-returning functions --------------------------------------------------------------------------
+
+
+@query("srf_generate_series", "SELECT x AS n FROM generate_series(3, 100, 7) AS s(x)")
+def _(t: Tables) -> DataFrame:
+    return series.generate_series(t.region.sparkSession, 3, 100, 7, "n")
+
+
+@query("srf_lateral_series", "SELECT o_orderkey, x AS k FROM {orders}, LATERAL (SELECT unnest(generate_series(1, CAST(o_orderkey % 4 AS BIGINT))) AS x)")
+def _(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", series.series(F.lit(1).cast("long"), F.col("o_orderkey") % 4).alias("k"))
+
+
+@query("srf_unnest_ordinality", "SELECT doc_id, w, CAST(i AS BIGINT) AS i FROM (SELECT doc_id, unnest(string_split(text, ' ')[1:5]) AS w, unnest(range(1, len(string_split(text, ' ')[1:5]) + 1)) AS i FROM {documents})")
+def _(t: Tables) -> DataFrame:
+    return series.with_ordinality(t.documents, F.slice(F.split("text", " "), 1, 5), "w", "i").select("doc_id", "w", "i")
+
+
+@query("srf_unnest_several", "SELECT n_nationkey, unnest([1, 2, 3]) AS a, unnest(['x', 'y', NULL]) AS b FROM {nation}")
+def _(t: Tables) -> DataFrame:
+    return series.unnest(t.nation.select("n_nationkey"), a=F.array(F.lit(1), F.lit(2), F.lit(3)), b=F.array(F.lit("x"), F.lit("y")))
+
+
+@query("srf_string_to_table", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM {part}")
+def _(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", series.string_to_table(F.col("p_name"), " ").alias("w"))
+
+
+@query("srf_json_each", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM {events}")
+def _(t: Tables) -> DataFrame:
+    return series.json_each(t.events.select("event_id", "props"), F.col("props")).select("event_id", "key", "value")
+
+
+@query("srf_json_table", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM {events}")
+def _(t: Tables) -> DataFrame:
+    return series.json_table(t.events.select("event_id", "props"), F.col("props"), {"k": ("$.k", "long")}).select("event_id", "k")
+
+
+@query("tablesample_bernoulli")
+def _(t: Tables) -> DataFrame:
+    return series.tablesample(t.lineitem.select("l_orderkey", "l_linenumber"), 10, 42)
+
+
+# Time series --------------------------------------------------------------------------------------
+
+
+@query("time_bucket", "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS b, count(*) AS n, round(sum(value), 4) AS s FROM {events} GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return t.events.groupBy(timeseries.date_bin(21_600, F.col("ts")).alias("b")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"))
+
+
+@query("time_gap_fill", """WITH h AS (SELECT user_id, time_bucket(INTERVAL 6 HOURS, ts) AS b, count(*) AS n FROM {events} GROUP BY 1, 2), g AS (SELECT user_id, unnest(generate_series(min(b), max(b), INTERVAL 6 HOURS)) AS b FROM h GROUP BY user_id) SELECT user_id, b, n FROM g LEFT JOIN h USING (user_id, b)""")
+def _(t: Tables) -> DataFrame:
+    h = t.events.groupBy("user_id", timeseries.date_bin(21_600, F.col("ts")).alias("b")).agg(F.count("*").alias("n"))
+    return timeseries.gap_fill(h, ["user_id"], "b", 21_600)
+
+
+@query("time_sessions", """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 7200000000 THEN 0 ELSE 1 END AS n FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session_no FROM g""")
+def _(t: Tables) -> DataFrame:
+    return timeseries.sessions(t.events, ["user_id"], "ts", 7200, "event_id").select("event_id", "session_no")
+
+
+@query("time_tumbling_window", "SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS VARCHAR) AS d, event_type, count(*) AS n FROM {events} GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    out = event_time.tumbling(t.events, "ts", "1 day", ["event_type"], F.count("*").alias("n"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("d"), "event_type", "n")
+
+
+# DML, constraints, partitions ---------------------------------------------------------------------
+
+
+def _target(t: Tables) -> DataFrame:
+    return t.supplier.selectExpr("s_suppkey k", "s_name name", "s_acctbal bal")
+
+
+def _source(t: Tables) -> DataFrame:
+    return t.customer.where("c_custkey % 3 = 0 and c_custkey < 400").selectExpr("c_custkey k", "c_name name", "c_acctbal bal")
+
+
+_T = "t AS (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM {supplier}), s AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM {customer} WHERE c_custkey % 3 = 0 AND c_custkey < 400)"
+
+
+@query("dml_insert", f"WITH {_T} SELECT * FROM t UNION ALL SELECT * FROM s")
+def _(t: Tables) -> DataFrame:
+    return dml.insert(_target(t), _source(t)).table
+
+
+@query("dml_upsert_nothing", f"WITH {_T} SELECT * FROM t UNION ALL SELECT * FROM s WHERE k NOT IN (SELECT k FROM t)")
+def _(t: Tables) -> DataFrame:
+    return dml.upsert(_target(t), _source(t), ["k"]).table
+
+
+@query("dml_upsert_update", f"WITH {_T} SELECT coalesce(t.k, s.k) AS k, CASE WHEN s.k IS NULL THEN t.name ELSE s.name END AS name, CASE WHEN s.k IS NULL THEN t.bal WHEN t.k IS NULL THEN s.bal ELSE t.bal + s.bal END AS bal FROM t FULL JOIN s ON t.k = s.k")
+def _(t: Tables) -> DataFrame:
+    return dml.upsert(_target(t), _source(t), ["k"], {"name": F.col("s.name"), "bal": F.col("t.bal") + F.col("s.bal")}).table
+
+
+@query("dml_update_from", f"WITH {_T} SELECT t.k, t.name, coalesce(s.bal, t.bal) AS bal FROM t LEFT JOIN s ON t.k = s.k")
+def _(t: Tables) -> DataFrame:
+    return dml.update_from(_target(t), _source(t), ["k"], {"bal": F.col("s.bal")}).table
+
+
+@query("dml_delete_using", f"WITH {_T} SELECT * FROM t WHERE k NOT IN (SELECT k FROM s)")
+def _(t: Tables) -> DataFrame:
+    return dml.delete_using(_target(t), _source(t), ["k"]).table
+
+
+def _merged(t: Tables) -> dml.Changed:
+    return dml.merge(
+        _target(t),
+        _source(t),
+        ["k"],
+        [
+            dml.When("matched", "delete", condition=F.col("s.bal") < 0),
+            dml.When("matched", "update", {"bal": F.col("s.bal")}),
+            dml.When("not matched", "insert", {c: F.col(f"s.{c}") for c in ("k", "name", "bal")}, F.col("s.bal") > 1000),
+            dml.When("not matched by source", "update", {"name": F.lit("gone")}, F.col("t.k") % 2 == 0),
+        ],
+    )
+
+
+@query("dml_merge", f"""WITH {_T} SELECT t.k, CASE WHEN s.k IS NULL AND t.k % 2 = 0 THEN 'gone' ELSE t.name END AS name, coalesce(s.bal, t.bal) AS bal FROM t LEFT JOIN s ON t.k = s.k WHERE s.bal IS NULL OR s.bal >= 0
+UNION ALL SELECT s.k, s.name, s.bal FROM s WHERE s.bal > 1000 AND s.k NOT IN (SELECT k FROM t)""")
+def _(t: Tables) -> DataFrame:
+    return _merged(t).table
+
+
+@query("dml_returning", f"""WITH {_T} SELECT CASE WHEN t.k IS NULL THEN 'INSERT' WHEN s.k IS NULL THEN 'UPDATE' WHEN s.bal < 0 THEN 'DELETE' ELSE 'UPDATE' END AS action, t.bal AS old_bal, CASE WHEN t.k IS NOT NULL AND s.bal < 0 THEN NULL ELSE coalesce(s.bal, t.bal) END AS new_bal
+FROM t FULL JOIN s ON t.k = s.k WHERE (t.k IS NOT NULL AND s.k IS NOT NULL) OR (t.k IS NULL AND s.bal > 1000) OR (s.k IS NULL AND t.k % 2 = 0)""")
+def _(t: Tables) -> DataFrame:
+    return _merged(t).returning.select("action", F.col("old.bal").alias("old_bal"), F.col("new.bal").alias("new_bal"))
+
+
+@query("chk_unique", "SELECT o_custkey, o_orderpriority, count(*) AS n_rows FROM {orders} GROUP BY 1, 2 HAVING count(*) > 1")
+def _(t: Tables) -> DataFrame:
+    return constraints.unique_violations(t.orders, ["o_custkey", "o_orderpriority"])
+
+
+@query("chk_foreign_key", "SELECT o_orderkey FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal > 0)")
+def _(t: Tables) -> DataFrame:
+    return constraints.foreign_key_violations(t.orders, ["o_custkey"], t.customer.where("c_acctbal > 0"), ["c_custkey"]).select("o_orderkey")
+
+
+@query("chk_check", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE NOT (nullif(l_quantity, 50) < 40)")
+def _(t: Tables) -> DataFrame:
+    return constraints.check_violations(t.lineitem, F.nullif("l_quantity", F.lit(50.0)) < 40).select("l_orderkey", "l_linenumber")
+
+
+@query("chk_exclusion", "WITH s AS (SELECT event_id, user_id, ts, ts + INTERVAL 10 MINUTES AS stop FROM {events}) SELECT a.event_id AS a, b.event_id AS b FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.ts < b.stop AND b.ts < a.stop")
+def _(t: Tables) -> DataFrame:
+    return constraints.exclusion_violations(t.events.withColumn("stop", F.expr("ts + interval 10 minutes")), "user_id", "ts", "stop", "event_id")
+
+
+@query("partition_route", "SELECT CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 250000 THEN 'mid' ELSE 'rest' END AS part, count(*) AS n FROM {orders} GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    part = constraints.route_range(F.col("o_totalprice"), [("low", 0.0, 100000.0), ("mid", 100000.0, 250000.0)], "rest")
+    return t.orders.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+
+
+# Scalar functions ---------------------------------------------------------------------------------
+
+
+@query("fn_math", """SELECT p_partkey, round(log10(p_retailprice), 8) AS lg, round(cbrt(p_retailprice), 8) AS cb, trunc(p_retailprice) AS tr, p_partkey // 7 AS dv, p_partkey % 7 AS md, CAST(sign(p_size - 25) AS INTEGER) AS sg, round(sin(radians(p_size)), 8) AS sn, round(degrees(atan2(p_size, 3)), 8) AS at, gcd(p_partkey, 36) AS g, lcm(p_partkey, 6) AS l FROM {part}""")
+def _(t: Tables) -> DataFrame:
+    k, s, r = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    return t.part.select("p_partkey", F.round(math.log(r), 8).alias("lg"), F.round(F.cbrt(r), 8).alias("cb"), math.trunc(r).alias("tr"), math.div(k, F.lit(7)).alias("dv"), (k % 7).alias("md"), math.sign(s - 25).alias("sg"), F.round(math.sind(s), 8).alias("sn"), F.round(math.atan2d(s, F.lit(3)), 8).alias("at"), math.gcd(k, F.lit(36)).alias("g"), math.lcm(k, F.lit(6)).alias("l"))
+
+
+@query("fn_string", """SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_name, 2, 4) AS sub, left(p_name, -2) AS lf, right(p_name, 3) AS rt, replace(p_name, 'a', 'X') AS rp, lpad(p_brand, 12, '*') AS lp, split_part(p_type, ' ', 2) AS sp, reverse(p_brand) AS rv, strpos(p_name, 'e') AS ps, md5(p_name) AS h, translate(p_brand, '#', '-') AS tl, concat_ws('/', p_brand, p_type) AS cw, starts_with(p_name, 'g') AS st FROM {part}""")
+def _(t: Tables) -> DataFrame:
+    n = F.col("p_name")
+    return t.part.select("p_partkey", F.upper(n).alias("u"), F.length(n).cast("long").alias("n"), string.substring(n, 2, 4).alias("sub"), string.left(n, -2).alias("lf"), string.right(n, 3).alias("rt"), F.replace(n, F.lit("a"), F.lit("X")).alias("rp"), F.lpad("p_brand", 12, "*").alias("lp"), string.split_part(F.col("p_type"), " ", 2).alias("sp"), F.reverse("p_brand").alias("rv"), F.instr(n, "e").cast("long").alias("ps"), F.md5(n).alias("h"), F.translate("p_brand", "#", "-").alias("tl"), F.concat_ws("/", "p_brand", "p_type").alias("cw"), F.startswith(n, F.lit("g")).alias("st"))
+
+
+@query("fn_regex", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS one, regexp_replace(p_name, '[aeiou]', '_', 'g') AS every, regexp_matches(p_name, '^[a-m]') AS m, regexp_extract(p_brand, '([0-9]+)', 1) AS d FROM {part}")
+def _(t: Tables) -> DataFrame:
+    n = F.col("p_name")
+    return t.part.select("p_partkey", string.regexp_replace(n, "[aeiou]", "_").alias("one"), string.regexp_replace(n, "[aeiou]", "_", "g").alias("every"), F.regexp_like(n, F.lit("^[a-m]")).alias("m"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("d"))
+
+
+@query("fn_similar_to", "SELECT p_partkey FROM {part} WHERE regexp_full_match(p_brand, '(Brand|Other)#.[1-3]')")
+def _(t: Tables) -> DataFrame:
+    return t.part.where(string.similar_to(F.col("p_brand"), "(Brand|Other)#_[1-3]")).select("p_partkey")
+
+
+@query("fn_format", "SELECT s_suppkey, 'key=' || s_suppkey || ' name=' || '''' || s_name || ''' 100%' AS f FROM {supplier}")
+def _(t: Tables) -> DataFrame:
+    return t.supplier.select("s_suppkey", string.format_("key=%s name=%L 100%%", F.col("s_suppkey"), F.col("s_name")).alias("f"))
+
+
+@query("fn_datetime", """SELECT event_id, CAST(year(ts) AS DOUBLE) AS y, CAST(dayofweek(ts) AS DOUBLE) AS dow, CAST(isodow(ts) AS DOUBLE) AS iso, CAST(week(ts) AS DOUBLE) AS wk, epoch_us(ts) / 1000000.0 AS ep, date_trunc('hour', ts) AS h, strftime(ts, '%Y-%m-%d %H:%M') AS c FROM {events}""")
+def _(t: Tables) -> DataFrame:
+    ts = F.col("ts")
+    return t.events.select("event_id", datetime.extract("year", ts).alias("y"), datetime.extract("dow", ts).alias("dow"), datetime.extract("isodow", ts).alias("iso"), datetime.extract("week", ts).alias("wk"), datetime.extract("epoch", ts).alias("ep"), F.date_trunc("hour", ts).cast("timestamp_ntz").alias("h"), datetime.to_char(ts, "YYYY-MM-DD HH24:MI").alias("c"))
+
+
+@query("fn_overlaps", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey + 3 AND b.n_nationkey < a.n_nationkey + 3")
+def _(t: Tables) -> DataFrame:
+    day = lambda c, k: F.date_add(F.lit("2024-01-01").cast("date"), F.col(c) + k)
+    a, b = t.nation.selectExpr("n_nationkey a", "n_regionkey r"), t.nation.selectExpr("n_nationkey b", "n_regionkey r")
+    return a.join(b, "r").where(datetime.overlaps(day("a", 0), day("a", 3), day("b", 0), day("b", 3))).select("a", "b")
+
+
+@query("fn_array", """SELECT vec_id, len(embedding) AS n, embedding[1] AS first, list_contains(embedding[1:3], embedding[2]) AS has, CAST(list_position(embedding, embedding[4]) AS BIGINT) AS pos FROM {embeddings}""")
+def _(t: Tables) -> DataFrame:
+    e = F.col("embedding")
+    return t.embeddings.select("vec_id", arrays.array_length(e).cast("long").alias("n"), arrays.subscript(e, 1).alias("first"), arrays.contains(arrays.slice_(e, 1, 3), F.array(arrays.subscript(e, 2))).alias("has"), arrays.array_position(e, arrays.subscript(e, 4)).alias("pos"))
+
+
+@query("fn_any_all", "SELECT p_partkey, p_size IN (1, 7, 49) AS some_one, p_size > 40 AS every_one FROM {part}")
+def _(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", arrays.any_of(F.col("p_size"), "=", F.array(F.lit(1), F.lit(7), F.lit(49))).alias("some_one"), arrays.all_of(F.col("p_size"), ">", F.array(F.lit(40), F.lit(3))).alias("every_one"))
+
+
+@query("fn_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, 'object' AS kind, true AS has_k, false AS has_z FROM {events}")
+def _(t: Tables) -> DataFrame:
+    p = F.col("props")
+    return t.events.select("event_id", json.get(p, "k").alias("k"), json.typeof(p).alias("kind"), json.exists(p, "k").alias("has_k"), json.exists(p, "z").alias("has_z"))
+
+
+@query("fn_json_edit", "SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || ', \"new\": 1}' AS j FROM {events}")
+def _(t: Tables) -> DataFrame:
+    return t.events.select("event_id", json.set_(F.col("props"), ["new"], 1).alias("j"))
+
+
+@query("fn_range", "SELECT p_partkey, p_size >= 5 AND p_size < 20 AS inside, p_size < 30 AND p_size + 10 > 20 AS over, '[' || p_size || ',' || (p_size + 10) || ')' AS r FROM {part}")
+def _(t: Tables) -> DataFrame:
+    s = F.col("p_size")
+    r = ranges.make(s, s + 9, "[]", discrete=True)
+    return t.part.select("p_partkey", ranges.contains(ranges.make(F.lit(5), F.lit(20)), s).alias("inside"), ranges.overlaps(r, ranges.make(F.lit(20), F.lit(30))).alias("over"), ranges.text(r).alias("r"))
+
+
+@query("fn_trigram", "SELECT n_nationkey, levenshtein(n_name, 'NATION_1') AS d FROM {nation}")
+def _(t: Tables) -> DataFrame:
+    return t.nation.select("n_nationkey", F.levenshtein("n_name", F.lit("NATION_1")).cast("long").alias("d"))
+
+
+@query("fn_similarity")
+def _(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.round(string.similarity(F.col("p_name"), F.col("p_type")), 6).alias("s"))
+
+
+@query("fn_text_search")
+def _(t: Tables) -> DataFrame:
+    vector = textsearch.to_tsvector(F.col("text"))
+    docs = t.benchmark.select("item_id", vector.alias("v"))
+    q = textsearch.to_tsquery("the | (and & !of)") | textsearch.websearch_to_tsquery('en "der die" -que')
+    return docs.where(q.match(F.col("v"))).select("item_id", F.round(textsearch.ts_rank(F.col("v"), ["reaction", "ing"]), 6).alias("rank"))
+
+
+@query("fn_geometry", "SELECT p_partkey, round(sqrt(p_size * p_size + 16), 8) AS d, CAST(p_size * 4 AS DOUBLE) AS area, p_size <= 10 AS inside FROM {part}")
+def _(t: Tables) -> DataFrame:
+    p = geometry.point(F.col("p_size"), F.lit(4))
+    o = geometry.point(F.lit(0), F.lit(0))
+    return t.part.select("p_partkey", F.round(geometry.distance(p, o), 8).alias("d"), geometry.area(geometry.box(p, o)).alias("area"), geometry.box_contains(geometry.box(geometry.point(F.lit(10), F.lit(9)), o), p).alias("inside"))
+
+
+@query("fn_network", "SELECT p_partkey, '10.0.' || (p_partkey // 256 % 256) || '.0/24' AS net, '10.0.' || (p_partkey // 256 % 256) || '.255/24' AS bc, p_partkey // 256 % 256 = 1 AS inside FROM {part}")
+def _(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    a = F.concat(F.lit("10.0."), math.div(k, F.lit(256)).cast("string"), F.lit("."), (k % 256).cast("string"), F.lit("/24"))
+    return t.part.select("p_partkey", network.network(a).alias("net"), network.broadcast(a).alias("bc"), network.contained(a, F.lit("10.0.1.0/24"), strict=False).alias("inside"))
+
+
+@query("fn_binary", "SELECT s_suppkey, sha256(s_name) AS h, to_base64(encode(s_name)) AS b, CAST(ascii(substr(s_name, 2, 1)) AS INTEGER) AS byte FROM {supplier}")
+def _(t: Tables) -> DataFrame:
+    b = F.col("s_name").cast("binary")
+    return t.supplier.select("s_suppkey", binary.encode(binary.sha(b, 256), "hex").alias("h"), binary.encode(b, "base64").alias("b"), binary.get_byte(b, 1).alias("byte"))
+
+
+@query("fn_xml", "SELECT r_regionkey, '<r id=\"' || r_regionkey || '\"><name>' || r_name || '</name></r>' AS x FROM {region}")
+def _(t: Tables) -> DataFrame:
+    return t.region.select("r_regionkey", binary.xmlelement("r", binary.xmlforest(name=F.col("r_name")), id=F.col("r_regionkey")).alias("x"))
+
+
+same("fn_conditional", "SELECT l_orderkey, l_linenumber, coalesce(nullif(l_linenumber, 1), 99) AS c, greatest(l_linenumber, 3) AS g, least(l_linenumber, 3) AS l FROM {lineitem}")
