@@ -14,7 +14,7 @@ STOP_WORDS = "a about above after again against all am an and any are as at be b
 
 def stem(w: Column) -> Column:
     """A light suffix stemmer: plurals, -ing, -ed, -ly."""
-    w = F.when(w.endswith("sses"), w.substr(F.lit(1), F.length(w) - 2)).when(w.endswith("ies"), F.concat(w.substr(F.lit(1), F.length(w) - 3), F.lit("i"))).when(w.endswith("s") & ~w.endswith("ss") & (F.length(w) > 3), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)
+    w = F.when(w.endswith("sses"), w.substr(F.lit(1), F.length(w) - 2)).when(w.endswith("ies"), F.concat(w.substr(F.lit(1), F.length(w) - 3), F.lit("i"))).when(w.rlike("(?:x|z|ch|sh)es$"), w.substr(F.lit(1), F.length(w) - 2)).when(w.endswith("s") & ~w.endswith("ss") & (F.length(w) > 3), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)
     return F.regexp_replace(w, "(?<=[a-z]{3})(?:ing|ed|ly)$", "")
 
 
@@ -71,6 +71,8 @@ def _stem(w: str) -> str:
         w = w[:-2]
     elif w.endswith("ies"):
         w = w[:-3] + "i"
+    elif re.search("(?:x|z|ch|sh)es$", w):
+        w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss") and len(w) > 3:
         w = w[:-1]
     return re.sub(r"(?<=[a-z]{3})(?:ing|ed|ly)$", "", w)

@@ -159,7 +159,7 @@ def test_text_search(spark):
     df = frame(spark, [(1, "The quick brown foxes jumped"), (2, "a lazy dog; the fox"), (3, "")], "id int, t string")
     docs = df.select("id", textsearch.to_tsvector(F.col("t")).alias("v"))
     ids = lambda q: [r.id for r in docs.where(q.match(F.col("v"))).orderBy("id").collect()]
-    assert docs.where("id = 1").first().v == {"quick": [2], "brown": [3], "foxe": [4], "jump": [5]}
+    assert docs.where("id = 1").first().v == {"quick": [2], "brown": [3], "fox": [4], "jump": [5]}
     assert ids(textsearch.to_tsquery("jumping & !dog")) == [1]
     assert ids(textsearch.to_tsquery("fo:*")) == [1, 2]
     assert ids(textsearch.phraseto_tsquery("quick brown")) == [1] and ids(textsearch.to_tsquery("brown <-> quick")) == []
