@@ -22,12 +22,12 @@ LINE_SHARE, LINE_DOCS = 0.1, 10
 WORDS_LEFT, SHARE_LEFT = 20, 0.5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_digits = re.compile(r"\d+")
+_digits = re.compile("[0-9]+")
 
 
 def line_hash(line: bytes) -> int:
     """Signed hash of a line in lower case, with single spaces and with 0 for every number."""
-    flat = _digits.sub("0", " ".join(line.decode("utf-8", "replace").lower().split()))
+    flat = _digits.sub("0", b" ".join(line.split()).decode("utf-8", "replace").lower())
     return xxhash.xxh3_64_intdigest(flat.encode()) - (1 << 63)
 
 
