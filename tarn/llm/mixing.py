@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import maybe_broadcast, packed, sqrt_bits, stage, top_bits, unpacked
+from tarn.llm.common import Scratch, maybe_broadcast, packed, sqrt_bits, stage, top_bits, unpacked
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -43,7 +43,8 @@ def mix(docs: DataFrame, size: Column, source: Column, key: list[Column], weight
     of the same place; equal finish times are ordered by hash. An empty table gives an empty one.
     Columns of docs with these names are replaced.
     """
-    base = stage(docs.select(packed(docs), source.alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *key).alias("h")), "mix-rows")
+    scratch = Scratch(docs.sparkSession)
+    base = scratch.stage(docs.select(packed(docs), source.alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *key).alias("h")), "mix-rows")
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = stage(targets(sources, weights, share, repeats), "mix-sources")
     n, budget = sources.agg(F.sum("n"), F.sum("source_size")).first()
@@ -61,6 +62,7 @@ def mix(docs: DataFrame, size: Column, source: Column, key: list[Column], weight
     times = F.array(*[(F.col("cum") + k * F.col("source_size")) / F.col("target") for k in range(repeats)])
     rows = stage(rows.withColumn("draws", F.when((F.col("target") > 0) & (F.col("size") > 0), times).otherwise(F.array().cast("array<double>"))), "mix-times")
 
+    scratch.drop()
     draws = rows.select("h", "size", F.explode("draws").alias("f")).withColumn("grid", F.floor(F.col("f") * float(1 << bits)))
     grid = draws.groupBy("grid").agg(F.sum("size").alias("s"))
     grid = grid.select("grid", "s", F.sum("s").over(Window.orderBy("grid").rowsBetween(Window.unboundedPreceding, 0)).alias("run"))

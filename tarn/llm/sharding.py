@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import maybe_broadcast, packed, sqrt_bits, stage, top_bits, unpacked
+from tarn.llm.common import Scratch, maybe_broadcast, packed, sqrt_bits, stage, top_bits, unpacked
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -55,7 +55,8 @@ def shuffle_into_shards(df: DataFrame, key: list[Column], n_shards: int = 16, se
     Bucket counts on the driver and rows in a bucket are each about the square root of the rows.
     """
     spark = df.sparkSession
-    base = stage(df.select(packed(df), F.xxhash64(F.lit(seed), *key).alias("h1"), F.xxhash64(F.lit(seed + 1), *key).alias("h2")), "shard-rows")
+    scratch = Scratch(spark)
+    base = scratch.stage(df.select(packed(df), F.xxhash64(F.lit(seed), *key).alias("h1"), F.xxhash64(F.lit(seed + 1), *key).alias("h2")), "shard-rows")
     n = base.count()
     base = base.withColumn("bucket", top_bits("h1", sqrt_bits(n)))
     counts = sorted(base.groupBy("bucket").count().collect())
@@ -67,6 +68,7 @@ def shuffle_into_shards(df: DataFrame, key: list[Column], n_shards: int = 16, se
     dealt = dealt.withColumn("shard", F.size(F.filter("bounds", lambda b: b < F.col("place"))))
     bits = sqrt_bits(max(1, n // n_shards))
     dealt = stage(dealt.select("row", "h1", "h2", "shard").withColumn("part", top_bits("h2", bits)), "shard-dealt")
+    scratch.drop()
 
     offsets = dealt.groupBy("shard", "part").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

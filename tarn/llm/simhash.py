@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import connected_components, local_components, packed, stage, strings_of, unpacked
+from tarn.llm.common import Scratch, connected_components, local_components, packed, stage, strings_of, unpacked
 
 SHINGLES_AT_ONCE = 1 << 17
 #: Cost of verifying a candidate against that of shuffling an index or probe row.
@@ -171,7 +171,7 @@ def plan(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]]:
     return best[1]
 
 
-def links(distinct: DataFrame, distance: int) -> DataFrame:
+def links(distinct: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
     """(u, v): a spanning forest, bucket by bucket, of all pairs of distinct fingerprints at `distance` or less.
 
     No pair is lost: each lies in some bucket, and every bucket's links connect what its pairs connect.
@@ -190,7 +190,7 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
 
     # a bucket over BLOCK rows is dealt out: its index rows to blocks of the hash, its probes (and index rows, as probes) to all of them
-    rows = stage(rows, "gph-rows")
+    rows = scratch.stage(rows, "gph-rows")
     large = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("held")).where((F.col("held") > 0) & (F.col("n") > 1))
     large = large.select("part", "key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(large, ["part", "key"])
@@ -266,7 +266,9 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, distance
     rows = stage(fingerprints(docs, text_col, words, seed), "simhash")
     rows = rows.withColumn("id", F.col(f"row.`{id_col}`").cast("long"))
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    nodes = connected_components(links(distinct, distance))
+    scratch = Scratch(docs.sparkSession)
+    nodes = connected_components(links(distinct, distance, scratch))
+    scratch.drop()
     whole = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     whole = stage(whole, "simhash-nodes")
     lows = whole.groupBy("component").agg(F.min("low").alias("component_id"))

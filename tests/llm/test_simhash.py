@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from tarn.llm import simhash
+from tarn.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, fingerprint string"
 
@@ -92,7 +93,7 @@ def test_dense_fingerprints_lose_no_link(spark, monkeypatch):
         want = after
     for block in (2048, 5):
         monkeypatch.setattr(simhash, "BLOCK", block)
-        edges = simhash.links(df, 3).collect()
+        edges = simhash.links(df, 3, Scratch(spark)).collect()
         place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
         u, v = np.array([place[r.u] for r in edges]), np.array([place[r.v] for r in edges])
         got = simhash.local_components(len(fps), u, v)
