@@ -5,8 +5,9 @@
    so a group of copies costs a row per task.
 2. Only where one minimiser has several distinct strings, one packed string for each travels
    to the minimiser's bucket, which finds the windows that they share.
-3. A minimiser with more than HOT strings doesn't travel whole: its windows are dealt out by
-   their own 128-bit hash instead, and counted there. The result is the same.
+3. A minimiser with more than HOT strings doesn't travel whole: its strings are parted by more of
+   their surroundings first, and where still more than HOT agree, windows are dealt out by
+   their own 128-bit hash instead and counted there. The result is the same.
 4. Covered positions go back to the documents, and each text is cut.
 """
 
@@ -23,13 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import windows
-from tarn.llm.common import packed, stage, strings_of, text_hash
+from tarn.llm.common import Scratch, packed, stage, strings_of, text_hash
 
 #: Distinct strings of a minimiser beyond which its windows are dealt out one by one.
 HOT = 256
+#: Windows in a block of those.
+BLOCK = 16
 CHUNK_BYTES = 1 << 20
 ROWS_OUT = 100_000
 
+#: A packed string: the bucket it goes to, what it came from, its windows, and at which of its origin's they begin.
+PIECE = ["key", "minimiser", "digest", "low", "count", "n", "off", "string"]
+PIECES = ", ".join(f"{c} long" for c in PIECE[:-1]) + ", string binary"
+
 Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -115,9 +122,57 @@ def strings(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     hi = lo + 20_000
                     part = [text[x:y] for x, y in zip(first[lo:hi].tolist(), last[lo:hi].tolist())]
                     rest = mine.slice(lo, len(part))
-                    yield pa.RecordBatch.from_arrays([*(rest.field(c) for c in ("minimiser", "digest", "low", "count", "n", "hot")), pa.array(part, pa.binary())], ["minimiser", "digest", "low", "count", "n", "hot", "string"])
+                    columns = [*(rest.field(c) for c in ("minimiser", "minimiser", "digest", "low", "count", "n")), pa.array(np.zeros(len(part), np.int64)), pa.array(part, pa.binary()), rest.field("hot")]
+                    yield pa.RecordBatch.from_arrays(columns, [*PIECE, "hot"])
+
+    return joined.mapInArrow(cut, f"{PIECES}, hot boolean")
+
+
+def anchor(text: bytes, starts: np.ndarray, ends: np.ndarray, n: int, minimiser: int, gram: int) -> int:
+    """Unit at which the minimiser that all n windows of a packed string share begins."""
+    grams = windows.mixed(windows.PrefixHash(np.frombuffer(text, np.uint8)).ranges(starts[n - 1 : len(starts) - gram + 1], ends[n + gram - 2 :]))
+    return n - 1 + int(np.argmax(grams.view(np.int64) == minimiser))
+
+
+def unit_bounds(text: bytes, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    if words:
+        return windows.word_bounds(np.frombuffer(text, np.uint8))
+    starts = np.arange(len(text))
+    return starts, starts + 1
 
-    return joined.mapInArrow(cut, "minimiser long, digest long, low long, count long, n long, hot boolean, string binary")
+
+def refined(found: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Pieces of minimisers with many strings, under finer keys.
+
+    Every window reaches at least half of what it has besides the minimiser to the left of it, or
+    more than half to the right; the minimiser with that much of its surroundings is the new
+    key. Strings that share no more than the minimiser part here.
+    """
+    gram, words = rule.gram, rule.words
+    half = -(-(rule.window - gram) // 2)
+    right = rule.window - gram - half + 1
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, keys, lengths, offsets, texts = [], [], [], [], []
+            for i, (minimiser, n, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(7).to_pylist())):
+                starts, ends = unit_bounds(text, words)
+                at = anchor(text, starts, ends, n, minimiser, gram)
+                turn = min(n, max(0, at - half + 1))  # windows before it reach `half` or more to the left
+                for a, b, x, y in ((0, turn, at - half, at + gram - 1), (turn, n, at, at + gram + right - 1)):
+                    if a < b:
+                        of.append(i)
+                        keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (minimiser, a == 0 and b == turn) + text[starts[x] : ends[y]]))
+                        lengths.append(b - a)
+                        offsets.append(a)
+                        texts.append(text[starts[a] : ends[b + rule.window - 2]])
+            if of:
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(rows) for c in range(1, 5)), pa.array(lengths, pa.int64()), pa.array(offsets, pa.int64()), pa.array(texts, pa.binary())], PIECE)
+
+    pieces = scratch.stage(found.select(*PIECE).mapInArrow(split, PIECES), "finer")
+    several = pieces.groupBy("key").agg(F.count("*").alias("strings"), F.min("low").alias("a"), F.max("low").alias("b")).where("strings > 1" + (" and a < b" if rule.earlier else ""))
+    return pieces.join(several.select("key", (F.col("strings") > HOT).alias("hot")), "key")
 
 
 def in_buckets(found: DataFrame, rule: Rule) -> DataFrame:
@@ -126,9 +181,9 @@ def in_buckets(found: DataFrame, rule: Rule) -> DataFrame:
 
     def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
-        minimiser, digest, low, count, n = (t.column(c).to_numpy() for c in range(5))
-        group = np.concatenate(([0], np.cumsum(minimiser[1:] != minimiser[:-1])))
-        flags = resolve(t.column(6).to_pylist(), n, group, low, count)
+        key, minimiser, digest, low, count, n, off = (t.column(c).to_numpy() for c in range(7))
+        group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        flags = resolve(t.column(7).to_pylist(), n, group, low, count)
         if not earlier:
             flags = flags & np.repeat(count == 1, n)
         edge = np.concatenate(([0], np.cumsum(n)))
@@ -139,7 +194,7 @@ def in_buckets(found: DataFrame, rule: Rule) -> DataFrame:
         if not len(s):
             return None
         of = np.searchsorted(edge + np.arange(len(edge)), s, side="right") - 1
-        s, e = s - (edge[of] + of), e - (edge[of] + of)
+        s, e = s - (edge[of] + of) + off[of], e - (edge[of] + of) + off[of]
         mine, lengths = np.unique(of, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(minimiser[mine]), pa.array(digest[mine]), lists(s, lengths), lists(e, lengths)], ["minimiser", "digest", "starts", "ends"])
 
@@ -148,7 +203,7 @@ def in_buckets(found: DataFrame, rule: Rule) -> DataFrame:
         size = 0
         for batch in batches:
             m = batch.column(0).to_numpy()
-            weight = pc.binary_length(batch.column(6)).to_numpy()
+            weight = pc.binary_length(batch.column(7)).to_numpy()
             ends = np.concatenate((np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]))
             if held and len(m) and held[-1].column(0)[-1].as_py() != m[0] and size >= CHUNK_BYTES:
                 if (out := settle(held)) is not None:
@@ -168,61 +223,92 @@ def in_buckets(found: DataFrame, rule: Rule) -> DataFrame:
         if held and (out := settle(held)) is not None:
             yield out
 
-    dealt = found.repartition(F.col("minimiser")).sortWithinPartitions("minimiser", "digest")
+    dealt = found.repartition(F.col("key")).sortWithinPartitions("key", "minimiser", "digest")
     return dealt.mapInArrow(walk, "minimiser long, digest long, starts array<long>, ends array<long>")
 
 
-def by_window(found: DataFrame, rule: Rule) -> DataFrame:
-    """The same as in_buckets, for minimisers with any number of strings: windows are dealt out by their own hash."""
-    window, words = rule.window, rule.words
+def by_window(found: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The same as in_buckets, for minimisers with any number of strings: their windows are dealt out by own hash.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Up to BLOCK windows that lie alike around the minimiser go as one block at first. Blocks that
+    are repeats as a whole are settled by that; only the others, and one of each of
+    those, are dealt out window by window.
+    """
+    window, gram, words = rule.window, rule.gram, rule.words
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(4).to_numpy()
-            texts = batch.column(6).to_pylist()
-            for lo in range(0, len(texts), 500):
-                hashes = []
-                for text, k in zip(texts[lo : lo + 500], n[lo : lo + 500].tolist()):
-                    view = memoryview(text)
-                    if words:
-                        s, e = windows.word_bounds(np.frombuffer(text, np.uint8))
-                        hashes += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(s[:k].tolist(), e[window - 1 :].tolist())]
-                    else:
-                        hashes += [xxhash.xxh3_128_digest(view[a : a + window]) for a in range(k)]
-                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                k = n[lo : lo + 500]
-                of = np.repeat(np.arange(lo, lo + len(k)), k)
-                off = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+            out = []
+            for i, (minimiser, n, base, text) in enumerate(zip(batch.column(1).to_pylist(), *(batch.column(c).to_pylist() for c in (5, 6, 7)))):
+                starts, ends = unit_bounds(text, words)
+                side = (anchor(text, starts, ends, n, minimiser, gram) - np.arange(n)) // BLOCK
+                first = np.flatnonzero(np.concatenate(([True], side[1:] != side[:-1])))
+                for s, e in zip(first.tolist(), [*first[1:].tolist(), n]):
+                    out.append((i, base + s, e - s, text[starts[s] : ends[e + window - 2]]))
+            if out:
+                of, off, n, texts = zip(*out)
+                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
                 at = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(4))], ["w1", "w2", "off", "minimiser", "digest", "low", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(1, 5)), pa.array(n, pa.int64()), pa.array(texts, pa.binary())], ["h1", "h2", "off", "minimiser", "digest", "low", "count", "n", "string"])
 
-    rows = stage(found.mapInArrow(explode, "w1 long, w2 long, off long, minimiser long, digest long, low long, count long"), "windows")
-    if rule.earlier:
-        same = rows.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").select("w1", "w2", "least")
-        hit = rows.join(same, ["w1", "w2"]).where("low > least")
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for lo in range(0, len(texts), 2000):
+                hashes = []
+                for text, k in zip(texts[lo : lo + 2000], n[lo : lo + 2000].tolist()):
+                    starts, ends = unit_bounds(text, words)
+                    hashes += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts[:k].tolist(), ends[window - 1 :].tolist())]
+                h, k = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2), n[lo : lo + 2000]
+                at = pa.array(np.repeat(np.arange(lo, lo + len(k)), k))
+                off = batch.column(2).take(at).to_numpy() + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(3, 7))], ["w1", "w2", "off", "minimiser", "digest", "low", "count"])
+
+    pieces = scratch.stage(found.select(*PIECE).mapInArrow(blocks, "h1 long, h2 long, off long, minimiser long, digest long, low long, count long, n long, string binary"), "blocks")
+    same = pieces.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.sum("count").alias("total"), F.count("*").alias("strings"), F.first("n").alias("one_n"), F.first("string").alias("one"))
+    same = scratch.stage(same.where("least < most" if rule.earlier else "total > 1"), "same-blocks")
+    whole = pieces.drop("string").join(same.select("h1", "h2", "least"), ["h1", "h2"]).where("low > least" if rule.earlier else "count = 1")
+    whole = whole.select("minimiser", "digest", "off", (F.col("off") + F.col("n")).alias("end"))
+    columns = ["n", "string", "off", "minimiser", "digest", "low", "count"]
+    # what is left: blocks that aren't repeats, and one of each that is, for others to be held against
+    alone = pieces.join(same.select("h1", "h2"), ["h1", "h2"], "left_anti").select(*columns)
+    none = F.lit(None).cast("long")
+    if rule.earlier:  # the lowest of equal blocks may itself repeat a still lower one, window by window
+        lowest = pieces.join(same.select("h1", "h2", "least"), ["h1", "h2"]).where("low = least").select(*columns)
+        held = alone.unionByName(lowest)
     else:
-        same = rows.groupBy("w1", "w2").agg(F.sum("count").alias("c")).where("c > 1").select("w1", "w2")
-        hit = rows.where("count = 1").join(same, ["w1", "w2"])
-    hit = hit.groupBy("minimiser", "digest").agg(F.collect_set("off").alias("starts"))
-    return hit.select("minimiser", "digest", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
+        held = alone.unionByName(same.select(F.col("one_n").alias("n"), F.col("one").alias("string"), F.lit(0).cast("long").alias("off"), none.alias("minimiser"), none.alias("digest"), F.col("least").alias("low"), F.col("total").alias("count")))
+    rows = scratch.stage(held.mapInArrow(explode, "w1 long, w2 long, off long, minimiser long, digest long, low long, count long"), "windows")
+    counted = rows.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.sum("count").alias("total"))
+    counted = counted.where("least < most" if rule.earlier else "total > 1").select("w1", "w2", "least")
+    hit = rows.join(counted, ["w1", "w2"]).where("low > least" if rule.earlier else "count = 1")
+    hit = hit.select("minimiser", "digest", "off", (F.col("off") + 1).alias("end")).unionByName(whole)
+    hit = hit.groupBy("minimiser", "digest").agg(F.collect_list(F.struct("off", "end")).alias("r"))
+    return hit.select("minimiser", "digest", F.col("r.off").alias("starts"), F.col("r.end").alias("ends"))
 
 
 def removed(docs: DataFrame, rule: Rule) -> DataFrame:
     """docs(id, th, text) to (id, th, spans): unit ranges to remove, for the texts that have any; spans may overlap."""
     rows = stage(positions(docs, rule), "positions")
-    keys = rows.groupBy("minimiser", "digest").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("count"), F.min(F.struct("id", "th", "first", "n")).alias("at"))
-    keys = stage(keys, "digests")
+    keys = rows.groupBy("minimiser", "digest").agg(F.max("id").alias("high"), F.count("*").alias("count"), F.min(F.struct("id", "th", "first", "n")).alias("at"))
+    keys = stage(keys.withColumn("low", F.col("at.id")), "digests")
     several = keys.groupBy("minimiser").agg(F.count("*").alias("strings"), F.min("low").alias("a"), F.max("high").alias("b")).where("strings > 1" + (" and a < b" if rule.earlier else ""))
     wanted = keys.join(several.select("minimiser", (F.col("strings") > HOT).alias("hot")), "minimiser")
     wanted = wanted.select("at.*", "minimiser", "digest", "low", "count", "hot")
-    found = stage(strings(docs, wanted, rule), "strings")
-    shared = in_buckets(found.where("not hot"), rule).unionByName(by_window(found.where("hot"), rule))
-    shared = stage(shared, "shared")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.stage(strings(docs, wanted, rule), "strings")
+    finer = scratch.stage(refined(found.where("hot"), rule, scratch), "finer-strings")
+    cold = found.where("not hot").select(*PIECE).unionByName(finer.where("not hot").select(*PIECE))
+    shared = stage(in_buckets(cold, rule).unionByName(by_window(finer.where("hot"), rule, scratch)), "shared")
+    scratch.drop()
+    # the two halves of a string may each have runs
+    shared = shared.groupBy("minimiser", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
     last = rule.window - 1
     one = F.col("low") < F.col("high") if rule.earlier else F.col("count") > 1
     info = keys.select("minimiser", "digest", "low", "high", "count").join(shared, ["minimiser", "digest"], "left").where(one | F.col("starts").isNotNull())
-    hit = rows.join(info.drop("high"), ["minimiser", "digest"])
+    info = stage(info.drop("high"), "repeated")  # both sides of the next join are then dealt by it alone, so Spark can split a hot digest
+    hit = rows.join(info, ["minimiser", "digest"])
     whole = F.col("id") > F.col("low") if rule.earlier else F.col("count") > 1
     ranges = F.zip_with("starts", "ends", lambda s, e: F.struct((F.col("first") + s).alias("a"), (F.col("first") + e + last).alias("b")))
     spans = F.when(whole, F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") + last).alias("b")))).otherwise(ranges)
@@ -242,14 +328,14 @@ def cut(docs: DataFrame, id_col: str, text_col: str, rule: Rule, layout: bool =
     Words are kept joined by one space; with `layout` each kept run keeps its own white space.
     """
     spans = removed(docs.select(*identified(id_col, text_col)), rule)
-    base = docs.select(packed(docs), *identified(id_col, text_col))
-    joined = base.join(spans.withColumnsRenamed({"id": "s_id", "th": "s_th"}), (F.col("id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("row", "text", "spans")
-    words = rule.words
+    base = docs.select(packed(docs), *identified(id_col, text_col)[:2])
+    joined = base.join(spans.withColumnsRenamed({"id": "s_id", "th": "s_th"}), (F.col("id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left").select("row", "spans")
+    words, place_of_text = rule.words, docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends, buf = strings_of(batch.column(1))
-            column = batch.column(2)
+            starts, ends, buf = strings_of(batch.column(0).field(place_of_text))
+            column = batch.column(1)
             n_units, n_removed, kept, pairs, counts = [], [], [], [], []
             for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
                 raw, s, e = bytes(buf[a:b]), (), ()
