@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Scratch, connected_components, local_components, packed, stage, strings_of, unpacked
+from tarn.llm.common import Scratch, connected_components, local_components, packed, stage, strings_of, text_hash, unpacked
 
 SHINGLES_AT_ONCE = 1 << 17
 #: Cost of verifying a candidate against that of shuffling an index or probe row.
@@ -73,17 +73,24 @@ def fingerprint(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarra
     return np.packbits(2 * ones > totals[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def fingerprints(docs: DataFrame, text_col: str, words: int = 3, seed: int = 42) -> DataFrame:
-    """docs packed as `row`, with fp (the fingerprint as a signed long)."""
+def identity(id_col: str, text_col: str) -> list[Column]:
+    """id (null stays) and th, the content hash: rows that agree in both are repeats of one row here."""
+    return [F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(f"`{text_col}`").alias("th")]
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, seed: int = 42) -> DataFrame:
+    """(id, th, fp): the fingerprint of each row as a signed long. Only these come back from Python, no texts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends, buf = strings_of(batch.column(1))
-            texts = [bytes(buf[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint(texts, words, seed).view(np.int64))], ["row", "fp"])
+            starts, ends, buf = strings_of(batch.column(2))
+            fp = np.empty(len(starts), np.int64)
+            for lo in range(0, len(starts), 256):
+                part = slice(lo, lo + 256)
+                fp[part] = fingerprint([bytes(buf[a:b]) for a, b in zip(starts[part].tolist(), ends[part].tolist())], words, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["id", "th", "fp"])
 
-    base = docs.select(packed(docs), F.col(text_col).alias("text"))
-    return base.mapInArrow(apply, f"row {base.schema['row'].dataType.simpleString()}, fp long")
+    return docs.select(*identity(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(apply, "id long, th long, fp long")
 
 
 def pair_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -257,14 +264,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only such has a null component_id. An empty table gives an empty one. Columns of docs with
     these names are replaced.
     """
-    out = components(docs, id_col, text_col, words, distance, seed)
+    found = components(docs, id_col, text_col, words, distance, seed).groupBy("id", "th").agg(F.min("fp").alias("fp"), F.min("component_id").alias("component_id"))
+    found = found.withColumnsRenamed({"id": "f_id", "th": "f_th"})
+    base = docs.select(packed(docs), *identity(id_col, text_col))
+    out = base.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")))
     return unpacked(out, hex16(F.col("fp")).alias("fingerprint"), F.col("component_id"))
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, seed: int) -> DataFrame:
-    """docs packed as `row`, with fp, id, component (a fingerprint) and component_id."""
-    rows = stage(fingerprints(docs, text_col, words, seed), "simhash")
-    rows = rows.withColumn("id", F.col(f"row.`{id_col}`").cast("long"))
+    """(id, th, fp, component, component_id) for each row; component is a fingerprint."""
+    rows = stage(fingerprints(docs, id_col, text_col, words, seed), "simhash")
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
     scratch = Scratch(docs.sparkSession)
     nodes = connected_components(links(distinct, distance, scratch))
@@ -286,5 +295,13 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     It is the one with the smallest id; of rows that repeat it, any. Where only null ids are
     linked, one of these stays.
     """
-    out = components(docs, id_col, text_col, words, distance, seed).where(F.col("id").eqNullSafe(F.col("component_id")))
-    return out.dropDuplicates(["component"]).select("row.*")
+    mine = components(docs, id_col, text_col, words, distance, seed).where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = mine.groupBy("component").agg(F.min("th").alias("f_th"), F.first("id").alias("f_id"))
+    repeated = mine.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), F.lit(True).alias("again"))
+    first = stage(first.join(repeated, F.col("f_id").eqNullSafe(F.col("r_id")) & (F.col("f_th") == F.col("r_th")), "left").select("f_id", "f_th", F.coalesce("again", F.lit(False)).alias("again")), "simhash-first")
+    base = docs.select(packed(docs), *identity(id_col, text_col))
+    same = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))
+    out = base.join(first.where("not again"), same, "left_semi").select("row")
+    if not first.where("again").isEmpty():  # only of such rows one has to be picked
+        out = out.unionByName(base.join(first.where("again"), same, "left_semi").dropDuplicates(["id", "th"]).select("row"))
+    return out.select("row.*")
