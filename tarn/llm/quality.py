@@ -114,16 +114,17 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", sha
     these names are replaced.
     """
     above = stage(common_lines(docs, host_col, text_col, share, least), "lines").withColumnRenamed("host", "l_host")
-    base = docs.select(packed(docs), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    joined = base.join(maybe_broadcast(above, 1000), F.col("host").eqNullSafe(F.col("l_host")), "left").select("row", "text", "lines")
+    base = docs.select(packed(docs), F.col(host_col).alias("host"))
+    joined = base.join(maybe_broadcast(above, 1000), F.col("host").eqNullSafe(F.col("l_host")), "left").select("row", "lines")
+    place_of_text = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends, buf = strings_of(batch.column(1))
+            starts, ends, buf = strings_of(batch.column(0).field(place_of_text))
             texts = [bytes(buf[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
             sets: dict[bytes, set[int]] = {}
             n_removed, left, kept = [], [], []
-            for text, lines in zip(texts, batch.column(2)):
+            for text, lines in zip(texts, batch.column(1)):
                 bad: set[int] = set()
                 if lines.is_valid:
                     values = lines.values.to_numpy()
@@ -133,7 +134,7 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", sha
                 stay = [x for x in split if not x.strip() or line_hash(x) not in bad] if bad else split
                 n_removed.append(len(split) - len(stay))
                 after = b"\n".join(stay) if len(stay) < len(split) else text
-                kept.append(after)
+                kept.append(None if after is text else after)
                 left.append(len(after.split()))
             c = counts(texts)
             left = np.array(left, np.int64)
@@ -143,4 +144,4 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", sha
 
     row = base.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(apply, f"row {row}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, n_lines_removed long, n_words_left long, kept_text binary")
-    return unpacked(out, *(F.col(c) for c in (*COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_left")), F.col("kept_text").cast("string").alias("kept_text"))
+    return unpacked(out, *(F.col(c) for c in (*COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_left")), F.coalesce(F.col("kept_text").cast("string"), F.col(f"row.`{text_col}`"), F.lit("")).alias("kept_text"))
