@@ -43,30 +43,37 @@ def mix(docs: DataFrame, size: Column, source: Column, key: list[Column], weight
     of the same place; equal finish times are ordered by hash. An empty table gives an empty one.
     Columns of docs with these names are replaced.
     """
+    keys = [source.alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *key).alias("h")]
     scratch = Scratch(docs.sparkSession)
-    base = scratch.stage(docs.select(packed(docs), source.alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), *key).alias("h")), "mix-rows")
-    sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    units = scratch.stage(docs.select(*keys).groupBy("source", "size", "h").agg(F.count("*").alias("m")), "mix-units")
+    words = F.col("m") * F.col("size")
+    sources = units.groupBy("source").agg(F.sum(words).alias("source_size"), F.sum("m").alias("n"))
     sources = stage(targets(sources, weights, share, repeats), "mix-sources")
     n, budget = sources.agg(F.sum("n"), F.sum("source_size")).first()
     bits, budget = sqrt_bits(n or 0), (budget or 0) * share
 
-    base = base.withColumn("bucket", top_bits("h", bits))
-    offsets = base.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
+    units = units.withColumn("bucket", top_bits("h", bits))
+    offsets = units.groupBy("source", "bucket").agg(F.sum(words).alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = offsets.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), before.alias("before"))
-    rows = base.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket"))).drop("o_source", "o_bucket")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("cum", F.col("before") + F.sum("size").over(inside)).drop("before", "bucket")
+    units = units.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket"))).drop("o_source", "o_bucket")
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("given", F.col("before") + F.coalesce(F.sum(words).over(inside), F.lit(0))).drop("before", "bucket")
     small = maybe_broadcast(sources.select(F.col("source").alias("t_source"), "source_size", "target"))
-    rows = rows.join(small, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    times = F.array(*[(F.col("cum") + k * F.col("source_size")) / F.col("target") for k in range(repeats)])
-    rows = stage(rows.withColumn("draws", F.when((F.col("target") > 0) & (F.col("size") > 0), times).otherwise(F.array().cast("array<double>"))), "mix-times")
-
+    units = stage(units.join(small, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source"), "mix-given")
     scratch.drop()
-    draws = rows.select("h", "size", F.explode("draws").alias("f")).withColumn("grid", F.floor(F.col("f") * float(1 << bits)))
+
+    def finish(copy: Column) -> Column:
+        return F.array(*[(F.col("given") + copy * F.col("size") + k * F.col("source_size")) / F.col("target") for k in range(repeats)])
+
+    drawn = (F.col("target") > 0) & (F.col("size") > 0)
+    copies = units.where(drawn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(m - 1) div 1024"))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("part") * 1024 + 1, F.least(F.col("part") * 1024 + 1024, F.col("m")))))
+    draws = copies.select("h", "size", F.explode(finish(F.col("copy"))).alias("f")).withColumn("grid", F.floor(F.col("f") * float(1 << bits)))
     grid = draws.groupBy("grid").agg(F.sum("size").alias("s"))
     grid = grid.select("grid", "s", F.sum("s").over(Window.orderBy("grid").rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     over = grid.where(F.col("run") > F.lit(budget)).agg(F.min_by(F.struct("grid", (F.col("run") - F.col("s")).alias("before")), "grid").alias("x")).first()["x"]
+    taken = finish(F.col("copy"))
     if over is not None:
         run = F.sum("size").over(Window.orderBy("f", "h", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(over["before"])
         last = draws.where(F.col("grid") == over["grid"]).select("f", "h", run.alias("run")).where(F.col("run") <= F.lit(budget))
@@ -77,7 +84,17 @@ def mix(docs: DataFrame, size: Column, source: Column, key: list[Column], weight
                 return F.floor(f * float(1 << bits)) < F.lit(over["grid"])
             return (f < F.lit(last["f"])) | ((f == F.lit(last["f"])) & (F.col("h") <= F.lit(last["h"])))
 
-        rows = rows.withColumn("draws", F.filter("draws", accepted_at))
+        taken = F.filter(taken, accepted_at)
+
+    # whole rows travel once, to the numbers of their key; only repeated rows have to be told apart
+    known = units.withColumnsRenamed({"source": "u_source", "size": "u_size", "h": "u_h"})
+    same = (F.col("h") == F.col("u_h")) & (F.col("size") == F.col("u_size")) & F.col("source").eqNullSafe(F.col("u_source"))
+    base = docs.select(packed(docs), *keys)
+    rows = base.join(known.where("m = 1"), same).withColumn("copy", F.lit(1).cast("long"))
+    if not units.where("m > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy("h", "size", "source").orderBy("h")).cast("long")
+        rows = rows.unionByName(base.join(known.where("m > 1"), same).withColumn("copy", number))
+    rows = rows.withColumn("draws", F.when(drawn, taken).otherwise(F.array().cast("array<double>")))
     return unpacked(rows, F.col("size"), F.col("source_size"), F.col("target"), F.col("draws"))
 
 
