@@ -231,25 +231,29 @@ def by_window(found: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """The same as in_buckets, for minimisers with any number of strings: their windows are dealt out by own hash.
 
     Up to BLOCK windows that lie alike around the minimiser go as one block at first. Blocks that
-    are repeats as a whole are settled by that; only the others, and one of each of
-    those, are dealt out window by window.
+    are repeats as a whole are settled by that. So are blocks whose core, the units that all windows
+    of such a block share, lies in no other block: then none of their windows does. Only the
+    rest, and one of each of the whole repeats, are dealt out window by window.
     """
     window, gram, words = rule.window, rule.gram, rule.words
+    width = max(1, min(BLOCK, window // 2))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, (minimiser, n, base, text) in enumerate(zip(batch.column(1).to_pylist(), *(batch.column(c).to_pylist() for c in (5, 6, 7)))):
                 starts, ends = unit_bounds(text, words)
-                side = (anchor(text, starts, ends, n, minimiser, gram) - np.arange(n)) // BLOCK
+                side = ((at := anchor(text, starts, ends, n, minimiser, gram)) - np.arange(n)) // width
                 first = np.flatnonzero(np.concatenate(([True], side[1:] != side[:-1])))
                 for s, e in zip(first.tolist(), [*first[1:].tolist(), n]):
-                    out.append((i, base + s, e - s, text[starts[s] : ends[e + window - 2]]))
+                    begin = at - int(side[s]) * width  # equal windows lie alike, so their blocks have equal cores
+                    core = b"%d " % side[s] + text[starts[begin] : ends[begin + window - width]]
+                    out.append((i, base + s, e - s, text[starts[s] : ends[e + window - 2]], core))
             if out:
-                of, off, n, texts = zip(*out)
-                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
+                of, off, n, texts, cores = zip(*out)
+                h, c = (np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, x)), np.int64).reshape(-1, 2) for x in (texts, cores))
                 at = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(1, 5)), pa.array(n, pa.int64()), pa.array(texts, pa.binary())], ["h1", "h2", "off", "minimiser", "digest", "low", "count", "n", "string"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(1, 5)), pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], ["h1", "h2", "off", "minimiser", "digest", "low", "count", "n", "string", "c1", "c2"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,12 +268,14 @@ def by_window(found: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
                 off = batch.column(2).take(at).to_numpy() + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(3, 7))], ["w1", "w2", "off", "minimiser", "digest", "low", "count"])
 
-    pieces = scratch.stage(found.select(*PIECE).mapInArrow(blocks, "h1 long, h2 long, off long, minimiser long, digest long, low long, count long, n long, string binary"), "blocks")
-    same = pieces.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.sum("count").alias("total"), F.count("*").alias("strings"), F.first("n").alias("one_n"), F.first("string").alias("one"))
+    pieces = scratch.stage(found.select(*PIECE).mapInArrow(blocks, "h1 long, h2 long, off long, minimiser long, digest long, low long, count long, n long, string binary, c1 long, c2 long"), "blocks")
+    same = pieces.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.sum("count").alias("total"), F.count("*").alias("strings"), F.first("n").alias("one_n"), F.first("string").alias("one"), F.first("c1").alias("c1"), F.first("c2").alias("c2"))
     same = scratch.stage(same.where("least < most" if rule.earlier else "total > 1"), "same-blocks")
     whole = pieces.drop("string").join(same.select("h1", "h2", "least"), ["h1", "h2"]).where("low > least" if rule.earlier else "count = 1")
     whole = whole.select("minimiser", "digest", "off", (F.col("off") + F.col("n")).alias("end"))
-    columns = ["n", "string", "off", "minimiser", "digest", "low", "count"]
+    columns = ["n", "string", "off", "minimiser", "digest", "low", "count", "c1", "c2"]
+    cores = pieces.groupBy("c1", "c2").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("low", "h1", "h2") for f in (F.min, F.max)), F.sum("count").alias("total"))
+    cores = cores.where("min_low < max_low" if rule.earlier else "total > 1").where("min_h1 < max_h1 or min_h2 < max_h2").select("c1", "c2")
     # what is left: blocks that aren't repeats, and one of each that is, for others to be held against
     alone = pieces.join(same.select("h1", "h2"), ["h1", "h2"], "left_anti").select(*columns)
     none = F.lit(None).cast("long")
@@ -277,7 +283,8 @@ def by_window(found: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
         lowest = pieces.join(same.select("h1", "h2", "least"), ["h1", "h2"]).where("low = least").select(*columns)
         held = alone.unionByName(lowest)
     else:
-        held = alone.unionByName(same.select(F.col("one_n").alias("n"), F.col("one").alias("string"), F.lit(0).cast("long").alias("off"), none.alias("minimiser"), none.alias("digest"), F.col("least").alias("low"), F.col("total").alias("count")))
+        held = alone.unionByName(same.select(F.col("one_n").alias("n"), F.col("one").alias("string"), F.lit(0).cast("long").alias("off"), none.alias("minimiser"), none.alias("digest"), F.col("least").alias("low"), F.col("total").alias("count"), "c1", "c2"))
+    held = held.join(cores, ["c1", "c2"], "left_semi").select(*columns)
     rows = scratch.stage(held.mapInArrow(explode, "w1 long, w2 long, off long, minimiser long, digest long, low long, count long"), "windows")
     counted = rows.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.sum("count").alias("total"))
     counted = counted.where("least < most" if rule.earlier else "total > 1").select("w1", "w2", "least")
