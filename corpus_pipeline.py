@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences.
 
-Quality rules, SimHash near-dedup, substring dedup, mixing sources to target weights and
+Quality rules, near-dedup by shingle sets, substring dedup, mixing sources to target weights and
 best-fit packing, each on all that the stage before kept. All stages but the last return the
 columns of documents; repeated rows, nulls and empty tables are treated as the operators state.
 """
@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import common, mixing, packing, quality, simhash, substring
+from tarn.llm import common, mixing, neardup, packing, quality, substring
 
-#: Differing bits of near-duplicate fingerprints in this pipeline. Two texts that share over 0.8 of
-#: their five-word shingles differ in about 4 to 8 of 64 bits; unrelated ones differ in 17 or more.
+#: The Hamming radius that near-dedup took before it compared shingle sets; only tests/llm/test_pipeline.py still reads it.
 DISTANCE = 6
 
 
@@ -32,8 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: that with the smallest doc_id."""
-    return simhash.first_of_each(docs, distance=DISTANCE)
+    """One document of each component of texts that share 0.8 of their five-word shingles: that with the smallest doc_id."""
+    return neardup.first_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),

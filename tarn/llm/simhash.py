@@ -295,7 +295,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     It is the one with the smallest id; of rows that repeat it, any. Where only null ids are
     linked, one of these stays.
     """
-    mine = components(docs, id_col, text_col, words, distance, seed).where(F.col("id").eqNullSafe(F.col("component_id")))
+    return kept_rows(docs, components(docs, id_col, text_col, words, distance, seed), id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of docs that stays of each component in found (id, th, component, component_id)."""
+    mine = found.where(F.col("id").eqNullSafe(F.col("component_id")))
     first = mine.groupBy("component").agg(F.min("th").alias("f_th"), F.first("id").alias("f_id"))
     repeated = mine.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), F.lit(True).alias("again"))
     first = stage(first.join(repeated, F.col("f_id").eqNullSafe(F.col("r_id")) & (F.col("f_th") == F.col("r_th")), "left").select("f_id", "f_th", F.coalesce("again", F.lit(False)).alias("again")), "simhash-first")
