@@ -3,6 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline
 from tarn.llm import neardup
+from tests.llm.test_simhash import brute_components
 
 SCHEMA = "doc_id long, text string"
 
@@ -63,3 +64,11 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
 def test_near_copies_of_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert stay(spark, rows) == brute(rows)
+
+
+def test_texts_below_the_similarity_stay(spark):
+    """Document 185 lies within 6 bits of another document, whose shingles it shares by less than 0.8."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    low = {c for _, _, c in brute_components(rows, 6)}
+    assert 185 not in low and 185 in brute(rows)
+    assert stay(spark, rows) == brute(rows)
