@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Small sides up to this many rows (of a few fixed-width columns) may be broadcast.
@@ -60,20 +59,11 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def text_hash(col: str) -> Column:
     """64-bit content hash that tells apart rows with the same (or no) id."""
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")), F.col(col).isNull())
 
 
-def rows_per_bucket_bits(n_rows: int, per_bucket: int) -> int:
-    """Bits of a power-of-two bucket count that leaves about `per_bucket` rows in each."""
-    return max(0, int(np.ceil(np.log2(max(1, n_rows) / per_bucket))) if n_rows > per_bucket else 0)
-
-
 def strings_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
     """(starts, ends, buffer) of a string or binary Arrow array; null values are empty."""
     if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type):
@@ -145,7 +135,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for rep in steps[1:]:
         nodes = nodes.join(rep.select(F.col("u").alias("root"), F.col("r").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     nodes = stage(nodes, "cc-nodes") if len(steps) > 1 else nodes
-    lowest = nodes.groupBy("root").agg(F.min("node").alias("component"))
+    lowest = stage(nodes.groupBy("root").agg(F.min("node").alias("component")), "cc-lowest")  # written, so that Spark can split a hot root
     return nodes.join(lowest, "root").select("node", "component")
 
 
@@ -176,3 +166,30 @@ def sqrt_bits(n: int) -> int:
 
 def top_bits(h: str, bits: int) -> Column:
     return F.shiftrightunsigned(F.col(h), 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def copies(df: DataFrame, count: str) -> DataFrame:
+    """Each row of df as often as its column `count` says, numbered from 1 in `copy`; dealt out in two steps, so that no row makes one huge array."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div 1024")))
+    first = F.col("part") * 1024
+    return df.withColumn("part", part).withColumn("copy", F.explode(F.sequence(first + 1, F.least(first + 1024, F.col(count))))).drop("part")
+
+
+def numbered(base: DataFrame, keys: list[str], several: DataFrame) -> DataFrame:
+    """base(row, keys) with `copy`, which numbers the rows of equal keys from 1; several: the keys (null counts as a value) that occur more than once.
+
+    Rows that agree in everything collapse to a count first, so no task holds a row's repeats.
+    """
+    if several.isEmpty():
+        return base.withColumn("copy", F.lit(1).cast("long"))
+    several = stage(several.select(*[F.col(k).alias(f"s_{k}") for k in keys]), "repeated")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"s_{k}"))
+    several = maybe_broadcast(several)
+    variants = base.join(several, same, "left_semi").groupBy(*keys, F.xxhash64("row").alias("variant")).agg(F.first("row").alias("row"), F.count("*").alias("times"))
+    before = F.sum("times").over(Window.partitionBy(*keys).orderBy("variant").rowsBetween(Window.unboundedPreceding, -1))
+    again = copies(variants.withColumn("before", F.coalesce(before, F.lit(0))), "times")
+    # written, as nested columns can't be pruned through a Generate on a Window
+    again = stage(again.select("row", *keys, (F.col("before") + F.col("copy")).alias("copy")), "copies")
+    return base.join(several, same, "left_anti").select("row", *keys, F.lit(1).cast("long").alias("copy")).unionByName(again)

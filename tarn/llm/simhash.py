@@ -3,7 +3,7 @@
 Fingerprints are compared, not documents: equal ones collapse first. Correlated bits are grouped
 into partitions; a pair at distance d or less must agree to within t_i bits on some partition i
 if the sum of (t_i + 1) is d + 1. The thresholds t_i (-1: partition not used) are allotted by
-dynamic programming on candidate counts estimated from all fingerprints; fingerprints
+dynamic programming on candidate counts estimated from the joint counts of bits over all fingerprints; these
 are then indexed by their value on each used partition, probed with all values within
 t_i bits, and verified.
 """
@@ -20,55 +20,70 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Scratch, connected_components, local_components, packed, stage, strings_of, text_hash, unpacked
+from tarn.llm.common import connected_components, local_components, maybe_broadcast, packed, stage, strings_of, text_hash, unpacked
 
 SHINGLES_AT_ONCE = 1 << 17
+#: Bit j of a byte in byte j of a word.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 #: Cost of verifying a candidate against that of shuffling an index or probe row.
 CANDIDATE_COST = 0.002
-#: Rows of a bucket held at once; larger buckets are dealt out in blocks.
-BLOCK = 2048
+#: Rows of a bucket held at once; larger buckets are dealt out in blocks. Rows of a block compared at once.
+BLOCK, AT_ONCE = 2048, 1 << 15
 
 
-def fingerprint(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarray:
-    """Unsigned 64-bit fingerprints: a bit is 1 if set in over half the XXH64 of all word shingles (repeats included).
+def shingle_hashes(text: bytes, words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles of a text, repeats included, in slices.
 
-    A-Z count as a-z. Fewer words than a shingle takes make one shingle; no words give 0.
+    A-Z count as a-z. Fewer words than a shingle takes make one shingle; no words make none.
     """
+    digest = xxhash.xxh64_intdigest
+    parts = text.split()
+    n = max(len(parts) - words + 1, 1 if parts else 0)
+    if not n:
+        return
+    flat = b" ".join(parts).lower()
+    if n == 1:
+        starts, ends = [0], [len(flat)]
+    else:
+        gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+        starts = [0, *(gaps[: n - 1] + 1).tolist()]
+        ends = [*gaps[words - 1 :].tolist(), len(flat)]
+    for lo in range(0, n, SHINGLES_AT_ONCE):
+        hi = lo + SHINGLES_AT_ONCE
+        yield np.array([digest(flat[a:b], seed) for a, b in zip(starts[lo:hi], ends[lo:hi])], np.uint64)
+
+
+def bit_counts(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each of the stretches of h, none of them empty."""
+    first = np.cumsum(lengths) - lengths
+    edges = np.flatnonzero((np.arange(len(h)) - np.repeat(first, lengths)) % 255 == 0)
+    lanes = np.add.reduceat(SPREAD[h.view(np.uint8).reshape(-1, 8)], edges, axis=0)  # a byte a bit
+    return np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), np.searchsorted(edges, first), axis=0, dtype=np.int64)
+
+
+def fingerprint(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarray:
+    """Unsigned 64-bit fingerprints: a bit is 1 if set in over half the XXH64 of all word shingles (repeats included); no words give 0."""
     ones, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
-    hashes: list[int] = []
-    owners: list[tuple[int, int]] = []
+    hashes: list[np.ndarray] = []
+    owners: list[int] = []
 
     def count() -> None:
-        if not hashes:
-            return
-        h = np.array(hashes, np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        owner = np.array([o for o, _ in owners])
-        edge = np.cumsum([0, *(n for _, n in owners[:-1])])
-        np.add.at(ones, owner, np.add.reduceat(bits, edge, axis=0, dtype=np.int64))
-        hashes.clear()
-        owners.clear()
-
-    digest = xxhash.xxh64_intdigest
+        if hashes:
+            lengths = np.array([len(h) for h in hashes])
+            np.add.at(ones, owners, bit_counts(np.concatenate(hashes), lengths))
+            np.add.at(totals, owners, lengths)
+            hashes.clear()
+            owners.clear()
+
+    held = 0
     for i, text in enumerate(texts):
-        parts = text.split()
-        n = max(len(parts) - words + 1, 1 if parts else 0)
-        if not n:
-            continue
-        totals[i] = n
-        flat = b" ".join(parts).lower()
-        if n == 1:
-            starts, ends = [0], [len(flat)]
-        else:
-            gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-            starts = [0, *(gaps[: n - 1] + 1).tolist()]
-            ends = [*gaps[words - 1 :].tolist(), len(flat)]
-        for lo in range(0, n, SHINGLES_AT_ONCE):
-            part = [digest(flat[a:b], seed) for a, b in zip(starts[lo : lo + SHINGLES_AT_ONCE], ends[lo : lo + SHINGLES_AT_ONCE])]
-            hashes += part
-            owners.append((i, len(part)))
-            if len(hashes) >= SHINGLES_AT_ONCE:
+        for h in shingle_hashes(text, words, seed):
+            hashes.append(h)
+            owners.append(i)
+            held += len(h)
+            if held >= SHINGLES_AT_ONCE:
                 count()
+                held = 0
     count()
     return np.packbits(2 * ones > totals[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
@@ -93,20 +108,25 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3, se
     return docs.select(*identity(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(apply, "id long, th long, fp long")
 
 
-def pair_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and of those with bits i and j both set, over all of them."""
+def pair_counts(distinct: DataFrame, fps: str = "fps") -> tuple[int, np.ndarray]:
+    """Number of rows, and for each of the fingerprints in their arrays `fps` how many have bits i and j both set, over all of them."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((64, 64), np.int64)
+        total = None
         for batch in batches:
-            bits = np.unpackbits(batch.column(0).to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total += (bits.T @ bits).astype(np.int64)
-        i, j = np.divmod(np.arange(4096), 64)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "n"])
-
-    both = np.zeros((64, 64), np.int64)
-    for r in distinct.select("fp").mapInArrow(partial, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        both[r["i"], r["j"]] = r["n"]
+            if batch.num_rows:
+                all_fps = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                bits = np.unpackbits(np.ascontiguousarray(all_fps).view(np.uint8).reshape(*all_fps.shape, 8), axis=2, bitorder="little").astype(np.float32)
+                now = np.stack([bits[:, w].T @ bits[:, w] for w in range(all_fps.shape[1])]).astype(np.int64)
+                total = now if total is None else total + now
+        if total is not None:
+            w, i, j = (x.ravel() for x in np.indices(total.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(i), pa.array(j), pa.array(total.ravel())], ["w", "i", "j", "n"])
+
+    found = distinct.select(fps).mapInArrow(partial, "w long, i long, j long, n long").groupBy("w", "i", "j").agg(F.sum("n").alias("n")).collect()
+    both = np.zeros((max((r["w"] for r in found), default=-1) + 1, 64, 64), np.int64)
+    for r in found:
+        both[r["w"], r["i"], r["j"]] = r["n"]
     return distinct.count(), both
 
 
@@ -149,19 +169,28 @@ def mask_of(bits: list[int]) -> int:
     return signed(sum(1 << b for b in bits))
 
 
-def plan(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]]:
+def agreement(both: np.ndarray, n: int, bits: list[int]) -> float:
+    """Estimated share of pairs that agree on all bits: each bit given the one before it that it depends on most."""
+    p = np.diag(both) / n
+    both = both / n
+    neither = 1 - p[:, None] - p[None, :] + both
+    joint = both**2 + (p[:, None] - both) ** 2 + (p[None, :] - both) ** 2 + neither**2
+    alone = p**2 + (1 - p) ** 2
+    share = alone[bits[0]]
+    for k, b in enumerate(bits[1:], 1):
+        share *= max(alone[b], *(joint[a, b] / alone[a] for a in bits[:k]))
+    return max(float(share), 1 / n / n)
+
+
+def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the partitions to use, of the cheapest scheme with 1 to distance + 1 partitions."""
-    n, both = pair_counts(distinct)
     if n < 2:
         return []
-    schemes = [correlated(both, n, m) for m in range(1, distance + 2)]
-    keys = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask_of(bits)).cast("long")).alias("k")) for s, groups in enumerate(schemes) for i, bits in enumerate(groups)])
-    same = distinct.select(F.inline(keys)).groupBy("s", "i", "k").count().groupBy("s", "i").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("x")).collect()
-    agree = {(r["s"], r["i"]): (r["x"] - n) / n / n for r in same}
     p = np.diag(both) / n
     differ = np.clip(2 * p * (1 - p), 1e-6, 0.5)
     best = None
-    for s, groups in enumerate(schemes):
+    for m in range(1, distance + 2):
+        groups = correlated(both, n, m)
         costs = np.zeros((len(groups), distance + 2))
         for i, bits in enumerate(groups):
             odds = differ[bits] / (1 - differ[bits])
@@ -170,7 +199,7 @@ def plan(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]]:
             for x in odds:  # elementary symmetric sums: odds of differing in exactly t bits
                 symmetric[1:] += x * symmetric[:-1]
             probes = np.cumsum([comb(len(bits), t) for t in range(distance + 1)])
-            pairs = np.minimum(1, max(agree[s, i], 1 / n / n) * np.cumsum(symmetric)) * n * n / 2
+            pairs = np.minimum(1, agreement(both, n, bits) * np.cumsum(symmetric)) * n * n / 2
             costs[i, 1:] = n * probes + n + CANDIDATE_COST * pairs
         cost, thresholds = allot(costs, distance + 1)
         if best is None or cost < best[0]:
@@ -178,81 +207,112 @@ def plan(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]]:
     return best[1]
 
 
-def links(distinct: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
-    """(u, v): a spanning forest, bucket by bucket, of all pairs of distinct fingerprints at `distance` or less.
+#: What a row is dealt by: partition, value of its bits there, block; whether it only asks.
+DEALT = ["part", "key", "block", "probe"]
 
-    No pair is lost: each lies in some bucket, and every bucket's links connect what its pairs connect.
+
+def indexed(nodes: DataFrame, plans: list[list[tuple[list[int], int]]], payload: list[str]) -> DataFrame:
+    """(part, key, probe, payload): a row for each partition and each value to look up there; plans: one for each fingerprint in the array `fps`."""
+    entries, number = [], 0
+    for w, used in enumerate(plans):
+        for bits, t in used:
+            for c in (c for k in range(t + 1) for c in combinations(bits, k)):
+                entries.append(F.struct(F.lit(number).alias("part"), F.lit(w).alias("w"), F.lit(mask_of(bits)).cast("long").alias("mask"), F.lit(signed(sum(1 << b for b in c))).cast("long").alias("flip")))
+            number += 1
+
+    def entry(e: Column) -> Column:
+        key = F.get("fps", e["w"]).bitwiseAND(e["mask"]).bitwiseXOR(e["flip"])
+        return F.struct(e["part"].alias("part"), key.alias("key"), (e["flip"] != 0).alias("probe"))
+
+    return nodes.select(F.inline(F.transform(F.array(*entries), entry)), *payload)
+
+
+def dealt(rows: DataFrame, payload: list[str]) -> DataFrame:
+    """indexed rows, dealt out by bucket and sorted, index rows before those that ask.
+
+    A bucket over BLOCK index rows is dealt out: these to blocks by hash of the first column of payload, and
+    all that ask, index rows among them, to every block.
+    """
+    held = rows.where("not probe").groupBy("part", "key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
+    held = maybe_broadcast(held.select(F.col("part").alias("p"), F.col("key").alias("k"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")))
+    rows = rows.join(held, (F.col("part") == F.col("p")) & (F.col("key") == F.col("k")), "left")
+    own = F.pmod(F.xxhash64(payload[0]), F.col("blocks")).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("probe")))
+    alone = F.array(F.struct(F.lit(0).alias("block"), F.col("probe").alias("probe")))
+    index = F.array(F.struct(own.alias("block"), F.lit(False).alias("probe")))
+    places = F.when(F.col("blocks").isNull(), alone).when(F.col("probe"), every).otherwise(F.concat(index, every))
+    out = rows.select("part", "key", *payload, places.alias("at")).select("part", "key", *payload, F.inline("at"))
+    return out.select(*DEALT, *payload).repartition("part", "key", "block").sortWithinPartitions(*DEALT)
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole buckets of dealt rows; of a bucket with more than AT_ONCE rows, its index rows with stretches of those that ask."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(batch.num_columns)]
+        held = [np.concatenate(x) for x in zip(held, now)] if held else now
+        last = np.flatnonzero(np.any([x != x[-1] for x in held[:3]], axis=0))
+        at = int(last[-1]) + 1 if len(last) else 0  # where the last bucket begins
+        if at:
+            yield [x[:at] for x in held]
+            held = [x[at:] for x in held]
+        if len(held[0]) > AT_ONCE and held[3][-1]:
+            yield held
+            held = [x[~held[3]] for x in held]
+    if held:
+        yield held
+
+
+def meetings(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) that meet in a bucket, i an index row, in pieces."""
+    n = len(cols[0])
+    new = np.ones(n + 1, bool)
+    new[1:-1] = np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)
+    edge = np.flatnonzero(new)
+    left = np.repeat(edge[1:], np.diff(edge)) - np.arange(n)
+    active, d = np.flatnonzero(~cols[3] & (left > 1)), 1
+    while len(active):
+        yield active, active + d
+        d += 1
+        active = active[left[active] > d]
+
+
+def links(distinct: DataFrame, distance: int) -> DataFrame:
+    """(u, v): a spanning forest, bucket by bucket, of all pairs of fingerprints (fp) at `distance` or less.
+
+    No pair is lost: each meets in some bucket, and every bucket's links connect what its pairs connect.
     """
-    used = plan(distinct, distance)
-    if not used:
+    nodes = distinct.select("fp", F.array("fp").alias("fps"))
+    n, both = pair_counts(nodes)
+    if n < 2:
         return distinct.sparkSession.createDataFrame([], "u long, v long")
-    rows = None
-    for i, (bits, t) in enumerate(used):
-        near = [signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(bits, k)]
-        key = F.col("fp").bitwiseAND(F.lit(mask_of(bits)).cast("long"))
-        part = distinct.select(F.lit(i).alias("part"), key.alias("key"), "fp", F.lit(False).alias("probe"))
-        if t:
-            others = F.explode(F.array(*[F.lit(x).cast("long") for x in near[1:]]))
-            part = part.unionByName(distinct.select(F.lit(i).alias("part"), "fp", key.alias("own"), others.alias("flip")).select("part", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "fp", F.lit(True).alias("probe")))
-        rows = part if rows is None else rows.unionByName(part)
-
-    # a bucket over BLOCK rows is dealt out: its index rows to blocks of the hash, its probes (and index rows, as probes) to all of them
-    rows = scratch.stage(rows, "gph-rows")
-    large = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("held")).where((F.col("held") > 0) & (F.col("n") > 1))
-    large = large.select("part", "key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(large, ["part", "key"])
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    index = rows.where("not probe").select("part", "key", block.alias("block"), "fp", F.lit(False).alias("probe"))
-    asked = rows.where("probe or blocks > 1").select("part", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", F.lit(True).alias("probe"))
-    dealt = index.unionByName(asked).repartition(F.col("part"), F.col("key"), F.col("block")).sortWithinPartitions("part", "key", "block", "probe")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(index: np.ndarray, asked: np.ndarray) -> pa.RecordBatch | None:
-            u, v = [], []
-            everyone = np.concatenate((index, asked))
-            for lo in range(0, len(everyone), 512):
-                far = np.bitwise_count(everyone[lo : lo + 512, None] ^ index[None, :])
-                a, b = np.nonzero(far <= distance)
-                u.append(a + lo)
-                v.append(b)
-            u, v = np.concatenate(u), np.concatenate(v)
-            keep = everyone[u] != index[v]
-            u, v = u[keep], v[keep]
-            if not len(u):
-                return None
-            names, place = np.unique(everyone, return_inverse=True)
-            label = local_components(len(names), place[u], place[v])
-            child = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(names[label[child]].view(np.int64)), pa.array(names[child].view(np.int64))], ["u", "v"])
-
-        bucket, index, asked, n = None, [], [], 0
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2)])
-            fp = batch.column(3).to_numpy().view(np.uint64)
-            probe = batch.column(4).to_numpy(zero_copy_only=False)
-            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(fp)]
-            for a, b in zip(edge[:-1], edge[1:]):
-                if a == b:
-                    continue
-                now = tuple(key[:, a])
-                if now != bucket or n > 4 * BLOCK:
-                    if n > 1 and index and (out := forest(np.concatenate(index), np.concatenate([np.empty(0, np.uint64), *asked]))) is not None:
-                        yield out
-                    if now != bucket:
-                        index = []
-                        n = 0
-                    else:  # the index stays while more of the bucket's probes stream by
-                        n = sum(map(len, index))
-                    bucket, asked = now, []
-                if (own := fp[a:b][~probe[a:b]]).size:
-                    index.append(own)
-                if (more := fp[a:b][probe[a:b]]).size:
-                    asked.append(more)
-                n += b - a
-        if n > 1 and index and (out := forest(np.concatenate(index), np.concatenate([np.empty(0, np.uint64), *asked]))) is not None:
-            yield out
-
-    return dealt.mapInArrow(verify, "u long, v long")
+        for cols in chunks(batches):
+            fp = cols[4].view(np.uint64)
+            u, v, held = [], [], 0
+
+            def forest(u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+                label = local_components(len(fp), np.concatenate(u), np.concatenate(v))
+                child = np.flatnonzero(label != np.arange(len(label)))
+                return label[child], child
+
+            for i, j in meetings(cols):
+                x = fp[i] ^ fp[j]
+                near = np.flatnonzero((np.bitwise_count(x) <= distance) & (x != 0))
+                u.append(i[near])
+                v.append(j[near])
+                held += len(near)
+                if held > 1 << 21:
+                    a, b = forest(u, v)
+                    u, v, held = [a], [b], len(a)
+            if held:
+                a, b = forest(u, v)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[4][a]), pa.array(cols[4][b])], ["u", "v"])
+
+    return dealt(indexed(nodes, [plan(n, both[0], distance)], ["fp"]), ["fp"]).mapInArrow(verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
@@ -275,13 +335,11 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, distance
     """(id, th, fp, component, component_id) for each row; component is a fingerprint."""
     rows = stage(fingerprints(docs, id_col, text_col, words, seed), "simhash")
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    scratch = Scratch(docs.sparkSession)
-    nodes = connected_components(links(distinct, distance, scratch))
-    scratch.drop()
+    nodes = connected_components(links(distinct, distance))
     whole = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     whole = stage(whole, "simhash-nodes")
-    lows = whole.groupBy("component").agg(F.min("low").alias("component_id"))
-    whole = whole.join(lows, "component").select("fp", "component", "component_id")
+    lows = stage(whole.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lows")  # written, so that Spark can split a hot component
+    whole = stage(whole.join(lows, "component").select("fp", "component", "component_id"), "simhash-components")
     return rows.join(whole, "fp")
 
 
