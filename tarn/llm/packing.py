@@ -2,20 +2,22 @@
 
 Full pieces of documents longer than the largest capacity are bins by themselves. The rest is
 dealt by hash into groups that one task packs: items in falling size go to the open bin that
-they leave the least room in; if none has room, the bin size of least cost for what is
-left to pack is opened; at last every bin is downsized to the smallest capacity that holds it.
+they leave the least room in; if none has room, each capacity is filled on trial with what is left to
+pack, and the one whose bin, downsized to its contents, costs least for each word is opened; at
+last every bin is downsized to the smallest capacity that holds it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import stage
+from tarn.llm.common import copies, stage
 
 #: Permitted sequence lengths in words, and what a sequence costs besides them.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096), 16
@@ -23,22 +25,53 @@ CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096), 16
 GROUP = 4096
 
 
-def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> list[list[int]]:
-    """Bins as lists of item numbers; sizes must fall and not exceed the largest capacity."""
+class Rest:
+    """Sizes still to pack, with their numbers, in falling order."""
+
+    def __init__(self, sizes: list[int]) -> None:
+        count = Counter(sizes)
+        self.sizes = sorted(count, reverse=True)
+        self.count = [count[s] for s in self.sizes]
+        self.falling = [-s for s in self.sizes]
+
+    def drop(self, size: int) -> None:
+        self.count[bisect_left(self.falling, -size)] -= 1
+
+    def filled(self, room: int) -> int:
+        """Words that go into `room` if the largest that fits is put in again and again."""
+        at, used = 0, 0
+        while (at := max(at, bisect_left(self.falling, used - room))) < len(self.sizes) and used < room:
+            if size := self.sizes[at]:
+                used += size * min(self.count[at], (room - used) // size)
+            at += 1
+        return used
+
+
+def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, keys: list | None = None) -> list[list[int]]:
+    """Bins as lists of item numbers; sizes must fall and not exceed the largest capacity. No bin holds two items of one key."""
     bins: list[list[int]] = []
+    held: list[set] = []
     rooms: list[tuple[int, int]] = []  # (room left, bin), in order
-    rest = sum(sizes)
+    rest = Rest(sizes)
     for item, size in enumerate(sizes):
+        rest.drop(size)
         at = bisect_left(rooms, (size, -1))
+        while keys and at < len(rooms) and keys[item] in held[rooms[at][1]]:
+            at += 1
         if at < len(rooms):
             room, k = rooms.pop(at)
         else:
-            room = min((c for c in capacities if c >= size), key=lambda c: ((c + overhead) / min(c, max(1, rest)), c))
-            k = len(bins)
+            cost = {}
+            for c in sorted(c for c in capacities if c >= size):
+                used = size + rest.filled(c - size)
+                cost[c] = (fitting(used, capacities) + overhead) / max(1, used)
+            room, k = min(cost, key=cost.get), len(bins)
             bins.append([])
+            held.append(set())
         bins[k].append(item)
+        if keys:
+            held[k].add(keys[item])
         insort(rooms, (room - size, k))
-        rest -= size
     return bins
 
 
@@ -51,13 +84,14 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tupl
 
     Every word of every row is in exactly one item. Rows longer than the largest capacity are
     cut at its multiples; rows without words (null, empty) make one item of no length; rows that
-    repeat make items of their own; ids may be null. bin_id is unique and the same in every run. An
-    empty table gives no bins.
+    repeat make items of their own, in different groups and never in one bin; ids may be null. bin_id is unique and the
+    same in every run. An empty table gives no bins.
     """
     largest, kind = max(capacities), docs.schema[id_col].dataType.simpleString()
-    base = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.cast("long").alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")), "pack-items")
-    groups = max(1, -(-base.count() // GROUP))
-    base = base.withColumn("group", F.pmod(F.xxhash64("h"), F.lit(groups)))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.cast("long").alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    base = stage(base.groupBy("doc_id", "size", "h").agg(F.count("*").alias("n")), "pack-items")
+    groups = max(1, -(-(base.agg(F.sum("n")).first()[0] or 0) // GROUP))
+    base = copies(base, "n").withColumn("group", F.pmod(F.xxhash64("h", "copy"), F.lit(groups))).drop("n", "copy")
 
     def group_bins(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("h", "ascending")])
@@ -66,7 +100,8 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tupl
         full = [(i, at, at + largest) for i in np.flatnonzero(starts) for at in range(0, int(starts[i]), largest)]
         tail = np.flatnonzero((sizes > starts) | (sizes == 0))
         tail = tail[np.argsort(-(sizes - starts)[tail], kind="stable")]
-        bins = [[x] for x in full] + [[(int(i), int(starts[i]), int(sizes[i])) for i in tail[b]] for b in best_fit((sizes - starts)[tail].tolist(), capacities, overhead)]
+        packed = best_fit((sizes - starts)[tail].tolist(), capacities, overhead, table.column("h").to_numpy()[tail].tolist())
+        bins = [[x] for x in full] + [[(int(i), int(starts[i]), int(sizes[i])) for i in tail[b]] for b in packed]
         used = [sum(e - s for _, s, e in b) for b in bins]
         flat = [x for b in bins for x in b]
         ids = table.column("doc_id").combine_chunks().take(pa.array([i for i, _, _ in flat], pa.int64()))
