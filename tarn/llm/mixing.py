@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Scratch, maybe_broadcast, packed, sqrt_bits, stage, top_bits, unpacked
+from tarn.llm.common import Scratch, copies, maybe_broadcast, numbered, packed, sqrt_bits, stage, top_bits, unpacked
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -67,9 +67,7 @@ def mix(docs: DataFrame, size: Column, source: Column, key: list[Column], weight
         return F.array(*[(F.col("given") + copy * F.col("size") + k * F.col("source_size")) / F.col("target") for k in range(repeats)])
 
     drawn = (F.col("target") > 0) & (F.col("size") > 0)
-    copies = units.where(drawn).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(m - 1) div 1024"))))
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("part") * 1024 + 1, F.least(F.col("part") * 1024 + 1024, F.col("m")))))
-    draws = copies.select("h", "size", F.explode(finish(F.col("copy"))).alias("f")).withColumn("grid", F.floor(F.col("f") * float(1 << bits)))
+    draws = copies(units.where(drawn), "m").select("h", "size", F.explode(finish(F.col("copy"))).alias("f")).withColumn("grid", F.floor(F.col("f") * float(1 << bits)))
     grid = draws.groupBy("grid").agg(F.sum("size").alias("s"))
     grid = grid.select("grid", "s", F.sum("s").over(Window.orderBy("grid").rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     over = grid.where(F.col("run") > F.lit(budget)).agg(F.min_by(F.struct("grid", (F.col("run") - F.col("s")).alias("before")), "grid").alias("x")).first()["x"]
@@ -89,11 +87,7 @@ def mix(docs: DataFrame, size: Column, source: Column, key: list[Column], weight
     # whole rows travel once, to the numbers of their key; only repeated rows have to be told apart
     known = units.withColumnsRenamed({"source": "u_source", "size": "u_size", "h": "u_h"})
     same = (F.col("h") == F.col("u_h")) & (F.col("size") == F.col("u_size")) & F.col("source").eqNullSafe(F.col("u_source"))
-    base = docs.select(packed(docs), *keys)
-    rows = base.join(known.where("m = 1"), same).withColumn("copy", F.lit(1).cast("long"))
-    if not units.where("m > 1").isEmpty():
-        number = F.row_number().over(Window.partitionBy("h", "size", "source").orderBy("h")).cast("long")
-        rows = rows.unionByName(base.join(known.where("m > 1"), same).withColumn("copy", number))
+    rows = numbered(docs.select(packed(docs), *keys), ["h", "size", "source"], units.where("m > 1")).join(known, same)
     rows = rows.withColumn("draws", F.when(drawn, taken).otherwise(F.array().cast("array<double>")))
     return unpacked(rows, F.col("size"), F.col("source_size"), F.col("target"), F.col("draws"))
 

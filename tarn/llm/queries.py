@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", common.word_count(F.col("text")).alias("size"), common.text_hash("text").alias("h"))
+    docs = common.stage(docs, "op1-docs")  # words are counted once
     mixed = mixing.mix(docs, F.col("size"), F.col("source"), [F.col("doc_id"), F.col("h")])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
