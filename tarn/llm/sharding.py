@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Scratch, maybe_broadcast, packed, sqrt_bits, stage, top_bits, unpacked
+from tarn.llm.common import Scratch, maybe_broadcast, numbered, packed, sqrt_bits, stage, top_bits, unpacked
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -57,6 +57,9 @@ def shuffle_into_shards(df: DataFrame, key: list[Column], n_shards: int = 16, se
     spark = df.sparkSession
     scratch = Scratch(spark)
     base = scratch.stage(df.select(packed(df), F.xxhash64(F.lit(seed), *key).alias("h1"), F.xxhash64(F.lit(seed + 1), *key).alias("h2")), "shard-rows")
+    repeated = base.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    base = numbered(base, ["h1", "h2"], repeated)  # rows with the same key go separate ways
+    base = base.select("row", *[F.when(F.col("copy") == 1, F.col(h)).otherwise(F.xxhash64(h, "copy")).alias(h) for h in ("h1", "h2")])
     n = base.count()
     base = base.withColumn("bucket", top_bits("h1", sqrt_bits(n)))
     counts = sorted(base.groupBy("bucket").count().collect())
@@ -76,8 +79,3 @@ def shuffle_into_shards(df: DataFrame, key: list[Column], n_shards: int = 16, se
     slot = F.col("before") + F.row_number().over(Window.partitionBy("shard", "part").orderBy("h2", "h1")) - 1
     placed = dealt.join(offsets, ["shard", "part"]).withColumn("slot", slot.cast("long"))
     return unpacked(placed, F.col("shard"), F.col("slot"))
-
-
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder a shard, its files range-sorted by slot."""
-    sharded.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
