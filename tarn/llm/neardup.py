@@ -1,46 +1,56 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""SimHash near-dedup at a Jaccard similarity of word shingles, verified.
 
-Equal shingle sets collapse first. Shingles get one global order (those frequent in a sample last, the rest by
-hash); two sets that are similar enough share a shingle among the first n - ceil(similarity * n) + 1 of each, so
-rows that meet on one are all candidates there are. Sizes, positions and counts of shingles by hash bucket, which
-bound the overlap from above, rule out most of them; the rest is verified on whole sets. Neighbours by size are verified first; after that only pairs whose components still differ.
+Each set of shingles gets several independent 64-bit fingerprints. A generalised pigeonhole index of
+each (as in `simhash`) finds all pairs within DISTANCE bits on any one of them; what meets
+there is held against two more fingerprints and the sizes, and then exactly: only pairs whose whole
+sets share `similarity` are links. At a similarity of 0.8 fingerprints differ in 9.7 of 64 bits on
+average, but with four partitions of 16 bits a pair meets by one fingerprint with a chance of about
+0.25, hence by WORDS of them with one of about 0.97 (0.996 at 0.85).
+
+A bucket with few candidates gives all of them. One with many (a group of copies) first gives each row's nearest
+neighbour; when these are verified and connected, only pairs whose components still differ follow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import simhash, windows
 from tarn.llm.common import Scratch, connected_components, maybe_broadcast, stage, strings_of
 
-#: Texts (about) and shingles of the sample that tells frequent shingles; they only decide the order.
-SAMPLE, FREQUENT = 1 << 14, 1 << 17
-#: Hash buckets in which the shingles of a set are counted.
-BUCKETS = 64
+#: Fingerprints of a set; bits by which pairs that the index has to find may differ on one of them.
+WORDS, DISTANCE = 14, 3
+#: Bits of 128 by which a candidate may differ on two other fingerprints (at 0.8: 19.4 on average, standard deviation 4.1).
+FAR = 34
+#: Candidates for each row beyond which a bucket gives nearest neighbours first.
+MANY = 4
+PAYLOAD = ["node", "n", "a", "b"]
 
 
-def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of all word shingles of each text; A-Z count as a-z.
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct XXH64 of all word shingles of a text, as in simhash.shingle_hashes."""
+    parts = list(simhash.shingle_hashes(text, words, 42))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
-    Fewer words than a shingle takes make one shingle; no words make none.
-    """
-    plain = [b" ".join(t.lower().split()) for t in texts]
-    found: list[list[np.ndarray]] = [[] for _ in texts]
-    for starts, ends, data, pieces, _ in windows.slices(plain, words, True):
-        h = windows.mixed(windows.PrefixHash(data).ranges(starts[: len(starts) - words + 1], ends[words - 1 :]))
-        for text, _, at, units in pieces:
-            found[text].append(h[at : at + units - words + 1])
-    for t, parts in zip(plain, found):
-        if t and not parts:
-            parts.append(np.array([xxhash.xxh3_64_intdigest(t)], np.uint64))
-    return [np.unique(np.concatenate(p)) if p else np.empty(0, np.uint64) for p in found]
+
+def fingerprints_of(sets: list[np.ndarray], count: int = WORDS) -> np.ndarray:
+    """`count` fingerprints of each set, a row each: a bit is 1 if set in over half of its hashes, mixed anew for each fingerprint."""
+    out = np.zeros((len(sets), count), np.uint64)
+    lengths = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(lengths)
+    if len(some):
+        h = np.concatenate([sets[i] for i in some])
+        for w in range(count):
+            ones = simhash.bit_counts(windows.mixed(h + np.uint64(w * windows.BASE % (1 << 64))), lengths[some])
+            out[some, w] = np.packbits(2 * ones > lengths[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -49,129 +59,156 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield lo, [bytes(buf[a:b]) for a, b in zip(starts[lo : lo + 256].tolist(), ends[lo : lo + 256].tolist())]
 
 
-def frequent(base: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that several texts of the sample have, and their counts there."""
+def fingerprinted(base: DataFrame, words: int) -> DataFrame:
+    """(id, th, node, n, fps) for each row: a digest of its set of shingles, the size and the fingerprints of that."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in texts_of(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles(texts, words)).view(np.int64))], ["k"])
+            for lo, texts in texts_of(batch.column(2)):
+                sets = [shingle_set(t, words) for t in texts]
+                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                fps = fingerprints_of(sets).view(np.int64)
+                offsets = pa.array(np.arange(len(sets) + 1) * fps.shape[1], pa.int32())
+                own = [batch.column(c).slice(lo, len(texts)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(fps.ravel()))], ["id", "th", "node", "n", "fps"])
 
-    step = max(1, base.count() // SAMPLE)
-    drawn = base.where(F.pmod(F.xxhash64("th"), F.lit(step)) == 0).dropDuplicates(["th"]).select("text")
-    top = drawn.mapInArrow(apply, "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "k").limit(FREQUENT).collect()
-    k, n = np.array([r["k"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
-    order = np.argsort(k)
-    return k[order], n[order]
+    return base.mapInArrow(apply, "id long, th long, node long, n long, fps array<long>")
 
 
-def shingled(base: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(id, th, node, n, prefix, counts) for each row; node is a digest of the set, counts are its shingles by hash bucket."""
-    known, counts = frequent(base, words)
+def candidates(cols: list[np.ndarray], similarity: Fraction, component: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows i, rows j, distances) that meet in dealt rows and may be similar enough; with components, only where these differ."""
     num, den = similarity.numerator, similarity.denominator
+    node, n, a, b = cols[4], cols[5], cols[6].view(np.uint64), cols[7].view(np.uint64)
+    for i, j in simhash.meetings(cols):
+        far = np.bitwise_count(a[i] ^ a[j]).astype(np.int64) + np.bitwise_count(b[i] ^ b[j])
+        ok = (far <= FAR) & (node[i] != node[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+        if component is not None:
+            ok &= component[i] != component[j]
+        at = np.flatnonzero(ok)
+        if len(at):
+            yield i[at], j[at], far[at]
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, texts in texts_of(batch.column(2)):
-                node, size, prefix, tally = [], [], [], []
-                for u in shingles(texts, words):
-                    rank = np.zeros(len(u), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                        rank = np.where(known[at] == u, counts[at], 0)
-                    first = np.lexsort((u, rank))[: len(u) - -(-num * len(u) // den) + 1]
-                    prefix.append(u[first].view(np.int64))
-                    tally.append(np.bincount((u & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32).tobytes())
-                    node.append(xxhash.xxh3_64_intdigest(u.tobytes()))
-                    size.append(len(u))
-                offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-                columns = [batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64())]
-                columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))), pa.array(tally, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "node", "n", "prefix", "counts"])
-
-    return base.mapInArrow(apply, "id long, th long, node long, n long, prefix array<long>, counts binary")
-
-
-def may_reach(similarity: Fraction, n: str, pos: str, n2: str, pos2: str) -> Column:
-    """Whether sets of n and n2 shingles whose first common one is at pos and pos2 can be similar enough."""
-    a, b, i, j = (F.col(c) for c in (n, n2, pos, pos2))
-    num, den = similarity.numerator, similarity.denominator
-    return (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.least(a - i, b - j) * (num + den) >= (a + b) * num)
 
+def met(dealt: DataFrame, similarity: Fraction) -> DataFrame:
+    """(u, v) for candidates, all of a bucket or of its rows' nearest; (part, key) instead for buckets that have more."""
 
-def near(pairs: DataFrame, sets: DataFrame, similarity: Fraction, overlap: Callable[[np.ndarray, np.ndarray], int], kind: str) -> DataFrame:
-    """The pairs (u, v) that are similar enough if they have `overlap` shingles in common; sets: (node, n, s), s of numpy type `kind`."""
-    num, den = similarity.numerator, similarity.denominator
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in simhash.chunks(batches):
+            rows, node = len(cols[0]), cols[4]
+            new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)))
+            bucket = np.cumsum(new) - 1
+            size, count = np.bincount(bucket), np.zeros(int(bucket[-1]) + 1, np.int64)
+            nearest, partner = np.full(rows, 1 << 20), np.full(rows, -1)
+            few: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j, far in candidates(cols, similarity, None):
+                of = bucket[i]
+                np.add.at(count, of, 1)
+                for x, y in ((i, j), (j, i)):  # each row occurs once in either
+                    nearer = (far < nearest[x]) | ((far == nearest[x]) & (node[y] < node[partner[x]]))
+                    nearest[x[nearer]], partner[x[nearer]] = far[nearer], y[nearer]
+                still = count[of] <= MANY * size[of]
+                few.append((i[still], j[still]))
+            if not few:
+                continue
+            i, j = (np.concatenate(x) for x in zip(*few))
+            many = count > MANY * size
+            stay = ~many[bucket[i]]
+            u, v = node[i[stay]], node[j[stay]]
+            x = np.flatnonzero(many[bucket] & (partner >= 0))
+            u, v = np.concatenate((u, node[x])), np.concatenate((v, node[partner[x]]))
+            pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
+            first = np.flatnonzero(new)[many]
+            none, blank = pa.nulls(pairs.shape[1], pa.int32()), pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy()), none, none.cast(pa.int64())], ["u", "v", "part", "key"])
+            if len(first):
+                yield pa.RecordBatch.from_arrays([blank, blank, pa.array(cols[0][first]), pa.array(cols[1][first])], ["u", "v", "part", "key"])
+
+    return dealt.mapInArrow(apply, "u long, v long, part int, key long")
+
+
+def still_apart(dealt: DataFrame, similarity: Fraction) -> DataFrame:
+    """(u, v): all candidates of dealt rows (with c, a component) whose components differ."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            common = np.array([overlap(np.frombuffer(a.as_buffer(), kind), np.frombuffer(b.as_buffer(), kind)) for a, b in zip(batch.column(4), batch.column(5))], np.int64)
-            yield batch.select([0, 1]).filter(pa.array(common * den >= num * (total - common)))
+        for cols in simhash.chunks(batches):
+            node = cols[4]
+            for i, j, _ in candidates(cols, similarity, cols[8]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
 
-    one = pairs.join(sets.withColumnsRenamed({"node": "u", "n": "m", "s": "a"}), "u")
-    two = one.join(sets.withColumnsRenamed({"node": "v", "n": "k", "s": "b"}), "v")
-    return two.select("u", "v", "m", "k", "a", "b").mapInArrow(apply, "u long, v long")
+    return dealt.mapInArrow(apply, "u long, v long")
 
 
 def verified(pairs: DataFrame, base: DataFrame, rows: DataFrame, words: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough: first by their bucket counts, then on whole sets."""
+    """The pairs (u, v) whose whole sets share `similarity`; one text of each node asked for is read again."""
+    num, den = similarity.numerator, similarity.denominator
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in texts_of(batch.column(1)):
-                found = shingles(texts, words)
-                columns = [batch.column(0).slice(lo, len(texts)), pa.array(list(map(len, found)), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], ["node", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common * den >= num * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    tallies = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("s"))
-    pairs = scratch.stage(near(pairs, tallies, similarity, lambda a, b: int(np.minimum(a, b).sum()), "u4"), "near-asked")
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    one = rows.groupBy("node").agg(F.min("th").alias("th")).join(maybe_broadcast(asked), "node", "left_semi")
-    one = scratch.stage(one, "near-asked-texts")
-    sets = base.select("th", "text").join(maybe_broadcast(one), "th").select("node", "text").mapInArrow(apply, "node long, n long, s binary")
-    sets = scratch.stage(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("s").alias("s")), "near-sets")
-    return near(pairs, sets, similarity, lambda a, b: len(np.intersect1d(a, b, assume_unique=True)), "u8")
+    one = rows.groupBy("node").agg(F.min(F.struct("th", "id")).alias("at")).join(maybe_broadcast(asked), "node", "left_semi")
+    one = scratch.stage(one.select("node", F.col("at.th").alias("o_th"), F.col("at.id").alias("o_id")), "near-asked")
+    texts = base.join(maybe_broadcast(one), (F.col("th") == F.col("o_th")) & F.col("id").eqNullSafe(F.col("o_id")))
+    sets = scratch.stage(texts.select("node", "text").mapInArrow(sets_of, "node long, s binary").dropDuplicates(["node"]), "near-sets")
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "s": "x"}), "u").join(sets.withColumnsRenamed({"node": "v", "s": "y"}), "v")
+    return both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
 
 def links(base: DataFrame, rows: DataFrame, words: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """(u, v): similar pairs of nodes that connect whatever all similar pairs connect."""
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    met = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "k"))
-    bucket = Window.partitionBy("k")
-    by_size = bucket.orderBy("n", "node")
-    before = F.lag(F.struct("node", "n", "pos")).over(by_size)
-    met = met.select("k", "node", "n", "pos", before.alias("b"), F.lead("node").over(by_size).alias("next")).where("b is not null or next is not null").drop("next")
-    met = scratch.stage(met, "near-met")
-
-    side = met.select("node", "n", "pos", F.col("b.node").alias("node2"), F.col("b.n").alias("n2"), F.col("b.pos").alias("pos2")).where("node2 is not null")
-    side = side.where(may_reach(similarity, "n", "pos", "n2", "pos2")).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-    side = scratch.stage(side, "near-neighbours")
-    found = scratch.stage(verified(side, base, rows, words, similarity, scratch), "near-links")
-
-    joined = maybe_broadcast(connected_components(found))
-    met = met.select("k", "node", "n", "pos").join(joined, "node", "left").select("k", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
-    mixed = met.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
-    met = scratch.stage(met.join(mixed, "k", "left_semi"), "near-open")
-    other = met.withColumnsRenamed({"node": "node2", "n": "n2", "pos": "pos2", "c": "c2"})
-    rest = met.join(other, "k").where("node < node2 and c <> c2").where(may_reach(similarity, "n", "pos", "n2", "pos2"))
-    rest = rest.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct().join(side, ["u", "v"], "left_anti")
+    """(u, v): similar pairs of nodes that connect whatever all similar candidates connect."""
+    nodes = scratch.stage(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("fps").alias("fps")), "near-nodes")
+    n, both = simhash.pair_counts(nodes)
+    if n < 2:
+        return base.sparkSession.createDataFrame([], "u long, v long")
+    # the two fingerprints that candidates are held against are not indexed themselves
+    nodes = nodes.select("node", "n", F.get("fps", F.lit(0)).alias("a"), F.get("fps", F.lit(1)).alias("b"), "fps")
+    plans = [[], [], *(simhash.plan(n, one, DISTANCE) for one in both[2:])]
+    index = simhash.indexed(nodes, plans, PAYLOAD)
+    found = scratch.stage(met(simhash.dealt(index, PAYLOAD), similarity), "near-met")
+    pairs = scratch.stage(found.where("u is not null").select("u", "v").distinct(), "near-pairs")
+    first = scratch.stage(verified(pairs, base, rows, words, similarity, scratch), "near-links")
+
+    crowded = scratch.stage(found.where("u is null").select("part", "key").distinct(), "near-crowded")
+    if crowded.isEmpty():
+        return first
+    joined = connected_components(first).withColumnsRenamed({"component": "c"})
+    index = index.join(maybe_broadcast(crowded), ["part", "key"], "left_semi").join(maybe_broadcast(joined), "node", "left")
+    index = scratch.stage(index.select("part", "key", "probe", *PAYLOAD, F.coalesce("c", "node").alias("c")), "near-crowd")
+    apart = index.groupBy("part", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("part", "key")
+    index = scratch.stage(index.join(maybe_broadcast(apart), ["part", "key"], "left_semi"), "near-apart")
+    rest = still_apart(simhash.dealt(index, [*PAYLOAD, "c"]), similarity).distinct().join(pairs, ["u", "v"], "left_anti")
     rest = scratch.stage(rest, "near-rest")
-    return found.unionByName(verified(rest, base, rows, words, similarity, scratch))
+    return first.unionByName(verified(rest, base, rows, words, similarity, scratch))
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: Fraction) -> DataFrame:
     """(id, th, component, component_id) for each row; component is a node."""
     scratch = Scratch(docs.sparkSession)
     base = docs.select(*simhash.identity(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
-    rows = scratch.stage(shingled(base, words, similarity), "near-shingles")
+    rows = scratch.stage(fingerprinted(base, words), "near-rows")
     nodes = connected_components(links(base, rows, words, similarity, scratch))
-    mine = rows.select("id", "th", "node").join(nodes, "node", "left").select("id", "th", F.coalesce("component", "node").alias("component"))
-    mine = stage(mine, "near-rows")
+    mine = rows.select("id", "th", "node").join(maybe_broadcast(nodes), "node", "left").select("id", "th", F.coalesce("component", "node").alias("component"))
+    mine = stage(mine, "near-components")
     scratch.drop()
-    return mine.join(mine.groupBy("component").agg(F.min("id").alias("component_id")), "component")
+    lows = stage(mine.groupBy("component").agg(F.min("id").alias("component_id")), "near-lows")  # written, so that Spark can split a hot component
+    return mine.join(lows, "component")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """One row of docs for each component of texts that share `similarity` or more of their shingles, as in simhash.first_of_each."""
+    """One row of docs for each component of texts linked by `similarity` or more of their shingles, as in simhash.first_of_each.
+
+    No text below the similarity is a link; chains of links make one component. Texts without words
+    are all alike. Null ids come after all others; rows may repeat; an empty table gives an empty one.
+    """
     return simhash.kept_rows(docs, components(docs, id_col, text_col, words, similarity), id_col, text_col)
