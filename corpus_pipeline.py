@@ -1,32 +1,41 @@
 """From raw documents to packed training sequences.
 
-Quality rules, near-dedup by shingle sets, substring dedup, mixing sources to target weights and
+Quality rules, SimHash near-dedup, substring dedup, mixing sources to target weights and
 best-fit packing, each on all that the stage before kept. All stages but the last return the
-columns of documents; repeated rows, nulls and empty tables are treated as the operators state.
+columns of documents, whatever else these are called: operators only see what they need, the rest of
+a row travels packed. Repeated rows, nulls and empty tables are treated as the operators state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import common, mixing, neardup, packing, quality, substring
 
-#: The Hamming radius that near-dedup took before it compared shingle sets; only tests/llm/test_pipeline.py still reads it.
-DISTANCE = 6
+
+def packed(docs: DataFrame, *own: Column | str) -> DataFrame:
+    """docs as one column `row` without the text, beside the columns `own`."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *own)
 
 
 def replaced(df: DataFrame, like: DataFrame, text: str) -> DataFrame:
-    """The columns of `like`, with the text from another column and its length to match."""
-    df = df.withColumn("text", F.col(text))
-    if "n_chars" in like.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
-    return df.select(*like.columns)
+    """The columns of `like` from `row`, with the text from another column and its length to match."""
+    columns = []
+    for c in like.columns:
+        if c == "text":
+            columns.append(F.col(text).alias("text"))
+        elif c == "n_chars":
+            columns.append(F.length(text).cast(like.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"row.`{c}`").alias(c))
+    return df.select(*columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without lines that too many documents of their source have."""
-    judged = quality.judge(docs, "source", "text").where("kept")
+    judged = quality.judge(packed(docs, "doc_id", "source", "text"), "source", "text").where("kept")
     return replaced(judged, docs, "kept_text")
 
 
@@ -37,26 +46,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words that an earlier document has; a text left without a word goes."""
-    cut = substring.drop_repeats(docs, layout=True)
+    cut = substring.drop_repeats(packed(docs, "doc_id", "text"), layout=True)
     return replaced(cut.where("n_removed < n_words"), docs, "kept_text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, in the order of the mix."""
-    narrow = docs.withColumn("n_words", common.word_count(F.col("text")))
-    mixed = mixing.mix(narrow, F.col("n_words"), F.col("source"), [F.col("doc_id"), common.text_hash("text")])
-    return mixing.in_order(mixed).select(*docs.columns)
+    mixed = mixing.mix(packed(docs, "doc_id", "source", "text"), common.word_count(F.col("text")), F.col("source"), [F.col("doc_id"), common.text_hash("text")])
+    return replaced(mixing.in_order(mixed), docs, "text")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of permitted lengths, as word ranges of documents."""
+    """Sequences of permitted lengths, as word ranges of documents with their texts; no sequence has a document twice."""
     narrow = docs.select("doc_id", common.word_count(F.col("text")).alias("n_words"), common.text_hash("text").alias("h"))
     return packing.pack(narrow, F.col("n_words"))
 
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),
