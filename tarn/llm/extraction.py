@@ -2,9 +2,10 @@
 
 A page is read once as a sequence of tags and words. Tags score below zero; words score above
 zero, unless something around them (an element, a class, a role, a block of links) is seen
-outside of articles. One linear scan finds the best contiguous run, and the words in it that
-score above zero are the text. How much each name scores comes from pages that mark their
-article themselves, with a few well-known names as prior counts.
+outside of articles, or their page marks an article that most of its text lies in and they lie beside that. One linear scan
+finds the best contiguous run, and the words in it that score above zero are the text. How much each name scores
+comes from pages that mark their article themselves, with a few well-known names as prior counts that
+these pages can overrule.
 """
 
 from __future__ import annotations
@@ -25,19 +26,24 @@ from tarn.llm.common import packed, unpacked
 SAMPLE, SAMPLE_CHARS = 2000, 200_000
 #: Prior count behind each well-known name.
 PRIOR = 50
+#: What a word beside a mark scores at most, where at least half of the text that is worth anything is marked.
+BESIDE = -0.25
 
 # Names from the HTML standard and from common usage.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 MARKS = frozenset("article main".split())
 MARK_NAMES = frozenset("main articlebody article-body article-content post-content entry-content post-body story-body".split())
-CONTAINERS = frozenset("nav header footer aside form menu dialog search".split())
+CONTAINERS = frozenset("nav header footer aside form menu dialog search button".split())
 OUTSIDE = frozenset(
     "nav navbar navigation menu header masthead footer aside sidebar form dialog search ad ads advert advertisement adverts banner sponsor sponsored promo promotion"
     " cookie cookies consent notice alert popup modal newsletter subscribe signup login breadcrumb breadcrumbs pagination pager share sharing social related recommended"
-    " widget toolbar comment comments respond replies disqus copyright contentinfo complementary".split()
+    " widget toolbar comment comments respond replies disqus copyright contentinfo complementary button".split()
 )
+#: Parts of a compound name by which it states a property of what it is on (no-sidebar, comments-open), not what that is.
+STATES = frozenset("no not has have with without is show hide open closed fixed enabled disabled active visible hidden left right".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
@@ -55,6 +61,7 @@ class Node:
     marked: bool = False
     link: bool = False
     breaks: bool = False
+    above: frozenset[str] = frozenset()  # of a marked text: the names around its mark
 
 
 @dataclass
@@ -88,24 +95,27 @@ def names_of(tag: str, attributes: str) -> tuple[frozenset[str], bool, bool]:
                     mark |= word in MARK_NAMES
                     whole = _name.findall(word)
                     names.update(whole)
-                    names.update(p for w in whole for p in w.split("-") if p in OUTSIDE)
+                    if tag not in HEADINGS:
+                        names.update(p for w in whole if not STATES & set(w.split("-")) for p in w.split("-") if p in OUTSIDE)
+    if mark or tag in ("html", "body"):  # what is on all of a page, or on its article, tells no parts apart
+        names.clear()
     return frozenset(names - MARK_NAMES), mark, hidden
 
 
 def parse(page: str) -> list[Node]:
     """Texts and tags of a page in order; whatever can't be seen is left out."""
     nodes: list[Node] = []
-    stack: list[tuple[str, frozenset[str], bool, bool, bool]] = []  # tag, all names around, marked, link, hidden
+    stack: list[tuple[str, frozenset[str], bool, bool, bool, frozenset[str]]] = []  # tag, all names around, marked, link, hidden, names around the mark
     none: frozenset[str] = frozenset()
     at, n, head = 0, len(page), False
 
     def state():
-        return stack[-1] if stack else ("", none, False, False, False)
+        return stack[-1] if stack else ("", none, False, False, False, none)
 
     def text(a: int, b: int) -> None:
-        _, names, marked, link, hidden = state()
+        _, names, marked, link, hidden, above = state()
         if a < b and not hidden and not head:
-            nodes.append(Node(htmllib.unescape(page[a:b]), names=names, marked=marked, link=link))
+            nodes.append(Node(htmllib.unescape(page[a:b]), names=names, marked=marked, link=link, above=above))
 
     while at < n:
         m = _token.search(page, at)
@@ -129,8 +139,8 @@ def parse(page: str) -> list[Node]:
             continue
         nodes.append(Node(None, tag, marked=state()[2], breaks=tag in BLOCK))
         if tag == "br":
-            _, names, marked, link, hidden = state()
-            nodes.append(Node(" ", names=names, marked=marked, link=link))
+            _, names, marked, link, _, above = state()
+            nodes.append(Node(" ", names=names, marked=marked, link=link, above=above))
         if tag in VOID:
             continue
         if closing:
@@ -150,19 +160,23 @@ def parse(page: str) -> list[Node]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        _, names, marked, link, hidden = state()
+        _, names, marked, link, hidden, above = state()
         own, mark, gone = names_of(tag, m[3])
         if tag == "header" and marked:
             own -= {"header"}
-        stack.append((tag, names | own if own else names, marked or mark, link or tag == "a", hidden or gone))
+        stack.append((tag, names | own if own else names, marked or mark, link or tag == "a", hidden or gone, names if mark and not marked else above))
     return nodes
 
 
-def fit(pages: list[str]) -> Weights:
-    """Weights from pages that mark their article: shares of words by name, and of tags, inside of it."""
+def fit(pages: list[str], prior: frozenset[str] = OUTSIDE) -> Weights:
+    """Weights from pages that mark their article: shares of words by name, and of tags, inside of it.
+
+    Every name around a mark counts as inside, so labelled pages can overrule `prior`. Well-known names below a
+    mark (an advert within an article) aren't counted: the mark doesn't tell which of these are text.
+    """
     inside, total = defaultdict(float), defaultdict(float)
     tags_in, tags = defaultdict(float), defaultdict(float)
-    for name in OUTSIDE:
+    for name in prior:
         total[name] += PRIOR
     for page in pages:
         nodes = parse(page)
@@ -175,8 +189,9 @@ def fit(pages: list[str]) -> Weights:
             else:
                 n = len(x.text.split())
                 for name in x.names:
-                    total[name] += n
-                    inside[name] += n * (x.marked and name not in OUTSIDE)
+                    if not x.marked or name in x.above or name not in prior:
+                        total[name] += n
+                        inside[name] += n * x.marked
     words = {k: (inside[k] + 1) / (v + 2) for k, v in total.items()}
     return Weights({k: v for k, v in words.items() if v < 0.5}, {k: (tags_in[k] + 9.5) / (v + 10) for k, v in tags.items()})
 
@@ -184,7 +199,9 @@ def fit(pages: list[str]) -> Weights:
 def extract(page: str, weights: Weights) -> str:
     """Text of the best run: blocks joined by a line end, white space in each as one space."""
     nodes = parse(page)
-    any_mark = any(x.marked and x.text.strip() for x in nodes if x.text is not None)
+    own = [0.0 if x.text is None else weights.word(x.names) * len(x.text.split()) for x in nodes]
+    text, marked = (sum(w for w, x in zip(own, nodes) if w > 0 and (x.marked or every)) for every in (True, False))
+    mark_holds = 2 * marked >= text > 0
     score = [0.0] * len(nodes)
     block: list[int] = []
 
@@ -202,10 +219,9 @@ def extract(page: str, weights: Weights) -> str:
             if x.breaks:
                 settle()
         else:
-            w = weights.word(x.names)
-            if any_mark and not x.marked:
-                w = -abs(w)
-            score[k] = w * len(x.text.split())
+            score[k] = own[k]
+            if mark_holds and not x.marked:
+                score[k] = min(own[k], BESIDE * len(x.text.split()))
             block.append(k)
     settle()
 
@@ -224,7 +240,7 @@ def extract(page: str, weights: Weights) -> str:
             if x.breaks and parts:
                 blocks.append(" ".join("".join(parts).split()))
                 parts = []
-        elif score[k] > 0 or (not x.text.strip() and weights.word(x.names) > 0):
+        elif score[k] > 0 or (not x.text.strip() and weights.word(x.names) > 0 and (x.marked or not mark_holds)):
             parts.append(x.text)
     blocks.append(" ".join("".join(parts).split()))
     return "\n".join(b for b in blocks if b)

@@ -32,6 +32,47 @@ def test_held_out_pages_without_marks(spark):
     assert sum(got) / len(got) >= 0.95
 
 
+def test_held_out_pages_without_marks_and_list(spark):
+    """The same without any prior names: all that tells parts of a page apart is fitted."""
+    rows, want = articles(spark)
+    weights = extraction.fit([r.html for r in rows if r.page_id % 2], prior=frozenset())
+    rest = [r for r in rows if not r.page_id % 2]
+    got = [extraction.extract(r.html.replace("article>", "section>"), weights) == want[r.page_id] for r in rest]
+    assert sum(got) / len(got) >= 0.95
+
+
+def test_names_that_state_a_property():
+    """Theme classes on body, article, wrappers and headings don't make a text an aside."""
+    w = extraction.fit([])
+    text = "A headline\nWords of an article that has comments and that goes on for a while"
+    inner = "<h2 class='section-header'>A headline</h2><p>Words of an article that has comments and that goes on for a while</p>"
+    for page in (
+        f"<body class='comments-open no-sidebar'><article>{inner}</article></body>",
+        f"<body class='menu header'><article class='has-comments sidebar'>{inner}</article></body>",
+        f"<div class='layout no-sidebar header-fixed'>{inner}</div>",
+        f"<div class='site-header'>Name of this site</div><div>{inner}</div><div class='comment-list'>I do not agree at all</div>",
+    ):
+        assert extraction.extract(page, w) == text
+
+
+def test_labelled_pages_overrule_the_prior():
+    article = "<article><p>" + "good words of a text " * 30 + "</p><div class='ad'>Buy this now</div></article>"
+    w = extraction.fit([f"<div class='related'>{article}</div><div class='odd'>Not this line</div>"] * 50)
+    page = "<div class='related'><p>" + "good words of a text " * 30 + "</p><div class='ad'>Buy this now</div></div><div class='odd'>Not this line</div>"
+    assert extraction.extract(page, w) == "good words of a text " * 29 + "good words of a text"
+
+
+def test_marks_are_evidence_and_the_scan_decides():
+    w = extraction.fit([])
+    long = "many words of the long text of this page " * 20
+    assert extraction.extract(f"<article>a short teaser</article><div><p>{long}</p></div>", w).endswith(long.strip())
+    nested = f"<article><p>{long}</p><article><p>inner text here</p></article></article><p>beside it</p>"
+    assert extraction.extract(nested, w) == f"{long.strip()}\ninner text here"
+    several = f"<main><article><p>{long}</p></article></main><p>between them</p><article><p>{long}</p></article>"
+    assert extraction.extract(several, w) == f"{long.strip()}\n{long.strip()}"
+    assert extraction.extract(f"<article><p>{long} <math><mi>x</mi><mo>+</mo><mi>y</mi></math> done</p></article>", w) == f"{long.strip()} x+y done"
+
+
 LAYOUT = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
 <div id="cookie-notice">We use cookies to make this site better for all of you</div>
 <header><h1>Site name</h1><ul><li><a href=/>Home</a><li><a href=/x>About us</a></ul></header>
