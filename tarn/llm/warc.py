@@ -8,8 +8,8 @@ the HTTP response in them, in chunked transfer framing, is decoded.
 
 from __future__ import annotations
 
-import gzip
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 from tarn.llm.common import maybe_broadcast, shared_dir, stage, strings_of
 
 #: Bytes of a block in one record, of a chunk of transfer framing, and of an archive file before compression (about).
-SEGMENT, CHUNK, FILE = 32 << 10, 8 << 10, 32 << 20
+SEGMENT, CHUNK, FILE = 32 << 10, 8 << 10, 16 << 20
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest}').urn}>"
+def record_id(page_id: int | None, digest: str, part: str = "") -> str:
+    """The same in every run and attempt, so that a task that is run again deals its records alike."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest}{part}').urn}>"
 
 
 def framed(payload: bytes) -> bytes:
@@ -70,7 +71,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, o
     own = [("WARC-Page-ID", page_id), ("WARC-Target-URI", None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if revisit:
         headers = [*own, ("WARC-Refers-To", record_id(origin, digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http;msgtype=response")]
-        yield record("revisit", f"<{uuid.uuid4().urn}>", headers, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
+        yield record("revisit", record_id(page_id, digest, " revisit"), headers, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
         return
     identifier, block = record_id(page_id, digest), framed(payload)
     parts = [block[at : at + segment] for at in range(0, len(block), segment)]
@@ -78,7 +79,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, o
     yield record("response", identifier, own + [("WARC-Segment-Number", 1)] * (len(parts) > 1), parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", len(block))] * (k == len(parts))
-        yield record("continuation", f"<{uuid.uuid4().urn}>", [("WARC-Segment-Origin-ID", identifier), ("WARC-Segment-Number", k), *last], part)
+        yield record("continuation", record_id(page_id, digest, f" {k}"), [("WARC-Segment-Origin-ID", identifier), ("WARC-Segment-Number", k), *last], part)
 
 
 def write(pages: DataFrame, path: str, segment: int = SEGMENT, least: int = REVISIT_BYTES) -> None:
@@ -86,8 +87,8 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, least: int = REVI
 
     Of pages with equal payloads of at least `least` bytes, the one with the largest page_id is
     stored and the others revisit it; rows that repeat it are stored as well. Null html is an
-    empty payload. Records are dealt over files of about FILE bytes, continuations apart from
-    their origin.
+    empty payload. Records are dealt over files of about FILE bytes by a hash of their bytes, continuations
+    apart from their origin, and sorted by it: the archives are the same in every run.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
@@ -114,25 +115,52 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, least: int = REVI
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     files = max(1, -(-total // FILE))
-    built = told.mapInArrow(build, "record binary").repartition(files, F.xxhash64("record"))
+    built = told.mapInArrow(build, "record binary").repartition(files, F.xxhash64("record")).sortWithinPartitions(F.xxhash64("record"))
     built.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed archive; header names in lower case."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        version, *lines = archive[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
+def inflated(archive: memoryview) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, in pieces."""
+    member, step = zlib.decompressobj(31), 1 << 18
+    for at in range(0, len(archive), step):
+        data = bytes(archive[at : at + step])
+        while data:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            yield member.decompress(data)
+            data = member.unused_data
+    if not member.eof:
+        raise ValueError("an archive breaks off")
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an uncompressed archive that comes in pieces; header names in lower case."""
+    held, ended = bytearray(), False
+
+    def more(size: int) -> bool:
+        """Whether at least `size` bytes are there, after reading on if need be."""
+        nonlocal ended
+        while len(held) < size and not ended:
+            piece = next(pieces, None)
+            ended = piece is None
+            held.extend(piece or b"")
+        return len(held) >= size
+
+    while more(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0 and more(len(held) + 1):
+            end = held.find(b"\r\n\r\n")
+        if end < 0 or not held.startswith(b"WARC/"):
             raise ValueError("not the start of a WARC record")
+        _, *lines = held[:end].decode().split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         start = end + 4
         stop = start + int(headers["content-length"])
-        if archive[stop : stop + 4] != b"\r\n\r\n":
+        if not more(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError("a record's length does not hold")
-        yield headers, archive[start:stop]
-        at = stop + 4
+        block = bytes(held[start:stop])
+        del held[: stop + 4]
+        yield headers, block
 
 
 FIELDS = "id string, type string, page_id long, url string, digest string, refers string"
@@ -150,7 +178,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for batch in batches:
                 for content in batch.column(0):
                     rows, size = [], 0
-                    for h, block in parse(gzip.decompress(content.as_py())):
+                    for h, block in parse(inflated(memoryview(content.as_buffer()))):
                         if ("warc-segment-number" in h) != segmented:
                             continue
                         page = h.get("warc-page-id")
