@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import windows
-from tarn.llm.common import maybe_broadcast, packed, stage, strings_of, text_hash, unpacked
+from tarn.llm.common import Scratch, packed, stage, strings_of, text_hash, unpacked
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
-#: A line is above limits if more than this share of its host's distinct texts, and more than so many of them, have it.
-LINE_SHARE, LINE_DOCS = 0.1, 10
+#: A line is above limits if over LINE_DOCS documents of its host have it, and over LINE_MOST or over 1 in LINE_SHARE of them do.
+LINE_DOCS, LINE_MOST, LINE_SHARE = 10, 100, 50
+#: Lines above limits (of 24 bytes each) that are broadcast, as lists by host; more are joined to their documents instead.
+BROADCAST_LINES = 50_000
 #: A document is depleted if, without such lines, fewer words than these are left, or less than this share.
 WORDS_LEFT, SHARE_LEFT = 20, 0.5
 
@@ -82,54 +84,82 @@ def _counts(texts: list[bytes]) -> np.ndarray:
     return np.stack([n_words, between(~space & ((data & 0xC0) != 0x80)), between(symbol[data]), dup_lines, repeated], axis=1)
 
 
-def common_lines(docs: DataFrame, host_col: str, text_col: str, share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
-    """(host, lines): hashes of the normalised lines above limits. Copies of one text count as one document."""
+def document_lines(docs: DataFrame) -> DataFrame:
+    """docs(host, id, th, text) to (host, id, th, line): hashes of the normalised lines with a word, each once for a document."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends, buf = strings_of(batch.column(2))
+            starts, ends, buf = strings_of(batch.column(3))
             rows, hashes = [], []
             for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
                 mine = {line_hash(x) for x in bytes(buf[a:b]).split(b"\n") if x.strip()}
                 rows += [i] * len(mine)
                 hashes += mine
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.int64())], ["host", "th", "line"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(hashes, pa.int64())], ["host", "id", "th", "line"])
 
-    base = docs.select(F.col(host_col).alias("host"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    totals = base.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("texts")).withColumnRenamed("host", "t_host")
-    kind = base.schema["host"].dataType.simpleString()
-    found = base.mapInArrow(lines, f"host {kind}, th long, line long").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    above = found.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where(F.col("n") > F.col("texts") * share)
-    return above.groupBy("host").agg(F.collect_list("line").alias("lines"))
+    return docs.select("host", "id", "th", "text").mapInArrow(lines, "host long, id long, th long, line long").distinct()
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
+def common_lines(docs: DataFrame, lines: DataFrame, least: int = LINE_DOCS, most: int = LINE_MOST, share: int = LINE_SHARE) -> DataFrame:
+    """(host, line, id, th): the lines above limits, and the first document of the host that has each."""
+    totals = docs.select("host", "id", "th").distinct().groupBy("host").agg(F.count("*").alias("documents")).withColumnRenamed("host", "t_host")
+    found = lines.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "th")).alias("first")).where(F.col("n") > least)
+    above = found.join(totals, F.col("host") == F.col("t_host")).where((F.col("n") > most) | (F.col("n") * share > F.col("documents")))
+    return above.select("host", "line", "first.id", "first.th")
+
+
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with COUNTS, base_failed, kept, n_lines_removed, n_words_left and kept_text.
 
     base_failed: under 20 words, or over 30 % of them in windows of REPEAT_WINDOW words found
-    twice or more. Lines above limits are removed from every text; kept is false if base_failed
-    or if the document is depleted by that. Null texts have no words and fail; a null host is a
-    host like others; rows may repeat; an empty table gives an empty one. Columns of docs with
-    these names are replaced.
+    twice or more. Lines that too many documents of a host have (common_lines) are removed from all
+    but the first of these, so one of a group of copies keeps its text; kept is false if base_failed
+    or if the document is depleted by that. Documents are told apart by id and text: rows that agree
+    in both are one document. Null texts have no words and fail; a null host is a host like others, hosts are
+    told apart by 64-bit hashes; null ids come after all others; an empty table gives an empty one. Columns of docs
+    with these names are replaced.
     """
-    above = stage(common_lines(docs, host_col, text_col, share, least), "lines").withColumnRenamed("host", "l_host")
-    base = docs.select(packed(docs), F.col(host_col).alias("host"))
-    joined = base.join(maybe_broadcast(above, 1000), F.col("host").eqNullSafe(F.col("l_host")), "left").select("row", "lines")
+    host = F.xxhash64(F.col(f"`{host_col}`"), F.col(f"`{host_col}`").isNull()).alias("host")
+    own = [host, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("id"), text_hash(f"`{text_col}`").alias("th")]
+    scratch = Scratch(docs.sparkSession)
+    base = docs.select(*own, F.col(f"`{text_col}`").alias("text"))
+    lines = scratch.stage(document_lines(base), "document-lines")
+    above = stage(common_lines(base, lines), "lines")
+    packed_docs = docs.select(packed(docs), *own)
+    if above.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        lists = above.groupBy("host").agg(F.collect_list(F.struct("line", "id", "th")).alias("lines")).withColumnRenamed("host", "l_host")
+        joined = packed_docs.join(F.broadcast(lists), F.col("host") == F.col("l_host"), "left")
+    else:
+        first = above.select(F.col("host").alias("a_host"), F.col("line").alias("a_line"), F.col("id").alias("a_id"), F.col("th").alias("a_th"))
+        bad = lines.join(first, (F.col("host") == F.col("a_host")) & (F.col("line") == F.col("a_line")))
+        # each list holds the lines of one document
+        lists = bad.groupBy("host", "id", "th").agg(F.collect_list(F.struct("line", F.col("a_id").alias("id"), F.col("a_th").alias("th"))).alias("lines"))
+        lists = stage(lists.withColumnsRenamed({"host": "l_host", "id": "l_id", "th": "l_th"}), "bad-lines")
+        joined = packed_docs.join(lists, (F.col("host") == F.col("l_host")) & (F.col("id") == F.col("l_id")) & (F.col("th") == F.col("l_th")), "left")
+    scratch.drop()
+    joined = joined.select("row", "lines", "id", "th")
     place_of_text = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends, buf = strings_of(batch.column(0).field(place_of_text))
             texts = [bytes(buf[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            sets: dict[bytes, set[int]] = {}
+            known: dict[bytes, tuple[set[int], dict[tuple[int, int], list[int]]]] = {}
             n_removed, left, kept = [], [], []
-            for text, lines in zip(texts, batch.column(1)):
+            for text, lines, *me in zip(texts, batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 bad: set[int] = set()
                 if lines.is_valid:
-                    values = lines.values.to_numpy()
-                    bad = sets.setdefault(values.tobytes(), set())
-                    bad.update(values.tolist() if not bad else ())
+                    line, first, th = (lines.values.field(c).to_numpy() for c in range(3))
+                    key = line.tobytes() + first.tobytes()
+                    if key not in known:
+                        firsts: dict[tuple[int, int], list[int]] = {}
+                        for x, *at in zip(line.tolist(), first.tolist(), th.tolist()):
+                            firsts.setdefault(tuple(at), []).append(x)
+                        known[key] = set(line.tolist()), firsts
+                    bad, firsts = known[key]
+                    if mine := firsts.get(tuple(me)):
+                        bad = bad.difference(mine)
                 split = text.split(b"\n") if bad else [text]
                 stay = [x for x in split if not x.strip() or line_hash(x) not in bad] if bad else split
                 n_removed.append(len(split) - len(stay))
@@ -142,6 +172,6 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", sha
             fine = ~failed & (left >= WORDS_LEFT) & (left >= SHARE_LEFT * c[:, 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[:, k].copy()) for k in range(len(COUNTS))), pa.array(failed), pa.array(fine), pa.array(n_removed, pa.int64()), pa.array(left), pa.array(kept, pa.binary())], ["row", *COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_left", "kept_text"])
 
-    row = base.schema["row"].dataType.simpleString()
+    row = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(apply, f"row {row}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, n_lines_removed long, n_words_left long, kept_text binary")
     return unpacked(out, *(F.col(c) for c in (*COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_left")), F.coalesce(F.col("kept_text").cast("string"), F.col(f"row.`{text_col}`"), F.lit("")).alias("kept_text"))

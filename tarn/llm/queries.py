@@ -87,10 +87,10 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM r CROSS JOIN (SELECT unnest(range({quality.REPEAT_WINDOW})) AS j) GROUP BY doc_id),
 l AS (SELECT doc_id, source, t, line, lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')) AS nl, len(regexp_extract_all(line, '{_WORD}')) AS n FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE n > 0 GROUP BY doc_id),
-hosts AS (SELECT source, count(*) AS texts FROM (SELECT DISTINCT source, t, none FROM d) GROUP BY source),
-f AS (SELECT source, nl, count(DISTINCT t) AS k FROM l WHERE n > 0 GROUP BY source, nl),
-above AS (SELECT f.source, nl FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE k > {quality.LINE_DOCS} AND k > texts * {quality.LINE_SHARE}),
-x AS (SELECT doc_id, count(*) AS n_lines_removed, sum(n) AS words_removed FROM l JOIN above ON l.source IS NOT DISTINCT FROM above.source AND l.nl = above.nl WHERE n > 0 GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS documents FROM d GROUP BY source),
+f AS (SELECT source, nl, count(DISTINCT doc_id) AS k, min(doc_id) AS first FROM l WHERE n > 0 GROUP BY source, nl),
+above AS (SELECT f.source, nl, first FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE k > {quality.LINE_DOCS} AND (k > {quality.LINE_MOST} OR k * {quality.LINE_SHARE} > documents)),
+x AS (SELECT doc_id, count(*) AS n_lines_removed, sum(n) AS words_removed FROM l JOIN above ON l.source IS NOT DISTINCT FROM above.source AND l.nl = above.nl WHERE n > 0 AND doc_id <> first GROUP BY doc_id),
 m AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
 coalesce(n_lines_removed, 0) AS n_lines_removed, CAST(coalesce(n_words, 0) - coalesce(words_removed, 0) AS BIGINT) AS n_words_left
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN x ON d.doc_id = x.doc_id)

@@ -20,19 +20,23 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeat)
 
 
-def brute(rows, share=0.1, least=10):
+def brute(rows, least=10, most=100, share=50):
     normal = lambda line: re.sub(r"\d+", "0", " ".join(line.lower().split()))
-    texts, having = defaultdict(set), defaultdict(set)
-    for _, host, text in rows:
-        texts[host].add(text)
+    documents, having = defaultdict(set), defaultdict(set)
+    for i, host, text in rows:
+        me = (i is None, i or 0, text or "")
+        documents[host].add(me)
         for line in (text or "").split("\n"):
             if WORD.search(line):
-                having[host, normal(line)].add(text)
+                having[host, normal(line)].add(me)
     out = []
     for i, host, text in rows:
         c = brute_counts(text)
-        lines = (text or "").split("\n")
-        above = [bool(WORD.search(x)) and len(having[host, normal(x)]) > max(least, share * len(texts[host])) for x in lines]
+        lines, above = (text or "").split("\n"), []
+        for x in lines:
+            have = having[host, normal(x)] if WORD.search(x) else set()
+            many = len(have) > least and (len(have) > most or share * len(have) > len(documents[host]))
+            above.append(many and (i is None, i or 0, text or "") != min(have))
         left = len(WORD.findall("\n".join(x for x, bad in zip(lines, above) if not bad)))
         failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
         out.append((i, *c, failed, not failed and left >= 20 and left >= c[0] / 2))
@@ -65,9 +69,11 @@ def corpus():
     return rows + [rows[20]] * 15
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
     assert sorted(run(spark, rows), key=key) == sorted(brute(rows), key=key)
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    assert sorted(run(spark, rows), key=key) == sorted(brute(rows), key=key)
     assert any(r[-1] for r in brute(rows)) and any(not r[-1] and not r[-2] for r in brute(rows))
 
 
@@ -83,4 +89,23 @@ def test_lines_are_removed(spark):
     rows = [(i, "h", f"Cookie notice {i}\n{body} {letters[i]}", "x") for i in range(20)] + [(99, "other", f"Cookie notice 1\n{body}", "x")]
     out = {r.doc_id: (r.kept_text, r.kept) for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out[3] == (f"{body} d", True)
+    assert out[0] == (f"Cookie notice 0\n{body} a", True)
     assert out[99] == (f"Cookie notice 1\n{body}", True)
+
+
+def test_one_of_many_copies_stays(spark):
+    """Every line of a group of copies is above the limit of its host; the first document keeps its text, the others are depleted."""
+    text = "\n".join(" ".join(f"w{i}{j}" for j in range(10)) for i in "abcde")
+    rows = [(i, "h", text, "x") for i in range(5, 45)] + [(i, f"g{i}", text, "x") for i in range(50, 60)]
+    out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, kept in sorted(out.items()) if kept] == [5, *range(50, 60)]
+
+
+def test_boilerplate_of_a_large_host_is_found(spark):
+    """A line in 120 of 9000 documents is above the limit, one in 15 is not; in a small host 15 are enough."""
+    body = lambda i: " ".join(f"x{i}y{j}" for j in range(25))
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, "large", ("all the same\n" if i < 120 else "some the same\n" if i < 135 else "") + letters(i) + " " + body(i), "x") for i in range(9000)]
+    rows += [(10_000 + i, "small", f"some the same\n{letters(i)} {body(i)}", "x") for i in range(15)]
+    out = quality.judge(spark.createDataFrame(rows, SCHEMA)).groupBy("source").agg({"n_lines_removed": "sum"}).collect()
+    assert {r[0]: r[1] for r in out} == {"large": 119, "small": 14}
