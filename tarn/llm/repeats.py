@@ -1,7 +1,7 @@
 """Repeated windows of a corpus, found in buckets of super-k-mers.
 
 1. Every text becomes super-k-mers (runs of windows that share a minimiser), as narrow rows of
-   position, minimiser and digest. Equal ones collapse in an aggregate with map-side combine,
+   position, minimiser and digest (64 bits of each, so 128 of content). Equal ones collapse in an aggregate with map-side combine,
    so a group of copies costs a row per task.
 2. Only where one minimiser has several distinct strings, one packed string for each travels
    to the minimiser's bucket, which finds the windows that they share.
@@ -287,7 +287,7 @@ def by_window(found: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     held = held.join(cores, ["c1", "c2"], "left_semi").select(*columns)
     rows = scratch.stage(held.mapInArrow(explode, "w1 long, w2 long, off long, minimiser long, digest long, low long, count long"), "windows")
     counted = rows.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.sum("count").alias("total"))
-    counted = counted.where("least < most" if rule.earlier else "total > 1").select("w1", "w2", "least")
+    counted = scratch.stage(counted.where("least < most" if rule.earlier else "total > 1").select("w1", "w2", "least"), "repeated-windows")  # written, so that Spark can split a hot window
     hit = rows.join(counted, ["w1", "w2"]).where("low > least" if rule.earlier else "count = 1")
     hit = hit.select("minimiser", "digest", "off", (F.col("off") + 1).alias("end")).unionByName(whole)
     hit = hit.groupBy("minimiser", "digest").agg(F.collect_list(F.struct("off", "end")).alias("r"))
@@ -319,7 +319,8 @@ def removed(docs: DataFrame, rule: Rule) -> DataFrame:
     whole = F.col("id") > F.col("low") if rule.earlier else F.col("count") > 1
     ranges = F.zip_with("starts", "ends", lambda s, e: F.struct((F.col("first") + s).alias("a"), (F.col("first") + e + last).alias("b")))
     spans = F.when(whole, F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") + last).alias("b")))).otherwise(ranges)
-    hit = hit.select("id", "th", spans.alias("s")).where("s is not null")
+    hit = hit.select("id", "th", "first", spans.alias("s")).where("s is not null")
+    hit = hit.groupBy("id", "th", "first").agg(F.first("s").alias("s"))  # rows that repeat have the same spans
     return hit.groupBy("id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 

@@ -12,19 +12,18 @@ from tarn.llm.common import unpacked
 
 def earlier_windows(window: int) -> repeats.Resolver:
     def resolve(strings: list[bytes], n: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Windows sorted by bucket and hash: one is removed if a lower id has an equal one."""
-        data = np.frombuffer(b"\n".join(strings), np.uint8)
+        """Windows sorted by bucket and content: one is removed if a lower id has an equal one."""
+        text = b"\n".join(strings)
+        data = np.frombuffer(text, np.uint8)
         starts, ends = windows.word_bounds(data)
         of = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(of)) + of * (window - 1)
-        hashes = windows.mixed(windows.PrefixHash(data).ranges(starts[at], ends[at + window - 1]))
-        g, lows = group[of], low[of]
-        order = np.lexsort((lows, hashes, g))
-        new = np.concatenate(([True], (g[order][1:] != g[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])))
-        least = lows[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        flags = np.zeros(len(order), bool)
-        flags[order] = lows[order] > least
-        return flags
+        first, last = starts[at], ends[at + window - 1]
+        same = windows.told_apart(text, first, last, group[of], windows.PrefixHash(data).ranges(first, last))
+        lows = low[of]
+        least = np.full(int(same.max()) + 1 if len(same) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(least, same, lows)
+        return lows > least[same]
 
     return resolve
 

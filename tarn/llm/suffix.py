@@ -70,14 +70,9 @@ class RunIndex:
         """For each position, the length of the longest match that starts elsewhere, within its string."""
         n = len(self.text)
         room = np.repeat(self.stops, self.lengths + 1) - np.arange(n)
-        prefix = windows.PrefixHash(self.text)
         best = np.zeros(n, np.int64)
         for (p, q), none in ((self.above, self.edge[0]), (self.below, self.edge[1])):
-            low, high = np.zeros(len(p), np.int64), np.minimum(room[p], n - q)
-            while (open_ := low < high).any():
-                middle = (low + high + 1) // 2
-                same = prefix.ranges(p, p + middle) == prefix.ranges(q, q + middle)
-                low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
+            low = windows.common_prefix(self.text, p, q, np.minimum(room[p], n - q))
             sample = np.full(n, -1, np.int64)
             sample[p] = low
             sample[none] = 0  # the first or last suffix has no neighbour there

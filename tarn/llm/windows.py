@@ -138,6 +138,41 @@ def superkmers(texts: list[bytes], window: int, gram: int, words: bool) -> Itera
             yield text, first + s, e - s, grams[own[s]].view(np.int64), digest.view(np.int64)
 
 
+def told_apart(data: bytes, starts: np.ndarray, ends: np.ndarray, groups: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each string data[start:end], equal in a group for equal strings only: strings of equal hash are compared byte by byte."""
+    order = np.lexsort((hashes, groups))
+    new = np.concatenate(([True], (groups[order][1:] != groups[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])))[: len(order)]
+    a, b = starts[order].tolist(), ends[order].tolist()
+    unlike = [k for k in np.flatnonzero(~new).tolist() if data[a[k - 1] : b[k - 1]] != data[a[k] : b[k]]]
+    number = np.cumsum(new) - 1
+    if unlike:  # strings that collide
+        edge, after = np.append(np.flatnonzero(new), len(order)), int(number[-1]) + 1
+        for run in np.unique(number[unlike]).tolist():
+            seen: dict[bytes, int] = {}
+            for k in range(edge[run], edge[run + 1]):
+                number[k] = after + seen.setdefault(data[a[k] : b[k]], len(seen))
+            after += len(seen)
+    out = np.empty(len(order), np.int64)
+    out[order] = number
+    return out
+
+
+def common_prefix(data: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of data[p:] and data[q:], `most` at most, byte by byte."""
+    wide = np.concatenate((data, np.zeros(8, np.uint8)))
+    wide = np.lib.stride_tricks.sliding_window_view(wide, 8)
+    out, active, k = most.copy(), np.flatnonzero(most > 0), 0
+    while len(active):
+        x, y = wide[p[active] + k], wide[q[active] + k]
+        differ = x != y
+        unlike = differ.any(axis=1)
+        at = active[unlike]
+        out[at] = np.minimum(out[at], k + np.argmax(differ[unlike], axis=1))
+        active, k = active[~unlike], k + 8
+        active = active[most[active] > k]
+    return out
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open ranges as maximal disjoint ranges in order (touching ones are joined)."""
     if not len(starts):

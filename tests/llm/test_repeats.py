@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tarn.llm import repeats, substring, suffix
+from tarn.llm import repeats, substring, suffix, windows
 
 SCHEMA = "doc_id long, text string, n_removed string"
 
@@ -137,3 +137,28 @@ def test_run_index_is_exact():
         stop = text.index(b"\xff", p)
         best = max((n for n in range(stop - p, 0, -1) if any(text.startswith(text[p : p + n], q) for q in range(len(text)) if q != p)), default=0)
         assert got[p] == best
+
+
+def test_strings_that_collide_are_told_apart(spark):
+    """Thue-Morse words of order 11 and their complements have equal polynomial hashes for any odd base."""
+    word = bytes(b"ab"[i.bit_count() % 2] for i in range(1 << 11))
+    unlike = word.translate(bytes.maketrans(b"ab", b"ba"))
+    h = windows.PrefixHash(np.frombuffer(word + unlike, np.uint8)).ranges(np.array([0, 2048]), np.array([2048, 4096]))
+    assert h[0] == h[1]
+    around = [f"w{i}" for i in range(80)]
+    text = lambda w: " ".join([*around[:40], w.decode(), *around[40:]])
+    rows = [(1, text(word)), (2, text(unlike)), (3, text(word)), (4, text(word) + " end")]
+    assert by_words(spark, rows) == sorted(brute_words(rows, 50), key=key)
+    data = word + unlike + word
+    starts = np.array([0, 2048, 4096])
+    number = windows.told_apart(data, starts, starts + 2048, np.zeros(3, np.int64), np.zeros(3, np.int64))
+    assert number[0] == number[2] != number[1]
+
+
+def test_rows_that_repeat_very_often(spark):
+    text = " ".join(f"w{i}" for i in range(70))
+    df = spark.range(100_000).selectExpr("1L as doc_id", f"'{text}' as text").union(spark.createDataFrame([(2, text + " more")], "doc_id long, text string"))
+    out = substring.drop_repeats(df).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 0, 100_000), (2, 70, 1)]
+    out = suffix.drop_repeats(df).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    assert sorted(map(tuple, out)) == [(1, len(text), len(text), 100_000), (2, len(text) + 5, len(text), 1)]
