@@ -10,17 +10,19 @@ if its balls are too far apart, and counted whole if all of it is near enough.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import connected_components, local_components, packed, stage, unpacked
+from tarn.llm.common import connected_components, local_components, maybe_broadcast, packed, stage, unpacked
 
-#: Vectors in a leaf cell, and pivots by which a larger one is split (about; they are drawn by hash).
-LEAF, PIVOTS = 1024, 16
+#: Vectors in a leaf cell; pivots by which a larger one is split, at most (about; they are drawn by hash).
+LEAF, PIVOTS = 8192, 64
+#: Rows of a cell that one task deals to its pivots.
+SLICE = 16384
+#: Centres that are tried at once; pairs of children from which on they are compared by one matrix product.
+CENTRES, DENSE = 256, 4096
 #: Slack of all bounds on distances, far above rounding and far below any distance that matters.
 SLACK = 1e-6
 VECTOR = "array<double>"
@@ -47,16 +49,10 @@ class CoverTree:
                 if len(mine) == 1:
                     continue
                 step = scale
-                while step >= radius[k]:
+                while step >= radius[k] > 0:
                     step /= 2
-                groups, rest = [], mine
-                centre = point[k]
-                while len(rest):
-                    near = self.distances(x[rest], x[centre]) <= step
-                    near |= rest == centre
-                    groups.append((centre, np.concatenate(([centre], rest[near & (rest != centre)]))))
-                    rest = rest[~near]
-                    centre = rest[0] if len(rest) else -1
+                # vectors as near as rounding can tell are children by themselves
+                groups = self.cover(mine, point[k], step) if radius[k] > 0 else [(i, np.array([i])) for i in mine]
                 first[k], at = len(point), lo[k]
                 for centre, members in groups:
                     order[at : at + len(members)] = members
@@ -76,9 +72,30 @@ class CoverTree:
         self.radius = np.array(radius)
         self.leaf = self.first == self.last
 
+    def cover(self, mine: np.ndarray, centre: int, step: float) -> list[tuple[int, np.ndarray]]:
+        """(centre, its members, itself first): every item is within `step` of the first centre that takes it, and no centre of another."""
+        rest = np.concatenate(([centre], mine[mine != centre]))
+        x, groups = self.x[rest], []
+        while len(rest):
+            near = self.distances(x, x[:CENTRES].T) <= step
+            alive = np.ones(len(rest), bool)
+            for c in range(near.shape[1]):
+                if alive[c]:
+                    taken = near[:, c] & alive
+                    taken[c] = True
+                    alive &= ~taken
+                    taken[c] = False
+                    groups.append((rest[c], np.concatenate(([rest[c]], rest[taken]))))
+            rest, x = rest[alive], x[alive]
+        return groups
+
     @staticmethod
     def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y)))
+        return CoverTree.lengths(x @ y)
+
+    @staticmethod
+    def lengths(dot: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2 - 2 * dot))
 
 
 def dual(a: CoverTree, b: CoverTree, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,6 +124,14 @@ def dual(a: CoverTree, b: CoverTree, least: float, same: bool) -> tuple[np.ndarr
             nodes.append((i[whole], j[whole]))
             go = ~single & ~whole & (far - both <= reach + SLACK)
             i, j = i[go], j[go]
+            dense = ~a.leaf[i] & ~b.leaf[j] & ((a.last[i] - a.first[i]) * (b.last[j] - b.first[j]) >= DENSE)
+            for k, m in zip(i[dense].tolist(), j[dense].tolist()):
+                found, whole, (u, v) = children(a, b, k, m, least, reach, same and k == m)
+                points.append(found)
+                nodes.append(whole)
+                next_left.append(u)
+                next_right.append(v)
+            i, j = i[~dense], j[~dense]
             if same:  # a node against itself: each pair of its children once
                 own = i == j
                 for k in i[own]:
@@ -128,6 +153,35 @@ def dual(a: CoverTree, b: CoverTree, least: float, same: bool) -> tuple[np.ndarr
     return *join(nodes), *join(points)
 
 
+Pairs = tuple[np.ndarray, np.ndarray]
+
+
+def children(a: CoverTree, b: CoverTree, k: int, m: int, least: float, reach: float, same: bool) -> tuple[Pairs, Pairs, Pairs]:
+    """All children of node k against those of m: single point pairs that link, node pairs that link whole, node pairs still open."""
+    u, v = np.arange(a.first[k], a.last[k]), np.arange(b.first[m], b.last[m])
+    points, nodes, open_ = [], [], []
+    y = b.x[b.point[v]].T
+    for lo in range(0, len(u), 1024):
+        c = u[lo : lo + 1024]
+        dot = a.x[a.point[c]] @ y
+        both = a.radius[c][:, None] + b.radius[v][None, :]
+        near = dot >= 1 - (reach + SLACK + both) ** 2 / 2 - SLACK  # their balls come within reach, with room for rounding
+        i, j = np.nonzero(near)
+        if same:
+            i, j = i[c[i] <= v[j]], j[c[i] <= v[j]]
+        dot, both = dot[i, j], both[i, j]
+        i, j = c[i], v[j]
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * dot))
+        single, itself = a.leaf[i] & b.leaf[j], same & (i == j)
+        hit = single & (dot >= least) & ~itself
+        whole = ~single & (far + both <= reach - SLACK) & ~itself
+        rest = ~single & ~whole
+        points.append((a.point[i[hit]], b.point[j[hit]]))
+        nodes.append((i[whole], j[whole]))
+        open_.append((i[rest], j[rest]))
+    return tuple(tuple(np.concatenate(x) for x in zip(*found)) for found in (points, nodes, open_))
+
+
 def _dots(a: CoverTree, b: CoverTree, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Dot products of the centres of node pairs, through one matrix product where the pairs are dense in it."""
     p, q = a.point[i], b.point[j]
@@ -163,11 +217,16 @@ def link_counts(x: np.ndarray, w: np.ndarray, y: np.ndarray | None, wy: np.ndarr
 
 
 def unit(vector: Column) -> Column:
-    """The vector scaled to length one in double precision; null if null, empty, zero or with null or non-finite components."""
+    """The vector scaled to length one in double precision; null if null, empty, zero or with null or non-finite components.
+
+    It is scaled by a power of two first, so that no square is too large or too small.
+    """
     v = vector.cast(VECTOR)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf"))
-    return F.when(fine, F.transform(v, lambda x: x / norm))
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (largest > 0)
+    near_one = F.transform(v, lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(largest))))
+    norm = F.sqrt(F.aggregate(near_one, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(fine, F.transform(near_one, lambda x: x / norm))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -176,19 +235,27 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def nearest(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """rows(cell, id, size, x) with the cell replaced by that of the nearest pivot: pivots(cell, centres: array of (child, x))."""
+    """(parent, cell, id, size, x, far): rows(cell, n, id, size, x) in the cells of their nearest pivots, and how far these are; pivots(cell, n, child, x).
+
+    A cell is dealt out in slices of about SLICE rows, and its pivots go to each of them once.
+    """
+    slices = F.ceil(F.col("n") / SLICE).cast("long")
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(11)), slices))
+    centres = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column(3))
-            cells, cell = batch.column(0).to_numpy(), np.empty(len(x), np.int64)
-            for c in np.unique(cells):
-                at = np.flatnonzero(cells == c)
-                centres = batch.column(4)[int(at[0])].values
-                cell[at] = centres.field("child").to_numpy()[np.argmax(x[at] @ matrix(centres.field("x")).T, axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(cell), *batch.columns[1:4]], ["parent", "cell", "id", "size", "x"])
+    def deal(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        if not rows.num_rows or not centres.num_rows:
+            return kind.empty_table()
+        centres = centres.sort_by("child")
+        dot = matrix(rows.column("x").combine_chunks()) @ matrix(centres.column("x").combine_chunks()).T
+        best = np.argmax(dot, axis=1)
+        far = CoverTree.lengths(dot[np.arange(len(best)), best])
+        columns = [rows.column("cell"), centres.column("child").take(pa.array(best)), *(rows.column(c) for c in ("id", "size", "x")), pa.array(far)]
+        return pa.table(columns, schema=kind)
 
-    return rows.join(pivots, "cell").select("cell", "id", "size", "x", "centres").mapInArrow(apply, f"parent long, cell long, id long, size long, x {VECTOR}")
+    kind = pa.schema([("parent", pa.int64()), ("cell", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("x", pa.list_(pa.float64())), ("far", pa.float64())])
+    pairs = dealt.groupBy("cell", "slice").cogroup(centres.groupBy("cell", "slice"))
+    return pairs.applyInArrow(deal, f"parent long, cell long, id long, size long, x {VECTOR}, far double")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -207,18 +274,17 @@ def cells(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         depth += 1
         small = rows.join(large.select("cell"), "cell", "left_anti")
         done = small if done is None else done.unionByName(small)
-        open_ = rows.join(large, "cell")
+        open_ = rows.join(maybe_broadcast(large), "cell")
         chance = F.pmod(F.xxhash64("id", F.lit(depth)), F.lit(1 << 40)) / float(1 << 40)
-        picked = open_.where(chance < F.lit(float(PIVOTS)) / F.col("n")).select("cell", F.xxhash64("cell", "id", F.lit(depth)).alias("child"), "x")
+        wanted = F.least(F.lit(float(PIVOTS)), F.greatest(F.lit(4.0), F.col("n") * (2.0 / LEAF)))
+        picked = open_.where(chance < wanted / F.col("n")).select("cell", "n", F.xxhash64("cell", "id", F.lit(depth)).alias("child"), "x")
         pivots = stage(picked, "pivots")
-        per = pivots.groupBy("cell").agg(F.collect_list(F.struct("child", "x")).alias("centres"))
-        moved = stage(nearest(open_.drop("n"), per), "cell-rows")
-        unsplit = open_.join(per.select("cell"), "cell", "left_anti")  # no pivot was drawn: tried again with another hash
-        far = moved.join(pivots.select(F.col("child").alias("cell"), F.col("x").alias("centre")), "cell")
-        level = far.groupBy("parent", "cell").agg(F.count("*").alias("n"), F.max(distance(F.col("x"), F.col("centre"))).alias("radius"))
+        moved = stage(nearest(open_, pivots), "cell-rows")
+        unsplit = open_.join(maybe_broadcast(pivots.select("cell").distinct()), "cell", "left_anti")  # no pivot was drawn: tried again with another hash
+        level = moved.groupBy("parent", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
         level = level.join(pivots.select(F.col("child").alias("cell"), F.col("x").alias("centre")), "cell").select("parent", "cell", "n", "radius", "centre")
         levels.append(stage(level, "cell-level"))
-        rows = stage(moved.drop("parent").unionByName(unsplit.select("cell", "id", "size", "x")), "cell-rows")
+        rows = stage(moved.drop("parent", "far").unionByName(unsplit.select("cell", "id", "size", "x")), "cell-rows")
 
 
 def cell_pairs(roots: DataFrame, levels: list[DataFrame], reach: float) -> DataFrame:
@@ -285,7 +351,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = connected_components(found.where("u is not null").select("u", "v"))
     whole = classes.select("class", "id", "size", "low").join(links, "id", "left").join(nodes.withColumnRenamed("node", "id"), "id", "left")
     whole = stage(whole.select("class", "low", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")), "classes")
-    lows = whole.groupBy("component").agg(F.min("low").alias("component_id"))
+    lows = stage(whole.groupBy("component").agg(F.min("low").alias("component_id")), "lows")  # written, so that Spark can split a hot component
     whole = whole.join(lows, "component").select("class", "n_links", "component_id")
     out = rows.join(stage(whole, "classes"), "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))

@@ -53,10 +53,40 @@ def test_against_brute_force(spark, monkeypatch):
     want = sorted(brute(rows), key=key)
     assert sorted(run(spark, rows), key=key) == want
     monkeypatch.setattr(covertree, "LEAF", 20)
-    monkeypatch.setattr(covertree, "PIVOTS", 4)
+    monkeypatch.setattr(covertree, "PIVOTS", 6)
+    monkeypatch.setattr(covertree, "SLICE", 30)
     assert sorted(run(spark, rows), key=key) == want
 
 
+def test_finite_vectors_of_any_size(spark):
+    """Only null, zero and null or non-finite components make a vector invalid, however large or small it is."""
+    rows = [(1, [1e200, 0.0], 1, ""), (2, [1e200, 1e190], 1, ""), (3, [1e-320, 0.0], 1, ""), (4, [5e-324, 0.0], 1, ""), (5, [0.0, 1.7e308], 1, ""), (6, [0.0, 0.0], 1, ""), (7, [float("inf"), 0.0], 1, "")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    out = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(df).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_dual_traversal_dense_and_sparse(monkeypatch):
+    """Blocks of children and single pairs give the same links as all dot products."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.normal(size=(300, 12)), np.repeat(rng.normal(size=(6, 12)), 40, axis=0) + rng.normal(size=(240, 12)) * 0.08))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[::3] + rng.normal(size=(180, 12)) * 0.02
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    w, wy = rng.integers(1, 4, len(x)).astype(float), rng.integers(1, 4, len(y)).astype(float)
+    for dense, centres in ((4096, 256), (4, 7), (1 << 40, 1)):
+        monkeypatch.setattr(covertree, "DENSE", dense)
+        monkeypatch.setattr(covertree, "CENTRES", centres)
+        near = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+        nx, _, u, v = covertree.link_counts(x, w, None, None, 0.93)
+        assert (nx == near @ w).all()
+        label, want = covertree.local_components(len(x), u, v), covertree.local_components(len(x), *np.nonzero(near))
+        assert (label == want).all()
+        near = x @ y.T >= 0.93
+        nx, ny, u, v = covertree.link_counts(x, w, y, wy, 0.93)
+        assert (nx == near @ wy).all() and (ny == near.T @ w).all()
+
+
 def test_embeddings_and_empty(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     assert sorted(run(spark, rows), key=key) == sorted(brute(rows), key=key)
