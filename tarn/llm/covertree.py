@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -221,12 +222,26 @@ def unit(vector: Column) -> Column:
 
     It is scaled by a power of two first, so that no square is too large or too small.
     """
-    v = vector.cast(VECTOR)
-    largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (largest > 0)
-    near_one = F.transform(v, lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(largest))))
-    norm = F.sqrt(F.aggregate(near_one, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(fine, F.transform(near_one, lambda x: x / norm))
+
+    @F.arrow_udf(VECTOR)
+    def apply(v: pa.Array) -> pa.Array:
+        length = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = v.flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(float)  # a null component comes as not a number
+        out, fine = np.zeros(len(x)), np.zeros(len(length), bool)
+        some, first = np.flatnonzero(length), (np.cumsum(length) - length)
+        if len(some):
+            n, at = length[some], first[some]
+            largest = np.maximum.reduceat(np.abs(x), at)
+            ok = np.isfinite(largest) & (largest > 0)
+            _, exponent = np.frexp(np.where(ok, largest, 1.0))
+            y = np.ldexp(np.where(np.repeat(ok, n), x, 0.0), -np.repeat(exponent, n))
+            norm = np.sqrt(np.add.reduceat(y * y, at))
+            out, fine[some] = y / np.repeat(np.where(ok, norm, 1.0), n), ok
+        offsets = pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out), mask=pa.array(~fine))
+
+    return apply(vector.cast(VECTOR))
 
 
 def distance(a: Column, b: Column) -> Column:
