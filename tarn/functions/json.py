@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json as _json
 from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,7 +33,7 @@ def is_json(j: Column, kind: str = "value") -> Column:
 
 def exists(j: Column, key: str) -> Column:
     """j ? key."""
-    return F.coalesce(F.array_contains(F.json_object_keys(j), key), F.lit(False))
+    return F.when(j.isNotNull(), F.coalesce(F.array_contains(F.json_object_keys(j), key), F.lit(False)))
 
 
 def build_object(**members: Column) -> Column:
@@ -43,10 +44,23 @@ def row_to_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def _load(text: str) -> object:
+    return _json.loads(text, parse_float=Decimal)
+
+
+def _dump(doc: object) -> str:
+    """JSON text; numbers keep their digits."""
+    if isinstance(doc, dict):
+        return "{" + ", ".join(f"{_json.dumps(k, ensure_ascii=False)}: {_dump(v)}" for k, v in doc.items()) + "}"
+    if isinstance(doc, list):
+        return "[" + ", ".join(map(_dump, doc)) + "]"
+    return str(doc) if isinstance(doc, Decimal) else _json.dumps(doc, ensure_ascii=False)
+
+
 def _edit(f: Callable[[object], object]) -> Callable[[Column], Column]:
     @F.pandas_udf(StringType())
     def apply(j: pd.Series) -> pd.Series:
-        return j.map(lambda x: None if x is None else _json.dumps(f(_json.loads(x)), ensure_ascii=False))
+        return j.map(lambda x: None if x is None else _dump(f(_load(x))))
 
     return apply
 
@@ -110,10 +124,10 @@ def concat(a: Column, b: Column) -> Column:
         def one(p, q):
             if p is None or q is None:
                 return None
-            p, q = _json.loads(p), _json.loads(q)
+            p, q = _load(p), _load(q)
             if isinstance(p, dict) and isinstance(q, dict):
-                return _json.dumps(p | q, ensure_ascii=False)
-            return _json.dumps((p if isinstance(p, list) else [p]) + (q if isinstance(q, list) else [q]), ensure_ascii=False)
+                return _dump(p | q)
+            return _dump((p if isinstance(p, list) else [p]) + (q if isinstance(q, list) else [q]))
 
         return pd.Series([one(p, q) for p, q in zip(x, y)])
 
@@ -132,7 +146,7 @@ def contains(a: Column, b: Column) -> Column:
 
     @F.pandas_udf(BooleanType())
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else within(_json.loads(p), _json.loads(q)) for p, q in zip(x, y)])
+        return pd.Series([None if p is None or q is None else within(_load(p), _load(q)) for p, q in zip(x, y)])
 
     return apply(a, b)
 

@@ -17,15 +17,17 @@ def log(x: Column, base: Column | None = None) -> Column:
     return F.log10(x) if base is None else F.ln(x) / F.ln(base)
 
 
-def trunc(x: Column, scale: int = 0) -> Column:
-    """Towards zero, to `scale` decimal digits."""
-    k = F.lit(10.0**scale)
-    return F.signum(x) * F.floor(F.abs(x) * k) / k
+def trunc(x: Column, scale: int | None = None) -> Column:
+    """Towards zero: to a whole number as a double, or to `scale` decimal digits as a decimal (numbers are read by their shortest digits)."""
+    if scale is None:
+        whole = F.when(F.abs(x) < float(1 << 53), F.signum(x) * F.floor(F.abs(x)))
+        return F.coalesce(whole, x.cast("double"))  # larger ones have no fraction
+    return F.when(x < 0, F.ceil(x, F.lit(scale))).otherwise(F.floor(x, F.lit(scale)))
 
 
 def div(a: Column, b: Column) -> Column:
-    """Integer quotient, towards zero."""
-    return ((a - F.try_mod(a, b)) / b).cast("long")
+    """Integer quotient of whole numbers, towards zero; division by zero is an error."""
+    return F.call_function("div", a, b)
 
 
 def to_int(x: Column) -> Column:

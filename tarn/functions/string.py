@@ -34,13 +34,32 @@ def right(s: Column, n: int) -> Column:
     return F.right(s, F.lit(n)) if n >= 0 else F.when(s.isNotNull(), s.substr(F.lit(1 - n), F.length(s)))
 
 
+def _shifted(pattern: str, by: int) -> str:
+    """The pattern with its back references raised by groups that are put in front of it."""
+    return re.sub(r"\\(.)", lambda m: f"\\{int(m[1]) + by}" if m[1] in "123456789" else m[0], pattern, flags=re.S)
+
+
+def _replacement(text: str, whole: int, shift: int) -> str:
+    """A replacement for Java: \\1 to \\9 are groups, \\& is the whole match, two backslashes are one; all else is literal."""
+    out, i = [], 0
+    while i < len(text):
+        c = text[i]
+        if c == "\\" and i + 1 < len(text):
+            i += 1
+            c = text[i]
+            out.append(f"${whole}" if c == "&" else f"${int(c) + shift}" if c in "123456789" else "\\\\" if c == "\\" else "\\\\" + re.escape(c))
+        else:
+            out.append("\\" + c if c in "\\$" else c)
+        i += 1
+    return "".join(out)
+
+
 def regexp_replace(s: Column, pattern: str, replacement: str, flags: str = "") -> Column:
-    """Only the first match, unless the flags have g; i: in any case. The replacement is literal text."""
-    p = ("(?i)" if "i" in flags else "") + pattern
-    quoted = replacement.replace("\\", "\\\\").replace("$", "\\$")
+    """Only the first match, unless the flags have g; i: in any case. \\1 to \\9 and \\& in the replacement stand for groups and the match."""
+    options = "(?si)" if "i" in flags else "(?s)"
     if "g" in flags:
-        return F.regexp_replace(s, p, quoted)
-    return F.regexp_replace(s, f"(?s)^(.*?)(?:{p})" if not p.startswith("(?i)") else f"(?si)^(.*?)(?:{pattern})", "$1" + quoted)
+        return F.regexp_replace(s, options + pattern, _replacement(replacement, 0, 0))
+    return F.regexp_replace(s, f"{options}\\A(.*?)({_shifted(pattern, 2)})", "$1" + _replacement(replacement, 2, 2))
 
 
 def regexp_match(s: Column, pattern: str, groups: int = 0) -> Column:
@@ -49,28 +68,73 @@ def regexp_match(s: Column, pattern: str, groups: int = 0) -> Column:
     return F.when(F.regexp_like(s, F.lit(pattern)), found)
 
 
-def similar_to(s: Column, pattern: str, escape: str = "\\") -> Column:
-    """SIMILAR TO, as an anchored regular expression."""
-    out, i, inside = [], 0, False
+#: POSIX classes and Java's names for them (fixed values).
+POSIX = {"alpha": "\\p{Alpha}", "digit": "0-9", "alnum": "\\p{Alnum}", "upper": "\\p{Upper}", "lower": "\\p{Lower}", "space": "\\s", "punct": "\\p{Punct}", "blank": " \\t", "cntrl": "\\p{Cntrl}", "graph": "\\p{Graph}", "print": "\\p{Print}", "xdigit": "0-9A-Fa-f", "word": "\\w"}
+
+
+def bracket(pattern: str, i: int) -> tuple[str, int]:
+    """The bracket expression that begins at pattern[i] for Java, and the place after it."""
+    out, j = "[", i + 1
+    if pattern[j : j + 1] == "^":
+        out, j = "[^", j + 1
+    first = True
+    while j < len(pattern) and (first or pattern[j] != "]"):
+        named = re.match(r"\[:(\w+):\]", pattern[j:])
+        if named and named[1] in POSIX:
+            out += POSIX[named[1]]
+            j += named.end()
+        else:
+            out += "\\" + pattern[j] if pattern[j] in "[]\\&^" else pattern[j]
+            j += 1
+        first = False
+    if j >= len(pattern):
+        raise ValueError("brackets [] not balanced")
+    return out + "]", j + 1
+
+
+def similar_to_regexp(pattern: str, escape: str = "\\") -> str:
+    """A SIMILAR TO pattern as an unanchored regular expression."""
+    out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
         if c == escape and i + 1 < len(pattern):
             out.append(re.escape(pattern[i + 1]))
-            i += 1
-        elif inside:
-            inside = c != "]"
-            out.append(c)
+            i += 2
         elif c == "[":
-            inside = True
-            out.append(c)
-        elif c in "%_":
-            out.append(".*" if c == "%" else ".")
-        elif c in ".^$\\":
-            out.append("\\" + c)
+            part, i = bracket(pattern, i)
+            out.append(part)
         else:
-            out.append(c)
-        i += 1
-    return F.regexp_like(s, F.lit(f"(?s)^(?:{''.join(out)})$"))
+            out.append(".*" if c == "%" else "." if c == "_" else "\\" + c if c in ".^$\\" else c)
+            i += 1
+    return "".join(out)
+
+
+def similar_to(s: Column, pattern: str, escape: str = "\\") -> Column:
+    """SIMILAR TO, as an anchored regular expression."""
+    return F.regexp_like(s, F.lit(f"(?s)\\A(?:{similar_to_regexp(pattern, escape)})\\z"))
+
+
+def substring_similar(s: Column, pattern: str, escape: str = "#") -> Column:
+    """SUBSTRING(s SIMILAR pattern ESCAPE escape): the part between escape and double quote marks, null if s isn't similar."""
+    parts = pattern.split(f'{escape}"')
+    before, middle, after = (similar_to_regexp(p, escape) for p in (parts if len(parts) == 3 else ["", pattern, ""]))
+    whole = f"(?s)\\A(?:{before})((?:{middle}))(?:{after})\\z"
+    return F.when(F.regexp_like(s, F.lit(whole)), F.regexp_extract(s, whole, 1))
+
+
+def regexp_substr(s: Column, pattern: str) -> Column:
+    """The first match, null without one."""
+    return F.regexp_substr(s, F.lit(pattern))
+
+
+def regexp_instr(s: Column, pattern: str) -> Column:
+    """Where the first match begins, 0 without one."""
+    found = F.regexp_substr(s, F.lit(pattern))
+    return F.when(s.isNotNull(), F.coalesce(F.call_function("locate", found, s), F.lit(0)))
+
+
+def regexp_split_to_array(s: Column, pattern: str) -> Column:
+    return F.split(s, pattern)
 
 
 def split_part(s: Column, delimiter: str, n: int) -> Column:
@@ -92,8 +156,21 @@ def quote_nullable(s: Column) -> Column:
     return F.coalesce(quote_literal(s), F.lit("NULL"))
 
 
+#: Key words that can't stand as a name without quotes (fixed values).
+RESERVED = (
+    "all analyse analyze and any array as asc asymmetric authorization between bigint binary bit boolean both case cast char character check coalesce collate collation column concurrently"
+    " constraint create cross current_catalog current_date current_role current_schema current_time current_timestamp current_user dec decimal default deferrable desc distinct do else end except"
+    " exists extract false fetch float for foreign freeze from full grant greatest group grouping having ilike in initially inner inout int integer intersect interval into is isnull join lateral"
+    " leading least left like limit localtime localtimestamp national natural nchar none normalize not notnull null nullif numeric offset on only or order out outer overlaps overlay placing position"
+    " precision primary real references returning right row select session_user setof similar smallint some substring symmetric system_user table tablesample then time timestamp to trailing treat"
+    " trim true union unique user using values varchar variadic verbose when where window with xmlattributes xmlconcat xmlelement xmlexists xmlforest xmlnamespaces xmlparse xmlpi xmlroot xmlserialize xmltable"
+).split()
+
+
 def quote_ident(s: Column) -> Column:
-    return F.when(F.regexp_like(s, F.lit("^[a-z_][a-z0-9_$]*$")), s).otherwise(F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"')))
+    """Quoted unless it is a lower-case name that is no key word."""
+    plain = F.regexp_like(s, F.lit("^[a-z_][a-z0-9_$]*$")) & ~s.isin(RESERVED)
+    return F.when(plain, s).otherwise(F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"')))
 
 
 def format_(template: str, *args: Column) -> Column:
@@ -115,17 +192,24 @@ def format_(template: str, *args: Column) -> Column:
 
 def initcap(s: Column) -> Column:
     """Each run of letters and digits gets a capital, whatever separates them."""
-    return _initcap(s)
+    pieces = F.split(F.lower(s), r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
 
 
-@F.pandas_udf(StringType())
-def _initcap(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else re.sub(r"[^\W_]+", lambda m: m[0][:1].upper() + m[0][1:].lower(), x))
+def chr_(n: Column) -> Column:
+    """The character with a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-@F.pandas_udf(StringType())
-def chr_(n: pd.Series) -> pd.Series:
-    return n.map(lambda x: None if pd.isna(x) else chr(int(x)))
+def unistr(s: Column) -> Column:
+    """Text with \\XXXX, \\+XXXXXX, \\uXXXX and \\UXXXXXXXX for code points, and two backslashes for one."""
+    token = r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|\+[0-9A-Fa-f]{6}|[0-9A-Fa-f]{4}|\\)|[^\\]+"
+
+    def one(t: Column) -> Column:
+        code = F.regexp_extract(t, r"^\\[uU+]?([0-9A-Fa-f]+)$", 1)
+        return F.when(t == "\\\\", "\\").when(code != "", F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(token), F.lit(0)), one), "")
 
 
 def to_hex(n: Column) -> Column:
@@ -140,9 +224,14 @@ def normalize(s: Column, form: str = "NFC") -> Column:
     return apply(s)
 
 
-@F.pandas_udf(StringType())
-def unaccent(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)))
+def _unaccented() -> tuple[str, str]:
+    """Latin letters with marks that decompose to one letter, and those letters."""
+    marked = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0].isascii()]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
+def unaccent(s: Column) -> Column:
+    return F.translate(s, *_unaccented())
 
 
 def trigrams(s: Column) -> Column:

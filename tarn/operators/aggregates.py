@@ -27,10 +27,19 @@ def json_agg(x: Column, *order: Column) -> Column:
     return F.to_json(array_agg(x, *order), {"ignoreNullFields": "false"})
 
 
-def json_object_agg(key: Column, value: Column) -> Column:
-    """json_object_agg(key, value) for distinct keys, in key order."""
-    entries = F.array_sort(F.collect_list(F.struct(key.cast("string").alias("key"), value.alias("value"))))
-    return F.when(F.count(F.lit(1)) > 0, F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}))
+def _json_value(x: Column) -> Column:
+    """JSON text of a value, null as null."""
+    listed = F.to_json(F.array(x), {"ignoreNullFields": "false"})
+    return F.substring(listed, 2, 1 << 30).substr(F.lit(1), F.length(listed) - 2)
+
+
+def json_object_agg(key: Column, value: Column, unique: bool = False) -> Column:
+    """json_object_agg(key, value), in key order; a key that repeats stays as often, or (`unique`, as in jsonb) with its largest value."""
+    entries = F.array_sort(F.collect_list(F.struct(key.cast("string").alias("key"), _json_value(value).alias("value"))))
+    if unique:
+        entries = F.filter(entries, lambda e, i: ~F.coalesce(F.get(entries, i + 1)["key"] == e["key"], F.lit(False)))
+    members = F.transform(entries, lambda e: F.concat(_json_value(e["key"]), F.lit(":"), e["value"]))
+    return F.when(F.count(F.lit(1)) > 0, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
 
 
 def rank_of(h: object, x: Column) -> Column:
@@ -78,7 +87,7 @@ def range_intersect_agg(low: Column, high: Column) -> Column:
 
 
 def user_aggregate(initial: object, step: Callable[[Column, Column], Column], final: Callable[[Column], Column] | None = None) -> Callable[..., Column]:
-    """CREATE AGGREGATE (SFUNC, STYPE, FINALFUNC, INITCOND): a fold over the group's values in the given order."""
+    """CREATE AGGREGATE (SFUNC, STYPE, FINALFUNC, INITCOND) whose result depends on the order: a fold over the group's values, which meet in one row."""
 
     def aggregate(x: Column, *order: Column) -> Column:
         values = F.coalesce(array_agg(x, *order), F.array().cast("array<double>"))
@@ -86,3 +95,26 @@ def user_aggregate(initial: object, step: Callable[[Column, Column], Column], fi
         return final(state) if final else state
 
     return aggregate
+
+
+#: Values that one row gathers of a group at most (about).
+CHUNK = 4096
+
+
+def combining_aggregate(df: DataFrame, keys: list[str], x: Column, name: str, initial: Column, step: Callable[[Column, Column], Column], combine: Callable[[Column, Column], Column], final: Callable[[Column], Column] | None = None) -> DataFrame:
+    """CREATE AGGREGATE with a COMBINEFUNC, by key: stretches of about CHUNK values are folded by themselves, and their states combined in rounds.
+
+    Null values are passed to `step` as they are; `initial` has the type of the state.
+    """
+    rows = df.select(*keys, x.alias("__x__"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("__h__"))
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    part = F.pmod(F.col("__h__"), F.lit(-(-most // CHUNK))).alias("__part__")
+    states = rows.groupBy(*keys, part).agg(F.collect_list(F.struct("__x__")).alias("__v__"))
+    states = states.select(*keys, "__part__", F.aggregate("__v__", initial, lambda s, v: step(s, v["__x__"])).alias("__s__"))
+    parts = -(-most // CHUNK)
+    while parts > 1:
+        parts = -(-parts // CHUNK)
+        states = states.groupBy(*keys, F.pmod("__part__", F.lit(parts)).alias("__part__")).agg(F.collect_list(F.struct("__s__")).alias("__v__"))
+        states = states.select(*keys, "__part__", F.aggregate("__v__", initial, lambda s, v: combine(s, v["__s__"])).alias("__s__"))
+    state = F.col("__s__")
+    return states.select(*keys, (final(state) if final else state).alias(name))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds after which a loop gives up with an error (it never cuts a result short).
 MAX_ROUNDS = 10_000
+#: Rounds that stay tables by themselves before they are put together.
+ROUNDS_APART = 16
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -33,8 +36,9 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     """
     columns = seed.columns
     new = _cut(seed.distinct() if distinct else seed)
-    seen = new
+    rounds = [new]
     for _ in range(MAX_ROUNDS):
+        seen = reduce(DataFrame.unionByName, rounds)
         more = step(new).toDF(*columns)
         if distinct:
             more = more.distinct()
@@ -43,7 +47,9 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
         new = _cut(more)
         if new.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(new))
+        rounds.append(new)
+        if len(rounds) > ROUNDS_APART:  # what was seen is written again only now and then
+            rounds = [_cut(reduce(DataFrame.unionByName, rounds))]
     raise RuntimeError(f"recursion has not ended after {MAX_ROUNDS} rounds")
 
 

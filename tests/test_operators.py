@@ -50,6 +50,12 @@ def test_aggregates(spark):
     assert out["b"].l == [None] and out["b"].s is None
     spans = frame(spark, [("a", 1, 3), ("a", 3, 4), ("a", 6, 9), ("a", 7, 8), ("a", 5, 5)], "g string, lo int, hi int")
     assert sorted((r.lo, r.hi) for r in aggregates.range_agg(spans, ["g"], "lo", "hi").collect()) == [(1, 4), (6, 9)]
+    twice = frame(spark, [("k", 1), ("k", 2), ("j", None)], "k string, v int")
+    assert twice.agg(aggregates.json_object_agg(F.col("k"), F.col("v"))).first()[0] == '{"j":null,"k":1,"k":2}'
+    assert twice.agg(aggregates.json_object_agg(F.col("k"), F.col("v"), unique=True)).first()[0] == '{"j":null,"k":2}'
+    many = spark.range(50_000).selectExpr("id % 3 g", "id v")
+    longest = aggregates.combining_aggregate(many, ["g"], F.col("v"), "m", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")), lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["s"] + x).alias("s")), lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["s"] + b["s"]).alias("s")), lambda s: s["s"] / s["n"])
+    assert sorted(map(tuple, longest.collect())) == sorted(map(tuple, many.groupBy("g").avg("v").collect()))
     assert spans.limit(0).agg(aggregates.array_agg(F.col("lo")).alias("l")).first().l is None
 
 
@@ -59,8 +65,30 @@ def test_window_features(spark):
     pick = lambda what: [r.s for r in df.withColumn("s", windows.sum_excluding(F.col("v"), w, peers, what)).orderBy("id").collect()]
     assert pick("current row") == [30, 30, 20, 40] and pick("group") == [20, 20, 20, 40] and pick("ties") == [30, 30, 40, 40]
     assert [r.n for r in windows.groups_frame(df, "n", F.count("*"), [], ["v"], 1, 0).orderBy("id").collect()] == [2, 2, 3, 2]
-    last = Window.partitionBy(F.lit(1)).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    assert df.select(windows.nth_from_last(F.col("v"), 1, last).alias("x"), windows.nth_from_last(F.col("v"), 9, last).alias("y")).first() == (None, None)
+    last = lambda n, *frame: windows.nth_from_last(F.col("v"), n, [], ["id"], *frame)
+    assert df.select(last(1).alias("x"), last(9).alias("y")).first() == (None, None)
+    assert [r.x for r in df.select("id", last(2).alias("x")).orderBy("id").collect()] == [20] * 4
+    assert [r.x for r in df.select("id", last(2, 1, 1).alias("x")).orderBy("id").collect()] == [10, 10, 20, 20]
+
+
+@pytest.mark.parametrize("what", ["current row", "group", "ties", "no others"])
+def test_excluding_frames_against_brute_force(spark, what):
+    rows = [(i, i * 7 % 4, None if i % 5 == 0 else i * i % 11, "ab"[i % 2]) for i in range(40)]
+    df = frame(spark, rows, "id int, k int, v long, g string")
+    for before, after in ((None, None), (2, 1), (0, 3), (None, 0), (4, -2)):
+        out = windows.aggregate_excluding(df, "s", "v", ["g"], ["k", "id"] if before == 4 else ["k"], before, after, what)
+        counts = {r.id: r.s for r in windows.aggregate_excluding(df, "s", "v", ["g"], ["k", "id"], before, after, what, "count").collect()}
+        for g in "ab":
+            mine = sorted((r for r in rows if r[3] == g), key=lambda r: (r[1], r[0]))
+            for i, r in enumerate(mine):
+                low, high = 0 if before is None else max(0, i - before), len(mine) - 1 if after is None else min(len(mine) - 1, i + after)
+                gone = {"current row": [i], "group": [i], "ties": [], "no others": []}[what]  # ordered by k and id, a row has no peers
+                assert counts[r[0]] == sum(mine[j][2] is not None for j in range(low, high + 1) if j not in gone)
+        assert out.count() == len(rows)
+    whole = {r.id: r.s for r in windows.aggregate_excluding(df, "s", "v", ["g"], ["k"], None, None, what).collect()}
+    for r in rows:
+        others = [x[2] for x in rows if x[3] == r[3] and x[2] is not None and {"current row": x[0] != r[0], "group": x[1] != r[1], "ties": x[1] != r[1] or x[0] == r[0], "no others": True}[what]]
+        assert whole[r[0]] == (sum(others) if others else None)
 
 
 def test_recursion(spark):
@@ -78,8 +106,15 @@ def test_merge_rules(spark):
     assert sorted((r.action, r.new.k) for r in out.returning.collect()) == [("INSERT", 3), ("UPDATE", 2)]
     assert sorted(map(tuple, dml.delete_using(target, source, ["k"]).table.collect())) == [(1, "a")]
     twice = source.union(source)
+    assert sorted(map(tuple, dml.update_from(target, twice, ["k"], {"v": F.col("s.v")}).table.collect())) == [(1, "a"), (2, "B")]
     with pytest.raises(Exception, match="second time"):
-        dml.update_from(target, twice, ["k"], {"v": F.col("s.v")}).table.collect()
+        dml.merge(target, twice, ["k"], [dml.When("matched", "update", {"v": F.col("s.v")})]).table.collect()
+    with pytest.raises(Exception, match="second time"):
+        dml.upsert(target, twice.where("k = 3"), ["k"], {"v": F.col("s.v")}).table.collect()
+    assert dml.merge(target, twice.where("k = 3"), ["k"], [dml.When("matched", "delete")]).table.count() == 2
+    nulls = frame(spark, [(None, "x"), (None, "y"), (1, "z"), (1, "z")], "k int, v string")
+    assert sorted(map(repr, map(tuple, dml.upsert(target, nulls, ["k"]).table.collect()))) == ["(1, 'a')", "(2, 'b')", "(None, 'x')", "(None, 'y')"]
+    assert dml.upsert(target, nulls.limit(2), ["k"], {"v": F.col("s.v")}).table.count() == 4
     assert sorted(map(tuple, dml.upsert(target, source.limit(0), ["k"]).table.collect())) == [(1, "a"), (2, "b")]
 
 
@@ -87,7 +122,10 @@ def test_merge_rules(spark):
     "make, want",
     [
         (lambda: math.div(F.lit(-7), F.lit(2)), -3),
-        (lambda: math.trunc(F.lit(-2.567), 1), -2.5),
+        (lambda: math.trunc(F.lit(-2.567), 1).cast("double"), -2.5),
+        (lambda: math.trunc(F.lit(0.29), 2).cast("double"), 0.29),
+        (lambda: math.trunc(F.lit(-1e300)), -1e300),
+        (lambda: math.div(F.lit(9007199254740993), F.lit(1)), 9007199254740993),
         (lambda: math.to_int(F.lit(2.5)), 2),
         (lambda: math.gcd(F.lit(12), F.lit(18)), 6),
         (lambda: math.factorial(F.lit(25)), "15511210043330985984000000"),
@@ -98,7 +136,19 @@ def test_merge_rules(spark):
         (lambda: string.regexp_replace(F.lit("abcabc"), "b", "$X"), "a$Xcabc"),
         (lambda: string.regexp_replace(F.lit("ABC"), "b", "x", "gi"), "AxC"),
         (lambda: string.regexp_replace(F.lit("none"), "z", "x"), "none"),
+        (lambda: string.regexp_replace(F.lit("foobarbaz"), "b(..)", r"X\1Y", "g"), "fooXarYXazY"),
+        (lambda: string.regexp_replace(F.lit("foobarbaz"), "b(..)", r"<\&|\1>"), "foo<bar|ar>baz"),
+        (lambda: string.regexp_replace(F.lit("xaabb"), r"(a)\1", r"\\"), "x\\bb"),
         (lambda: string.similar_to(F.lit("abc"), "(a|b)%"), True),
+        (lambda: string.similar_to(F.lit("abc"), "[[:alpha:]]+"), True),
+        (lambda: string.similar_to(F.lit("a]c"), "[]a[:digit:]]+c"), True),
+        (lambda: string.substring_similar(F.lit("foobar"), '%#"o_b#"%'), "oob"),
+        (lambda: string.quote_ident(F.lit("select")), '"select"'),
+        (lambda: string.unistr(F.lit(r"d\0061t\+000061 \u0061\U00000061\\")), "data aa\\".replace(" ", " ")),
+        (lambda: string.chr_(F.lit(8364)), "€"),
+        (lambda: string.regexp_instr(F.lit("number of your street, 52"), "[0-9]+"), 24),
+        (lambda: json.exists(F.lit(None).cast("string"), "a"), None),
+        (lambda: json.set_(F.lit('{"n": 1.10}'), ["k"], 1), '{"n": 1.10, "k": 1}'),
         (lambda: string.similar_to(F.lit("abc"), "a.c"), False),
         (lambda: string.quote_ident(F.lit('We "x"')), '"We ""x"""'),
         (lambda: string.quote_nullable(F.lit(None).cast("string")), "NULL"),
