@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def array_length(a: Column) -> Column:
@@ -74,3 +77,33 @@ def all_of(x: Column, op: str, a: Column) -> Column:
 
 def _compare(x: Column, op: str, v: Column) -> Column:
     return {"=": x == v, "<>": x != v, "<": x < v, "<=": x <= v, ">": x > v, ">=": x >= v}[op]
+
+
+def array_lower(a: Column) -> Column:
+    """1, null for an empty array."""
+    return F.when(F.size(a) > 0, 1)
+
+
+def array_upper(a: Column) -> Column:
+    return array_length(a)
+
+
+def array_ndims(df: DataFrame, name: str) -> Column:
+    """Dimensions of an array column, by its type; null for an empty array."""
+    kind, n = df.schema[name].dataType, 0
+    while isinstance(kind, ArrayType):
+        kind, n = kind.elementType, n + 1
+    return F.when(F.size(name) > 0, n)
+
+
+def num_nulls(*values: Column) -> Column:
+    return reduce(lambda a, b: a + b, [v.isNull().cast("int") for v in values])
+
+
+def num_nonnulls(*values: Column) -> Column:
+    return reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
+
+
+def between_symmetric(x: Column, a: Column, b: Column) -> Column:
+    """x BETWEEN SYMMETRIC a AND b."""
+    return ((x >= a) & (x <= b)) | ((x >= b) & (x <= a))

@@ -26,19 +26,15 @@ def extract(field: str, ts: Column) -> Column:
 
 
 def age(a: Column, b: Column) -> Column:
-    """age(a, b) as a struct of months, days and micros, all of one sign."""
-    back = a < b
+    """age(a, b) as a struct of months, days and micros, all of one sign: field by field, borrowing days from the earlier one's month."""
     hi, lo = F.greatest(a, b), F.least(a, b)
-    months = F.floor(F.months_between(hi.cast("timestamp"), lo.cast("timestamp"), False) + 1e-9)
-    anchor = F.add_months(lo.cast("date"), months.cast("int"))
-    clock = _micros(lo) - _micros(F.date_trunc("day", lo))
-    rest = _micros(hi) - (F.unix_micros(anchor.cast("timestamp")) + clock)
-    months, rest = F.when(rest < 0, months - 1).otherwise(months), rest
-    anchor = F.add_months(lo.cast("date"), months.cast("int"))
-    rest = _micros(hi) - (F.unix_micros(anchor.cast("timestamp")) + clock)
-    s = F.when(back, -1).otherwise(1)
     day = F.lit(86_400_000_000)
-    return F.struct((s * months).cast("long").alias("months"), (s * F.floor(rest / day)).cast("long").alias("days"), (s * F.pmod(rest, day)).cast("long").alias("micros"))
+    micros = F.pmod(_micros(hi), day) - F.pmod(_micros(lo), day)
+    days = F.dayofmonth(hi) - F.dayofmonth(lo) - F.when(micros < 0, 1).otherwise(0)
+    months = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo) - F.when(days < 0, 1).otherwise(0)
+    days = F.when(days < 0, days + F.dayofmonth(F.last_day(lo))).otherwise(days)
+    s = F.when(a < b, -1).otherwise(1)
+    return F.struct((s * months).cast("long").alias("months"), (s * days).cast("long").alias("days"), (s * F.pmod(micros, day)).cast("long").alias("micros"))
 
 
 def justify_hours(i: Column) -> Column:

@@ -118,3 +118,54 @@ def polygon_area(points: Column) -> Column:
 def path_length(points: Column) -> Column:
     steps = F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1), distance)
     return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b)
+
+
+def length(s: Column) -> Column:
+    return distance(s["a"], s["b"])
+
+
+def radius(c: Column) -> Column:
+    return c["radius"]
+
+
+def npoints(points: Column) -> Column:
+    return F.size(points)
+
+
+def polygon_of(b: Column) -> Column:
+    """polygon(box): its four corners."""
+    low, high = b["low"], b["high"]
+    return F.array(low, point(low["x"], high["y"]), high, point(high["x"], low["y"]))
+
+
+def isclosed(path: Column) -> Column:
+    """Whether a path, as (points, closed), is closed."""
+    return path["closed"]
+
+
+def pclose(path: Column) -> Column:
+    return path.withField("closed", F.lit(True))
+
+
+def popen(path: Column) -> Column:
+    return path.withField("closed", F.lit(False))
+
+
+def line(a: Column, b: Column) -> Column:
+    """The line through two points as a, b, c of ax + by + c = 0."""
+    up = a["x"] == b["x"]
+    m = F.when(~up, (b["y"] - a["y"]) / F.when(~up, b["x"] - a["x"]))
+    return F.struct(F.when(up, -1.0).otherwise(m).alias("a"), F.when(up, 0.0).otherwise(-1.0).alias("b"), F.when(up, a["x"]).otherwise(a["y"] - m * a["x"]).alias("c"))
+
+
+def segments_intersect(s: Column, t: Column) -> Column:
+    """lseg ?# lseg."""
+
+    def side(p: Column, a: Column, b: Column) -> Column:
+        return F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
+    def on(p: Column, a: Column, b: Column) -> Column:
+        return (side(p, a, b) == 0) & p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    crossing = (side(s["a"], t["a"], t["b"]) * side(s["b"], t["a"], t["b"]) < 0) & (side(t["a"], s["a"], s["b"]) * side(t["b"], s["a"], s["b"]) < 0)
+    return crossing | on(s["a"], t["a"], t["b"]) | on(s["b"], t["a"], t["b"]) | on(t["a"], s["a"], s["b"]) | on(t["b"], s["a"], s["b"])

@@ -65,3 +65,45 @@ def merge(a: Column, b: Column) -> Column:
 def text(r: Column) -> Column:
     """The value as PostgreSQL writes it."""
     return F.when(r["empty"], "empty").otherwise(F.concat(F.when(r["lower_inc"], "[").otherwise("("), F.coalesce(r["lower"].cast("string"), F.lit("")), F.lit(","), F.coalesce(r["upper"].cast("string"), F.lit("")), F.when(r["upper_inc"], "]").otherwise(")")))
+
+
+def upper_inf(r: Column) -> Column:
+    return ~r["empty"] & r["upper"].isNull()
+
+
+def lower_inf(r: Column) -> Column:
+    return ~r["empty"] & r["lower"].isNull()
+
+
+def difference(a: Column, b: Column) -> Column:
+    """a - b for half-open ranges; what is cut in two is an error, as there."""
+    left = F.coalesce(a["lower"] < b["lower"], a["lower"].isNull() & b["lower"].isNotNull())
+    right = F.coalesce(b["upper"] < a["upper"], a["upper"].isNull() & b["upper"].isNotNull())
+    none = make(a["lower"], a["upper"]).withField("empty", F.lit(True))
+    cut = F.when(left & right, none.withField("lower", F.raise_error(F.lit("result of range difference would not be contiguous")).cast("int")))
+    return F.when(~overlaps(a, b), a).when(left & right, cut).when(left, make(a["lower"], b["lower"])).when(right, make(b["upper"], a["upper"])).otherwise(none)
+
+
+def multirange(*ranges: Column) -> Column:
+    """Half-open ranges as a sorted array of disjoint ones; those that overlap or touch are joined."""
+    given = F.filter(F.array(*ranges), lambda r: ~r["empty"])
+    # an infinite lower bound is null, which sorts first; an infinite upper bound ends every later range
+    ordered = F.array_sort(given)
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        meets = (F.size(done) > 0) & (last["upper"].isNull() | r["lower"].isNull() | (r["lower"] <= last["upper"]))
+        upper = F.when(last["upper"].isNotNull() & r["upper"].isNotNull(), F.greatest(last["upper"], r["upper"]))
+        joined = last.withField("upper", upper).withField("upper_inc", F.lit(False))
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(ordered, F.filter(given, lambda r: F.lit(False)), add)
+
+
+def multirange_contains(m: Column, x: Column) -> Column:
+    """m @> element."""
+    return F.exists(m, lambda r: contains(r, x))
+
+
+def multirange_text(m: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(m, text), ","), F.lit("}"))

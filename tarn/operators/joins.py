@@ -42,6 +42,30 @@ def not_in(left: DataFrame, value: str, right: DataFrame, member: str) -> DataFr
     return left.where(F.col(value).isNotNull()).join(right.select(F.col(member).alias(value)).distinct(), value, "left_anti")
 
 
+def quantified(left: DataFrame, x: str, op: str, how: str, right: DataFrame, member: str, name: str) -> DataFrame:
+    """left with `name`: x op ANY | ALL (SELECT member …), three-valued.
+
+    All but = ANY and <> ALL need only the ends of the members (one row, broadcast); these two ask whether x is one of them.
+    """
+    m = F.col(member)
+    ends = right.agg(F.min(m).alias("__low__"), F.max(m).alias("__high__"), F.count("*").alias("__n__"), F.count_if(m.isNull()).alias("__nulls__"))
+    rows, v, low, high = left.crossJoin(F.broadcast(ends)), F.col(x), F.col("__low__"), F.col("__high__")
+    how = how.lower()
+    if (op, how) in (("=", "any"), ("<>", "all")):
+        members = right.where(m.isNotNull()).select(m.alias("__m__")).distinct()
+        rows = rows.join(members, v == F.col("__m__"), "left")
+        held = F.col("__m__").isNotNull()
+        some = held if how == "any" else ~held
+        sure = held
+    else:
+        ends_of = {(">", "any"): v > low, (">=", "any"): v >= low, ("<", "any"): v < high, ("<=", "any"): v <= high, ("<>", "any"): (v != low) | (v != high), (">", "all"): v > high, (">=", "all"): v >= high, ("<", "all"): v < low, ("<=", "all"): v <= low, ("=", "all"): (v == low) & (v == high)}
+        some = ends_of[op, how]
+        sure = some if how == "any" else ~some
+    unknown = v.isNull() | ((F.col("__nulls__") > 0) & ~F.coalesce(sure, F.lit(False)))
+    value = F.when(F.col("__n__") == 0, F.lit(how == "all")).when(~unknown, some)
+    return rows.select(*[F.col(f"`{c}`") for c in left.columns], value.alias(name))
+
+
 def lateral_top_n(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], order: list[str], n: int, outer: bool = False) -> DataFrame:
     """[LEFT] JOIN LATERAL (SELECT … WHERE right.k = left.k ORDER BY order LIMIT n): ranked once per key, then an equi-join."""
     keys = [r for _, r in on]

@@ -13,6 +13,21 @@ def generate_series(spark: SparkSession, start: int, stop: int, step: int = 1, n
     return spark.range(start, stop + (1 if step > 0 else -1), step).toDF(name)
 
 
+def date_series(spark: SparkSession, start: str, stop: str, step: str, name: str = "generate_series", kind: str = "timestamp_ntz") -> DataFrame:
+    """generate_series(start, stop, interval) over timestamps or dates: whole months are added to the start, other steps are spread as a range of their number."""
+    count, unit = step.split()
+    months = {"month": 1, "year": 12}.get(unit.rstrip("s"))
+    first, last = (F.lit(x).cast("timestamp_ntz") for x in (start, stop))
+    if months:
+        n = F.months_between(last.cast("timestamp"), first.cast("timestamp"))
+        ends = spark.range(1).select(F.floor(n / (int(count) * months)).alias("n")).first()["n"]
+        at = F.make_ym_interval(F.lit(0), (F.col("id") * int(count) * months).cast("int"))
+        return spark.range(0, max(0, ends + 1)).select((first + at).cast(kind).alias(name))
+    micros = {"microsecond": 1, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}[unit.rstrip("s")] * int(count)
+    a, b = spark.range(1).select(F.unix_micros(first.cast("timestamp")).alias("a"), F.unix_micros(last.cast("timestamp")).alias("b")).first()
+    return spark.range(a, b + (1 if micros > 0 else -1), micros).select(F.timestamp_micros("id").cast("timestamp_ntz").cast(kind).alias(name))
+
+
 def series(start: Column, stop: Column, step: Column | int = 1) -> Column:
     """generate_series(start, stop, step) in a LATERAL: rows only if the step leads from start to stop."""
     step = step if isinstance(step, Column) else F.lit(step)
