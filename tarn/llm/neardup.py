@@ -8,7 +8,9 @@ average, but with four partitions of 16 bits a pair meets by one fingerprint wit
 0.25, hence by WORDS of them with one of about 0.97 (0.996 at 0.85).
 
 A bucket with few candidates gives all of them. One with many (a group of copies) first gives each row's nearest
-neighbour; when these are verified and connected, only pairs whose components still differ follow.
+neighbour. When these are verified and connected, buckets that still hold several components get the sets
+themselves, and compare in place: each pair in the first bucket where it meets, unless its components have been
+joined meanwhile. So no group of copies is written out as pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tarn.llm.common import Scratch, connected_components, maybe_broadcast, stag
 WORDS, DISTANCE = 14, 3
 #: Bits of 128 by which a candidate may differ on two other fingerprints (at 0.8: 19.4 on average, standard deviation 4.1).
 FAR = 34
+#: Bits by which a pair of a crowded bucket may differ on all fingerprints, in standard deviations above the mean at the similarity.
+SPREAD = 4.5
 #: Candidates for each row beyond which a bucket gives nearest neighbours first.
 MANY = 4
 PAYLOAD = ["node", "n", "a", "b"]
@@ -75,20 +79,24 @@ def fingerprinted(base: DataFrame, words: int) -> DataFrame:
     return base.mapInArrow(apply, "id long, th long, node long, n long, fps array<long>")
 
 
-def candidates(cols: list[np.ndarray], similarity: Fraction, component: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows i, rows j, distances) that meet in dealt rows and may be similar enough; with components, only where these differ."""
+def candidates(cols: list[np.ndarray], similarity: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows i, rows j, distances) that meet in dealt rows and may be similar enough."""
     num, den = similarity.numerator, similarity.denominator
     node, n, a, b = cols[4], cols[5], cols[6].view(np.uint64), cols[7].view(np.uint64)
     for i, j in simhash.meetings(cols):
         far = np.bitwise_count(a[i] ^ a[j]).astype(np.int64) + np.bitwise_count(b[i] ^ b[j])
         ok = (far <= FAR) & (node[i] != node[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
-        if component is not None:
-            ok &= component[i] != component[j]
         at = np.flatnonzero(ok)
         if len(at):
             yield i[at], j[at], far[at]
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
+    """Whether two sets share at least `similarity` of their union."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * similarity.denominator >= similarity.numerator * (len(x) + len(y) - common)
+
+
 def met(dealt: DataFrame, similarity: Fraction) -> DataFrame:
     """(u, v) for candidates, all of a bucket or of its rows' nearest; (part, key) instead for buckets that have more."""
 
@@ -100,7 +108,7 @@ def met(dealt: DataFrame, similarity: Fraction) -> DataFrame:
             size, count = np.bincount(bucket), np.zeros(int(bucket[-1]) + 1, np.int64)
             nearest, partner = np.full(rows, 1 << 20), np.full(rows, -1)
             few: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, j, far in candidates(cols, similarity, None):
+            for i, j, far in candidates(cols, similarity):
                 of = bucket[i]
                 np.add.at(count, of, 1)
                 for x, y in ((i, j), (j, i)):  # each row occurs once in either
@@ -126,41 +134,67 @@ def met(dealt: DataFrame, similarity: Fraction) -> DataFrame:
     return dealt.mapInArrow(apply, "u long, v long, part int, key long")
 
 
-def still_apart(dealt: DataFrame, similarity: Fraction) -> DataFrame:
-    """(u, v): all candidates of dealt rows (with c, a component) whose components differ."""
+def joined_in_place(dealt: DataFrame, plans: list[list[tuple[list[int], int]]], similarity: Fraction) -> DataFrame:
+    """(u, v): links of dealt rows (with c, a component, fps and s, the set itself) that connect whatever the buckets' similar pairs connect."""
+    parts = [(w, np.uint64(sum(1 << b for b in bits)), t) for w, used in enumerate(plans) for bits, t in used]
+    odds = np.arccos(2 * float(similarity) / (1 + float(similarity))) / np.pi
+    all_bits = 64 * len(plans)
+    most = all_bits * odds + SPREAD * np.sqrt(all_bits * odds * (1 - odds))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in simhash.chunks(batches):
-            node = cols[4]
-            for i, j, _ in candidates(cols, similarity, cols[8]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+            node, c = cols[4], cols[8]
+            fps = np.frombuffer(b"".join(cols[9]), ">u8").astype(np.uint64).reshape(len(node), -1)
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := above.get(x, x)) != x:
+                    above[x] = above.get(y, y)
+                    x = y
+                return x
+
+            u, v = [], []
+            for i, j, _ in candidates(cols, similarity):
+                apart = np.flatnonzero(c[i] != c[j])
+                differ = fps[i[apart]] ^ fps[j[apart]]
+                ok = np.bitwise_count(differ).sum(axis=1) <= most
+                own = cols[0][i[apart]]
+                for number, (w, mask, t) in enumerate(parts):  # met before: settled there
+                    ok &= (own <= number) | (np.bitwise_count(differ[:, w] & mask) > t)
+                for x, y in zip(i[apart[ok]].tolist(), j[apart[ok]].tolist()):
+                    a, b = root(int(c[x])), root(int(c[y]))
+                    if a != b and similar(*(np.frombuffer(cols[10][k], np.uint64) for k in (x, y)), similarity):
+                        above[a] = b
+                        u.append(node[x])
+                        v.append(node[y])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return dealt.mapInArrow(apply, "u long, v long")
 
 
-def verified(pairs: DataFrame, base: DataFrame, rows: DataFrame, words: int, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose whole sets share `similarity`; one text of each node asked for is read again."""
-    num, den = similarity.numerator, similarity.denominator
+def whole_sets(asked: DataFrame, base: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(node, s): the sets of the nodes asked for, from one text of each, which is read again."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in texts_of(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], ["node", "s"])
 
+    one = rows.groupBy("node").agg(F.min(F.struct("th", "id")).alias("at")).join(maybe_broadcast(asked), "node", "left_semi")
+    one = scratch.stage(one.select("node", F.col("at.th").alias("o_th"), F.col("at.id").alias("o_id")), "near-asked")
+    texts = base.join(maybe_broadcast(one), (F.col("th") == F.col("o_th")) & F.col("id").eqNullSafe(F.col("o_id")))
+    return scratch.stage(texts.select("node", "text").mapInArrow(sets_of, "node long, s binary").dropDuplicates(["node"]), "near-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common * den >= num * (len(x) + len(y) - common))
+            keep = [similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in both), similarity) for both in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    one = rows.groupBy("node").agg(F.min(F.struct("th", "id")).alias("at")).join(maybe_broadcast(asked), "node", "left_semi")
-    one = scratch.stage(one.select("node", F.col("at.th").alias("o_th"), F.col("at.id").alias("o_id")), "near-asked")
-    texts = base.join(maybe_broadcast(one), (F.col("th") == F.col("o_th")) & F.col("id").eqNullSafe(F.col("o_id")))
-    sets = scratch.stage(texts.select("node", "text").mapInArrow(sets_of, "node long, s binary").dropDuplicates(["node"]), "near-sets")
     both = pairs.join(sets.withColumnsRenamed({"node": "u", "s": "x"}), "u").join(sets.withColumnsRenamed({"node": "v", "s": "y"}), "v")
     return both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
@@ -177,7 +211,9 @@ def links(base: DataFrame, rows: DataFrame, words: int, similarity: Fraction, sc
     index = simhash.indexed(nodes, plans, PAYLOAD)
     found = scratch.stage(met(simhash.dealt(index, PAYLOAD), similarity), "near-met")
     pairs = scratch.stage(found.where("u is not null").select("u", "v").distinct(), "near-pairs")
-    first = scratch.stage(verified(pairs, base, rows, words, similarity, scratch), "near-links")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = whole_sets(asked, base, rows, words, scratch)
+    first = scratch.stage(verified(pairs, sets, similarity), "near-links")
 
     crowded = scratch.stage(found.where("u is null").select("part", "key").distinct(), "near-crowded")
     if crowded.isEmpty():
@@ -187,9 +223,10 @@ def links(base: DataFrame, rows: DataFrame, words: int, similarity: Fraction, sc
     index = scratch.stage(index.select("part", "key", "probe", *PAYLOAD, F.coalesce("c", "node").alias("c")), "near-crowd")
     apart = index.groupBy("part", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("part", "key")
     index = scratch.stage(index.join(maybe_broadcast(apart), ["part", "key"], "left_semi"), "near-apart")
-    rest = still_apart(simhash.dealt(index, [*PAYLOAD, "c"]), similarity).distinct().join(pairs, ["u", "v"], "left_anti")
-    rest = scratch.stage(rest, "near-rest")
-    return first.unionByName(verified(rest, base, rows, words, similarity, scratch))
+    # a row without any candidate in its crowded buckets has no set, and no pair either
+    bits = nodes.select("node", F.unhex(F.array_join(F.transform("fps", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("bits"))
+    index = index.join(bits, "node").join(sets, "node")
+    return first.unionByName(joined_in_place(simhash.dealt(index, [*PAYLOAD, "c", "bits", "s"]), plans, similarity))
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: Fraction) -> DataFrame:

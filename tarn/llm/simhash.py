@@ -57,7 +57,11 @@ def bit_counts(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set in each of the stretches of h, none of them empty."""
     first = np.cumsum(lengths) - lengths
     edges = np.flatnonzero((np.arange(len(h)) - np.repeat(first, lengths)) % 255 == 0)
-    lanes = np.add.reduceat(SPREAD[h.view(np.uint8).reshape(-1, 8)], edges, axis=0)  # a byte a bit
+    lanes = np.empty((len(edges), 8), np.uint64)  # a byte a bit
+    for lo in range(0, len(edges), 512):
+        some = edges[lo : lo + 513]
+        part = h[some[0] : some[512] if len(some) > 512 else len(h)]
+        lanes[lo : lo + 512] = np.add.reduceat(SPREAD[part.view(np.uint8).reshape(-1, 8)], some[:512] - some[0], axis=0)
     return np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64), np.searchsorted(edges, first), axis=0, dtype=np.int64)
 
 
