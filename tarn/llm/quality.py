@@ -18,7 +18,7 @@ SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
 #: A line is above limits if over LINE_DOCS documents of its host have it, and over LINE_MOST or over 1 in LINE_SHARE of them do.
 LINE_DOCS, LINE_MOST, LINE_SHARE = 10, 100, 50
-#: Lines above limits (of 24 bytes each) that are broadcast, as lists by host; more are joined to their documents instead.
+#: Lines above limits (32 bytes each) that are sent to every task; more are joined to their documents instead.
 BROADCAST_LINES = 50_000
 #: A document is depleted if, without such lines, fewer words than these are left, or less than this share.
 WORDS_LEFT, SHARE_LEFT = 20, 0.5
@@ -127,39 +127,35 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_
     lines = scratch.stage(document_lines(base), "document-lines")
     above = stage(common_lines(base, lines), "lines")
     packed_docs = docs.select(packed(docs), *own)
-    if above.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        lists = above.groupBy("host").agg(F.collect_list(F.struct("line", "id", "th")).alias("lines")).withColumnRenamed("host", "l_host")
-        joined = packed_docs.join(F.broadcast(lists), F.col("host") == F.col("l_host"), "left")
+    few = above.limit(BROADCAST_LINES + 1).collect()
+    if len(few) <= BROADCAST_LINES:
+        sent = np.array([tuple(r) for r in few], np.int64).reshape(-1, 4)
+        joined = packed_docs.withColumn("lines", F.lit(None).cast("array<long>"))
     else:
+        sent = np.zeros((0, 4), np.int64)
         first = above.select(F.col("host").alias("a_host"), F.col("line").alias("a_line"), F.col("id").alias("a_id"), F.col("th").alias("a_th"))
-        bad = lines.join(first, (F.col("host") == F.col("a_host")) & (F.col("line") == F.col("a_line")))
-        # each list holds the lines of one document
-        lists = bad.groupBy("host", "id", "th").agg(F.collect_list(F.struct("line", F.col("a_id").alias("id"), F.col("a_th").alias("th"))).alias("lines"))
+        bad = lines.join(first, (F.col("host") == F.col("a_host")) & (F.col("line") == F.col("a_line"))).where("id <> a_id or th <> a_th")
+        lists = bad.groupBy("host", "id", "th").agg(F.collect_list("line").alias("lines"))  # each holds lines of one document
         lists = stage(lists.withColumnsRenamed({"host": "l_host", "id": "l_id", "th": "l_th"}), "bad-lines")
         joined = packed_docs.join(lists, (F.col("host") == F.col("l_host")) & (F.col("id") == F.col("l_id")) & (F.col("th") == F.col("l_th")), "left")
     scratch.drop()
-    joined = joined.select("row", "lines", "id", "th")
+    joined = joined.select("row", "lines", "host", "id", "th")
     place_of_text = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common: dict[int, set[int]] = {}
+        own: dict[tuple[int, int, int], set[int]] = {}  # lines that a document is the first to have
+        for h, line, i, t in sent.tolist():
+            common.setdefault(h, set()).add(line)
+            own.setdefault((h, i, t), set()).add(line)
         for batch in batches:
             starts, ends, buf = strings_of(batch.column(0).field(place_of_text))
             texts = [bytes(buf[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            known: dict[bytes, tuple[set[int], dict[tuple[int, int], list[int]]]] = {}
             n_removed, left, kept = [], [], []
-            for text, lines, *me in zip(texts, batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                bad: set[int] = set()
-                if lines.is_valid:
-                    line, first, th = (lines.values.field(c).to_numpy() for c in range(3))
-                    key = line.tobytes() + first.tobytes()
-                    if key not in known:
-                        firsts: dict[tuple[int, int], list[int]] = {}
-                        for x, *at in zip(line.tolist(), first.tolist(), th.tolist()):
-                            firsts.setdefault(tuple(at), []).append(x)
-                        known[key] = set(line.tolist()), firsts
-                    bad, firsts = known[key]
-                    if mine := firsts.get(tuple(me)):
-                        bad = bad.difference(mine)
+            for text, lines, *me in zip(texts, batch.column(1), *(batch.column(c).to_pylist() for c in (2, 3, 4))):
+                bad = set(lines.values.to_numpy().tolist()) if lines.is_valid else common.get(me[0], set())
+                if mine := own.get(tuple(me)):
+                    bad = bad - mine
                 split = text.split(b"\n") if bad else [text]
                 stay = [x for x in split if not x.strip() or line_hash(x) not in bad] if bad else split
                 n_removed.append(len(split) - len(stay))

@@ -64,6 +64,18 @@ def test_own_columns_nulls_ties_and_repeats(spark):
     check_bins([(r.doc_id, r.text) for r in out], bins, (512, 1024, 2048, 4096))
 
 
+def test_sequences_hold_their_texts(spark):
+    docs = corpus_pipeline.mixed(spark, SF)
+    words = {}
+    for r in docs.collect():
+        words.setdefault(r.doc_id, r.text.split())
+    out = corpus_pipeline.sequences(spark, SF).collect()
+    assert sum(b.used for b in out) == sum(len(r.text.split()) for r in docs.collect())
+    for b in out:
+        assert len(b.texts) == b.n_items and sum(len(x.split()) for x in b.texts) == b.used
+        assert [" ".join(words[i.doc_id][i.start : i.end]) for i in b["items"]] == list(b.texts)
+
+
 def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
