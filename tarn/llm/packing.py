@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,32 @@ def fitting(used: int, capacities: tuple[int, ...]) -> int:
     return next(c for c in sorted(capacities) if c >= used)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_texts(bins: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """bins with `texts`, the words of each item joined by one space; docs has the columns that were packed and `text_col`."""
+    items = bins.select("bin_id", F.posexplode("items").alias("place", "item")).select("bin_id", "place", F.col("item.h").alias("p_h"), "item.start", "item.end")
+    wanted = items.groupBy("p_h").agg(F.collect_list(F.struct("bin_id", "place", "start", "end")).alias("wanted"))
+    whole = docs.select(F.col(f"`{text_col}`").alias("text"), row_hash(docs.drop(text_col)).alias("h")).dropDuplicates(["h"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, wanted in zip(batch.column(0), batch.column(1)):
+                words = (text.as_py() or "").encode().split()
+                out += [(w["bin_id"], w["place"], b" ".join(words[w["start"] : w["end"]]).decode()) for w in wanted.as_py()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.string()))], ["bin_id", "place", "piece"])
+
+    pieces = whole.join(wanted, F.col("h") == F.col("p_h")).select("text", "wanted").mapInArrow(cut, "bin_id long, place int, piece string")
+    texts = pieces.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("pieces"))
+    return bins.join(texts, "bin_id").select(*bins.columns, F.col("pieces.piece").alias("texts"))
+
+
 def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
-    """Bins of docs: bin_id, capacity, used, n_items, items (doc_id, start, end in words) and doc_ids.
+    """Bins of docs: bin_id, capacity, used, n_items, items (doc_id, h, start, end in words) and doc_ids; h is a hash of the whole row.
 
     Every word of every row is in exactly one item. Rows longer than the largest capacity are
     cut at its multiples; rows without words (null, empty) make one item of no length; rows that
@@ -88,7 +113,7 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tupl
     same in every run. An empty table gives no bins.
     """
     largest, kind = max(capacities), docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.cast("long").alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.cast("long").alias("size"), row_hash(docs).alias("h"))
     base = stage(base.groupBy("doc_id", "size", "h").agg(F.count("*").alias("n")), "pack-items")
     groups = max(1, -(-(base.agg(F.sum("n")).first()[0] or 0) // GROUP))
     base = copies(base, "n").withColumn("group", F.pmod(F.xxhash64("h", "copy"), F.lit(groups))).drop("n", "copy")
@@ -105,9 +130,10 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tupl
         used = [sum(e - s for _, s, e in b) for b in bins]
         flat = [x for b in bins for x in b]
         ids = table.column("doc_id").combine_chunks().take(pa.array([i for i, _, _ in flat], pa.int64()))
-        items = pa.StructArray.from_arrays([ids, pa.array([s for _, s, _ in flat], pa.int64()), pa.array([e for _, _, e in flat], pa.int64())], ["doc_id", "start", "end"])
+        rows = pa.array([i for i, _, _ in flat], pa.int64())
+        items = pa.StructArray.from_arrays([ids, table.column("h").combine_chunks().take(rows), pa.array([s for _, s, _ in flat], pa.int64()), pa.array([e for _, _, e in flat], pa.int64())], ["doc_id", "h", "start", "end"])
         edge = pa.array(np.cumsum([0, *map(len, bins)]), pa.int32())
         number = (int(key[0].as_py()) << 32) + np.arange(len(bins))
         return pa.table({"bin_id": number, "capacity": pa.array([fitting(u, capacities) for u in used], pa.int64()), "used": pa.array(used, pa.int64()), "n_items": pa.array(list(map(len, bins)), pa.int64()), "items": pa.ListArray.from_arrays(edge, items), "doc_ids": pa.ListArray.from_arrays(edge, ids)})
 
-    return base.groupBy("group").applyInArrow(group_bins, f"bin_id long, capacity long, used long, n_items long, items array<struct<doc_id:{kind},start:long,end:long>>, doc_ids array<{kind}>")
+    return base.groupBy("group").applyInArrow(group_bins, f"bin_id long, capacity long, used long, n_items long, items array<struct<doc_id:{kind},h:long,start:long,end:long>>, doc_ids array<{kind}>")
