@@ -56,10 +56,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return replaced(mixing.in_order(mixed), docs, "text")
 
 
+def to_pack(docs: DataFrame) -> DataFrame:
+    """The columns of a document that packing sees."""
+    return docs.select("doc_id", common.word_count(F.col("text")).alias("n_words"), common.text_hash("text").alias("h"), "text")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of permitted lengths, as word ranges of documents with their texts; no sequence has a document twice."""
-    narrow = docs.select("doc_id", common.word_count(F.col("text")).alias("n_words"), common.text_hash("text").alias("h"))
-    return packing.pack(narrow, F.col("n_words"))
+    """Sequences of permitted lengths, as word ranges of documents; no sequence has a document twice."""
+    return packing.pack(to_pack(docs).drop("text"), F.col("n_words"))
 
 
 STAGES = [
@@ -74,11 +78,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of sf_dir, each written and read again before the next."""
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of sf_dir after all stages but packing, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.stage(docs, f"pipeline-{k}")
+    for k, (_, step) in enumerate(STAGES[:-1]):
+        docs = common.stage(step(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents of sf_dir: sequences as word ranges of documents."""
+    return pack_sequences(spark, mixed(spark, sf_dir), sf_dir)
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `run` gives, with the texts of each sequence's items as the stages before have left them."""
+    docs = mixed(spark, sf_dir)
+    bins = common.stage(pack_sequences(spark, docs, sf_dir), "pipeline-bins")
+    return packing.with_texts(bins, to_pack(docs))
