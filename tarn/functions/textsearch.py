@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,14 +23,53 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body refers to it from within its own lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def to_tsvector(text: Column, config: str = "english") -> Column:
-    """map<lexeme, positions from 1>, stop words left out (but counted in positions)."""
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
+    """map<lexeme, positions from 1>, stop words left out (but counted in positions); config `simple` keeps all words as they are.
+
+    Words are sorted once and cut into runs of equal ones.
+    """
     placed = F.transform(words(text), lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))
     if config == "english":
-        placed = F.transform(F.filter(placed, lambda x: ~F.array_contains(stops, x["w"])), lambda x: F.struct(stem(x["w"]).alias("w"), x["p"].alias("p")))
-    lexemes = F.array_sort(F.array_distinct(F.transform(placed, lambda x: x["w"])))
-    return F.map_from_arrays(lexemes, F.transform(lexemes, lambda k: F.transform(F.filter(placed, lambda x: x["w"] == k), lambda x: x["p"])))
+        placed = F.transform(F.filter(placed, lambda x: ~x["w"].isin(STOP_WORDS)), lambda x: F.struct(stem(x["w"]).alias("w"), x["p"].alias("p")))
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+
+        def lexemes(t: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(t, k + 1), F.size(s))
+            return F.map_from_arrays(F.transform(t, lambda i: F.get(s, i)["w"]), F.transform(t, lambda i, k: F.transform(F.slice(s, i + 1, end(k) - i), lambda x: x["p"])))
+
+        return _bound(first, lexemes)
+
+    return F.when(text.isNotNull(), _bound(F.array_sort(placed), runs))
+
+
+def array_to_tsvector(lexemes: Column) -> Column:
+    """A vector of lexemes without positions."""
+    distinct = F.array_sort(F.array_distinct(lexemes))
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda _: F.array().cast("array<int>")))
+
+
+def tsvector_to_array(vector: Column) -> Column:
+    return F.array_sort(F.map_keys(vector))
+
+
+def ts_delete(vector: Column, *lexemes: str) -> Column:
+    return F.map_filter(vector, lambda k, _: ~k.isin(list(lexemes)))
+
+
+def tsvector_concat(a: Column, b: Column) -> Column:
+    """a || b: positions of b follow the last of a."""
+    last = F.coalesce(F.array_max(F.flatten(F.map_values(a))), F.lit(0))
+    moved = F.transform_values(b, lambda _, p: F.transform(p, lambda x: x + last))
+    empty = F.array().cast("array<int>")
+    return F.map_zip_with(a, moved, lambda _, x, y: F.concat(F.coalesce(x, empty), F.coalesce(y, empty)))
 
 
 def _less(i: int):
@@ -62,6 +102,33 @@ class Query:
         found = [p.match(vector) for p in self.parts]
         return ~found[0] if self.kind == "not" else reduce((lambda a, b: a & b) if self.kind == "and" else (lambda a, b: a | b), found, F.lit(self.kind == "and"))
 
+    def replace(self, target: Query, substitute: Query) -> Query:
+        """ts_rewrite: every part that is `target` becomes `substitute`."""
+        if self == target:
+            return substitute
+        return Query(self.kind, *[p.replace(target, substitute) for p in self.parts]) if self.kind in ("and", "or", "not") else self
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Query) and self.kind == other.kind and self.parts == other.parts
+
+    def __hash__(self) -> int:
+        return hash((self.kind, str(self)))
+
+    def __str__(self) -> str:
+        """The query as PostgreSQL writes it (its querytree, as all parts can use an index but negations)."""
+        if self.kind == "word":
+            return f"'{self.parts[0]}'" + ":*" * self.parts[1]
+        if self.kind == "phrase":
+            at, out = self.parts[0][0][0], ""
+            for i, w in self.parts[0]:
+                out += (f" <{i - at}> " if i - at > 1 else " <-> " if out else "") + f"'{w}'"
+                at = i
+            return out
+        if self.kind == "not":
+            return f"!{self.parts[0]}" if self.parts[0].kind == "word" else f"!( {self.parts[0]} )"
+        sign = " & " if self.kind == "and" else " | "
+        return sign.join(f"( {p} )" if p.kind == "or" and self.kind == "and" else str(p) for p in self.parts)
+
     def numnode(self) -> int:
         return 1 if self.kind in ("word", "phrase") else max(0, len(self.parts) - (self.kind != "not")) + sum(p.numnode() for p in self.parts)
 
@@ -78,21 +145,34 @@ def _stem(w: str) -> str:
     return re.sub(r"(?<=[a-z]{3})(?:ing|ed|ly)$", "", w)
 
 
-def _lexemes(text: str) -> list[tuple[int, str]]:
+def _lexemes(text: str, config: str = "english") -> list[tuple[int, str]]:
     found = [w for w in re.split(r"[^\w]+", text.lower()) if w]
+    if config != "english":
+        return list(enumerate(found))
     return [(i, _stem(w)) for i, w in enumerate(found) if w not in STOP_WORDS]
 
 
-def plainto_tsquery(text: str) -> Query:
-    return Query("and", *[Query("word", w, False) for _, w in _lexemes(text)])
+def ts_lexize(word: str, config: str = "english") -> list[str]:
+    """Lexemes of a word: none for a stop word."""
+    return [w for _, w in _lexemes(word, config)]
+
+
+def plainto_tsquery(text: str, config: str = "english") -> Query:
+    return Query("and", *[Query("word", w, False) for _, w in _lexemes(text, config)])
 
 
-def phraseto_tsquery(text: str) -> Query:
-    found = _lexemes(text)
+def phraseto_tsquery(text: str, config: str = "english") -> Query:
+    found = _lexemes(text, config)
     return Query("phrase", [(i - found[0][0], w) for i, w in found]) if found else Query("and")
 
 
-def websearch_to_tsquery(text: str) -> Query:
+def tsquery_phrase(first: Query, second: Query, distance: int = 1) -> Query:
+    """first <distance> second, for words and phrases of words."""
+    a, b = ([(0, q.parts[0])] if q.kind == "word" else list(q.parts[0]) for q in (first, second))
+    return Query("phrase", [*a, *((i + a[-1][0] + distance, w) for i, w in b)])
+
+
+def websearch_to_tsquery(text: str, config: str = "english") -> Query:
     """Words (all), "phrases", or, and -word."""
     either, every = [], []
     for m in re.finditer(r'(-?)(?:"([^"]*)"|(\S+))', text):
@@ -100,14 +180,14 @@ def websearch_to_tsquery(text: str) -> Query:
             either.append(every)
             every = []
             continue
-        q = phraseto_tsquery(m[2]) if m[2] is not None else plainto_tsquery(m[3])
+        q = phraseto_tsquery(m[2], config) if m[2] is not None else plainto_tsquery(m[3], config)
         every.append(~q if m[1] else q)
     return Query("or", *[Query("and", *e) for e in [*either, every] if e])
 
 
-def to_tsquery(text: str) -> Query:
-    """Operators & | ! <-> ( ) and word:*."""
-    tokens = re.findall(r"<->|[&|!()]|[^\s&|!()<>]+", text)
+def to_tsquery(text: str, config: str = "english") -> Query:
+    """Operators & | ! <-> <n> ( ) and word:*."""
+    tokens = re.findall(r"<(?:-|\d+)>|[&|!()]|[^\s&|!()<>]+", text)
 
     def alternatives(i):
         left, i = conjunction(i)
@@ -125,11 +205,11 @@ def to_tsquery(text: str) -> Query:
 
     def phrase(i):
         left, i = unit(i)
-        found = [left]
-        while i < len(tokens) and tokens[i] == "<->":
+        while i < len(tokens) and tokens[i][0] == "<":
+            distance = 1 if tokens[i] == "<->" else int(tokens[i][1:-1])
             right, i = unit(i + 1)
-            found.append(right)
-        return (found[0] if len(found) == 1 else Query("phrase", [(k, q.parts[0]) for k, q in enumerate(found)])), i
+            left = tsquery_phrase(left, right, distance)
+        return left, i
 
     def unit(i):
         if tokens[i] == "!":
@@ -139,15 +219,25 @@ def to_tsquery(text: str) -> Query:
             q, i = alternatives(i + 1)
             return q, i + 1
         word, _, flag = tokens[i].partition(":")
-        return Query("word", _stem(word.lower()), "*" in flag), i + 1
+        return Query("word", _stem(word.lower()) if config == "english" else word.lower(), "*" in flag), i + 1
 
     return alternatives(0)[0]
 
 
-def ts_rank(vector: Column, words_: list[str]) -> Column:
-    """Sum over query lexemes of 1 - 1 / (1 + occurrences), divided by their number."""
-    n = [F.size(F.coalesce(F.try_element_at(vector, F.lit(_stem(w.lower()))), F.array().cast("array<int>"))) for w in words_]
-    return reduce(lambda a, b: a + b, [1 - 1 / (1 + x) for x in n]) / len(words_)
+#: Weight of a position without a label, and the sum of 1 / n^2 over all n (fixed values).
+WEIGHT, ALL_SQUARES = 0.1, 1.64493406685
+
+
+def ts_rank(vector: Column, words_: list[str], config: str = "english") -> Column:
+    """ts_rank of a query that joins words by |: for each the weights of its positions over the squares of their ordinals."""
+
+    def one(w: str) -> Column:
+        held = F.try_element_at(vector, F.lit(_stem(w.lower()) if config == "english" else w.lower()))
+        n = F.coalesce(F.size(held), F.lit(0))
+        squares = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, k: s + 1.0 / (k * k))
+        return squares * WEIGHT / ALL_SQUARES
+
+    return reduce(lambda a, b: a + b, map(one, words_)) / len(words_)
 
 
 def ts_headline(text: Column, words_: list[str], start: str = "<b>", stop: str = "</b>") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def unique_violations(df: DataFrame, keys: list[str], nulls_distinct: bool = True) -> DataFrame:
@@ -38,10 +39,18 @@ def not_null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def exclusion_violations(df: DataFrame, key: str, low: str, high: str, identity: str) -> DataFrame:
-    """Pairs (a, b) of identities with equal key whose [low, high) overlap: EXCLUDE USING gist (key WITH =, range WITH &&)."""
-    a = df.where(F.col(low) < F.col(high)).select(F.col(key).alias("k"), F.col(identity).alias("a"), F.col(low).alias("al"), F.col(high).alias("ah"))
-    b = a.toDF("k", "b", "bl", "bh")
-    return a.join(b, "k").where((F.col("a") < F.col("b")) & (F.col("al") < F.col("bh")) & (F.col("bl") < F.col("ah"))).select("a", "b")
+    """Pairs (a, b) of identities with equal key whose [low, high) overlap: EXCLUDE USING gist (key WITH =, range WITH &&).
+
+    Rows meet by cells as wide as the longest range, so two that overlap begin in the same cell or in neighbouring
+    ones: a key with many rows is compared cell by cell, not each with all. Bounds are numbers, dates or timestamps.
+    """
+    number = (lambda c: F.col(c).cast("double")) if isinstance(df.schema[low].dataType, NumericType) else (lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double"))
+    rows = df.where(F.col(low) < F.col(high)).select(F.col(key).alias("k"), F.col(identity).alias("a"), F.col(low).alias("al"), F.col(high).alias("ah"), number(low).alias("at"), number(high).alias("until"))
+    width = rows.agg(F.max(F.col("until") - F.col("at"))).first()[0] or 1.0
+    cell = F.floor(F.col("at") / F.lit(float(width)))
+    a = rows.select("k", "a", "al", "ah", cell.alias("cell"))
+    b = rows.select("k", F.col("a").alias("b"), F.col("al").alias("bl"), F.col("ah").alias("bh"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    return a.join(b, ["k", "cell"]).where((F.col("a") < F.col("b")) & (F.col("al") < F.col("bh")) & (F.col("bl") < F.col("ah"))).select("a", "b")
 
 
 def route_range(value: Column, bounds: list[tuple[str, object, object]], default: str | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +78,27 @@ def lateral_top_n(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
     return left.join(best, cond, "left" if outer else "inner")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, take: list[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, take: list[str], cell: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the columns `take` of the last right row of the same key at or before its time (null if none).
 
-    One shuffle on the key and a running last value over both sides together, instead of a range join.
+    One shuffle and a running last value over both sides together, instead of a range join. `cell` cuts a key's
+    time into ordered stretches (lambda t: F.date_trunc("day", t)), each a task's work by itself, to which
+    the last row of the stretches before is handed on: no key is one task.
     """
     pick = F.struct(F.col(right_time), *[F.col(c) for c in take])
-    r = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("__t__"), F.lit(0).alias("__side__"), pick.alias("__right__"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("__left__"))
+    r = right.na.drop(subset=[*by, right_time]).select(*by, F.col(right_time).alias("__t__"), F.lit(0).alias("__side__"), pick.alias("__right__"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("__left__"))
     lf = left.select(*by, F.col(left_time).alias("__t__"), F.lit(1).alias("__side__"), F.lit(None).cast(r.schema["__right__"].dataType).alias("__right__"), F.struct("*").alias("__left__"))
-    w = Window.partitionBy(*by).orderBy(F.col("__t__").asc_nulls_first(), "__side__").rowsBetween(Window.unboundedPreceding, 0)
-    out = r.unionByName(lf).withColumn("__right__", F.last("__right__", ignorenulls=True).over(w)).where(F.col("__side__") == 1)
+    both = r.unionByName(lf).withColumn("__cell__", cell(F.col("__t__")) if cell else F.lit(0))
+    keys = [*by, "__cell__"]
+    w = Window.partitionBy(*keys).orderBy(F.col("__t__").asc_nulls_first(), "__side__").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__right__", F.last("__right__", ignorenulls=True).over(w)).where(F.col("__side__") == 1)
+    if cell:
+        ends = both.groupBy(*keys).agg(F.max_by("__right__", F.when(F.col("__side__") == 0, F.col("__t__"))).alias("__end__"))
+        before = Window.partitionBy(*by).orderBy(F.col("__cell__").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("__end__", F.last("__end__", ignorenulls=True).over(before)).where("__end__ is not null")
+        ends = ends.select(*[F.col(k).alias(f"__e{i}__") for i, k in enumerate(keys)], "__end__")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__e{i}__")) for i, k in enumerate(keys)])
+        out = out.join(ends, same, "left").withColumn("__right__", F.when(F.col("__t__").isNotNull(), F.coalesce("__right__", "__end__")))
     return out.select("__left__.*", F.col(f"__right__.{right_time}").alias(f"asof_{right_time}"), *[F.col(f"__right__.{c}").alias(c) for c in take])
 
 

@@ -101,7 +101,7 @@ def _(t: Tables) -> DataFrame:
 @query("join_asof", """SELECT e.event_id, p.event_id AS last_purchase FROM {events} e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM {events} WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def _(t: Tables) -> DataFrame:
     bought = t.events.where("event_type = 'purchase'").selectExpr("user_id", "ts p_ts", "event_id last_purchase")
-    return joins.asof(t.events, bought, ["user_id"], "ts", "p_ts", ["last_purchase"]).select("event_id", "last_purchase")
+    return joins.asof(t.events, bought, ["user_id"], "ts", "p_ts", ["last_purchase"], cell=lambda at: F.date_trunc("day", at)).select("event_id", "last_purchase")
 
 
 @query("join_range", "SELECT o_orderkey, band FROM {orders} JOIN (VALUES ('a', 0, 90000), ('b', 80000, 200000), ('c', 200000, 1000000)) AS s(band, low, high) ON o_totalprice >= low AND o_totalprice < high")
@@ -518,22 +518,33 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", ranges.contains(ranges.make(F.lit(5), F.lit(20)), s).alias("inside"), ranges.overlaps(r, ranges.make(F.lit(20), F.lit(30))).alias("over"), ranges.text(r).alias("r"))
 
 
-@query("fn_trigram", "SELECT n_nationkey, levenshtein(n_name, 'NATION_1') AS d FROM {nation}")
+_WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_RANK = "list_sum(list_transform(range(1, len(list_filter(w, lambda x: x = '{0}')) + 1), lambda j: 0.1 / (j * j * 1.64493406685)))"
+
+
+@query("fn_text_search", f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM {{documents}}), j AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d)
+SELECT doc_id, CAST(len(list_distinct(w)) AS INTEGER) AS n, list_contains(w, 'the') OR (list_contains(w, 'der') AND NOT list_contains(w, 'die')) AS hit, len(list_filter(w, lambda x: starts_with(x, 'qu'))) > 0 AS prefix, contains(t, ' of the ') AS phrase,
+round((coalesce({_RANK.format('the')}, 0) + coalesce({_RANK.format('de')}, 0)) / 2, 8) AS rank FROM j""")
 def _(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", F.levenshtein("n_name", F.lit("NATION_1")).cast("long").alias("d"))
+    q = textsearch.to_tsquery("the | (der & !die)", "simple")
+    docs = t.documents.select("doc_id", textsearch.to_tsvector(F.col("text"), "simple").alias("v"))
+    v = F.col("v")
+    return docs.select("doc_id", F.size(textsearch.tsvector_to_array(v)).alias("n"), q.match(v).alias("hit"), textsearch.to_tsquery("qu:*", "simple").match(v).alias("prefix"), textsearch.phraseto_tsquery("of the", "simple").match(v).alias("phrase"), F.round(textsearch.ts_rank(v, ["the", "de"], "simple"), 8).alias("rank"))
 
 
-@query("fn_similarity")
+@query("fn_text_query", f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM {{documents}}), j AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d)
+SELECT doc_id, list_contains(w, 'the') AND list_contains(w, 'and') AS plain, (contains(t, ' in the ') AND NOT list_contains(w, 'de')) OR list_contains(w, 'und') AS web, regexp_matches(t, ' the [^ ]+ of ') AS two, len(list_distinct(list_filter(w, lambda x: x NOT IN ('the', 'of')))) AS left_ FROM j""")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.round(string.similarity(F.col("p_name"), F.col("p_type")), 6).alias("s"))
+    v = F.col("v")
+    docs = t.documents.select("doc_id", textsearch.to_tsvector(F.col("text"), "simple").alias("v"))
+    plain, web, two = textsearch.plainto_tsquery("the and", "simple"), textsearch.websearch_to_tsquery('"in the" -de or und', "simple"), textsearch.to_tsquery("the <2> of", "simple")
+    return docs.select("doc_id", plain.match(v).alias("plain"), web.match(v).alias("web"), two.match(v).alias("two"), F.size(textsearch.ts_delete(v, "the", "of")).cast("long").alias("left_"))
 
 
-@query("fn_text_search")
+@query("ts_stat", f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM {{documents}}) SELECT word, count(DISTINCT doc_id) AS ndoc, count(*) AS nentry FROM w GROUP BY word")
 def _(t: Tables) -> DataFrame:
-    vector = textsearch.to_tsvector(F.col("text"))
-    docs = t.benchmark.select("item_id", vector.alias("v"))
-    q = textsearch.to_tsquery("the | (and & !of)") | textsearch.websearch_to_tsquery('en "der die" -que')
-    return docs.where(q.match(F.col("v"))).select("item_id", F.round(textsearch.ts_rank(F.col("v"), ["reaction", "ing"]), 6).alias("rank"))
+    docs = t.documents.select(textsearch.to_tsvector(F.col("text"), "simple").alias("v"))
+    return docs.select(textsearch.ts_stat(F.col("v")).alias("word", "at")).groupBy("word").agg(F.count("*").alias("ndoc"), F.sum(F.size("at")).alias("nentry"))
 
 
 @query("fn_geometry", "SELECT p_partkey, round(sqrt(p_size * p_size + 16), 8) AS d, CAST(p_size * 4 AS DOUBLE) AS area, p_size <= 10 AS inside FROM {part}")

@@ -41,6 +41,30 @@ def test_joins_with_nulls(spark):
     left = frame(spark, [("k", 5, "a"), ("k", 1, "b"), ("z", 9, "c")], "k string, t int, n string")
     right = frame(spark, [("k", 2, 10), ("k", 5, 20), ("k", None, 30)], "k string, at int, v int")
     assert sorted((r.n, r.v) for r in joins.asof(left, right, ["k"], "t", "at", ["v"]).collect()) == [("a", 20), ("b", None), ("c", None)]
+    left = frame(spark, [("k" if i % 3 else None, (i * 37) % 101, i) for i in range(90)] + [("k", None, 99)], "k string, t int, i int")
+    right = frame(spark, [("k" if i % 4 else None, (i * 53) % 103, i) for i in range(30)], "k string, at int, v int")
+    plain, cut = (sorted(map(repr, joins.asof(left, right, ["k"], "t", "at", ["v"], cell=c).collect())) for c in (None, lambda t: F.floor(t / 10)))
+    assert plain == cut and len(cut) == 91
+
+
+def test_quantified_comparisons_with_nulls(spark):
+    rows = frame(spark, [(1,), (2,), (5,), (None,)], "x int")
+    want = lambda op, how, members: [{"any": any, "all": all}[how](a) if None not in a or ({"any": True, "all": False}[how] in a) else None for a in ([None if x is None or m is None else eval(f"{x} {op} {m}") for m in members] for x in (1, 2, 5, None))]
+    for members in ([2], [1, 2], [None, 2], [], [None]):
+        sub = frame(spark, [(m,) for m in members], "m int")
+        for op in ("=", "<>", "<", "<=", ">", ">="):
+            for how in ("any", "all"):
+                got = {r.x: r.q for r in joins.quantified(rows, "x", op, how, sub, "m", "q").collect()}
+                assert [got[x] for x in (1, 2, 5, None)] == want({"=": "==", "<>": "!="}.get(op, op), how, members), (op, how, members)
+
+
+def test_exclusion_against_all_pairs(spark):
+    from tarn.operators import constraints
+
+    rows = [(i, i % 2, (i * 37) % 100, (i * 37) % 100 + i % 7) for i in range(80)]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3] and a[2] < a[3] and b[2] < b[3])
+    out = constraints.exclusion_violations(frame(spark, rows, "id int, k int, lo int, hi int"), "k", "lo", "hi", "id")
+    assert sorted(map(tuple, out.collect())) == want
 
 
 def test_aggregates(spark):
@@ -215,7 +239,13 @@ def test_text_search(spark):
     assert ids(textsearch.to_tsquery("fo:*")) == [1, 2]
     assert ids(textsearch.phraseto_tsquery("quick brown")) == [1] and ids(textsearch.to_tsquery("brown <-> quick")) == []
     assert ids(textsearch.websearch_to_tsquery('"lazy dog" or jumps -fox')) == [2]
-    assert textsearch.to_tsquery("a1 & (b1 | !c1)").numnode() == 6
+    q = textsearch.to_tsquery("a1 & (b1 | !c1)")
+    assert q.numnode() == 6 and str(q) == "'a1' & ( 'b1' | !'c1' )"
+    assert str(q.replace(textsearch.to_tsquery("b1"), textsearch.to_tsquery("x <2> y"))) == "'a1' & ( 'x' <2> 'y' | !'c1' )"
+    assert ids(textsearch.to_tsquery("quick <2> foxes")) == [1] and ids(textsearch.to_tsquery("quick <3> foxes")) == []
+    assert textsearch.ts_lexize("foxes") == ["fox"] and textsearch.ts_lexize("the") == []
+    both = docs.where("id = 1").select(textsearch.tsvector_concat(F.col("v"), textsearch.array_to_tsvector(F.array(F.lit("new"))))).first()[0]
+    assert both["jump"] == [5] and both["new"] == []
 
 
 def test_copy_round_trip(spark, tmp_path):
