@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tarn.plans import catalog, scalars  # noqa: F401  scalars registers its queries
+from tarn.plans import catalog, definitions, scalars  # noqa: F401  these register their queries
 from tarn.session import TABLES
 
 SF = "/root/testdata/sf0.01"

@@ -271,3 +271,54 @@ def test_stream_matches_batch(spark, tmp_path):
     run.awaitTermination(120)
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, plan(events).collect()))
     assert event_time.session(events, "ts", "2 hours", ["user_id"], F.count("*").alias("n")).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_definitions(spark):
+    from tarn.operators import ddl
+
+    mood = ddl.Enum("mood", ("sad", "ok", "happy"))
+    assert one(spark, mood.compare(F.lit("sad"), F.lit("happy"))) == -1 and one(spark, mood.range("ok")) == ["ok", "happy"]
+    assert mood.added("fine", before="happy").labels == ("sad", "ok", "fine", "happy") and mood.renamed("ok", "fair").labels == ("sad", "fair", "happy")
+    with pytest.raises(Exception, match="invalid input value for enum"):
+        one(spark, mood.cast(F.lit("angry")))
+    positive = ddl.Domain("positive", "int", lambda v: v > 0)
+    assert one(spark, positive.cast(F.lit("7"))) == 7 and one(spark, positive.cast(F.lit(None).cast("string"))) is None
+    with pytest.raises(Exception, match="violates a constraint"):
+        one(spark, positive.cast(F.lit(-1)))
+    df = frame(spark, [(1, "a"), (1, "a"), (None, "b")], "k int, v string")
+    assert sorted(r.i for r in ddl.identity(df, "i", 10, -2).collect()) == [6, 8, 10]
+    child = frame(spark, [(1, 1), (2, 2), (3, None)], "id int, p int")
+    parent = frame(spark, [(1,), (2,)], "k int")
+    with pytest.raises(Exception, match="foreign key"):
+        ddl.delete_cascading(parent, child, [("k", "p")], F.col("k") == 1, "restrict")[1].collect()
+    assert sorted((r.id, r.p) for r in ddl.delete_cascading(parent, child, [("k", "p")], F.col("k") == 1)[1].collect()) == [(2, 2), (3, None)]
+
+
+def test_json_paths():
+    from tarn.functions import jsonpath
+
+    doc = {"a": [1, 2, {"b": "x"}], "s": "abc", "n": None, "t": True}
+    for path, want in [
+        ("$.a[*]", [1, 2, {"b": "x"}]),
+        ("$.a[last].b", ["x"]),
+        ("$.a[0 to 1]", [1, 2]),
+        ("$.a.b", ["x"]),
+        ("$.a ? (@ > 1)", [2]),
+        ("$.a[*] ? (@ > 1 || @ < 0)", [2]),
+        ("$.** ? (@.b == \"x\").b", ["x", "x"]),
+        ("$.a.size()", [3]),
+        ("$.*.type()", ["array", "string", "null", "boolean"]),
+        ("$.a[0] + $.a[1] * 2", [5]),
+        ("-$.a[0]", [-1]),
+        ("$.s starts with \"ab\"", [True]),
+        ("$.s like_regex \"^A\" flag \"i\"", [True]),
+        ("$.missing", []),
+        ("$.n == null", [True]),
+        ("exists($.a ? (@ == 9))", [False]),
+        ("$.a[*] ? (@ == $x)", [2]),
+        ("!($.t == true)", [False]),
+        ("$.s > 1", [None]),
+    ]:
+        assert jsonpath.select(doc, path, {"x": 2}) == want, path
+    with pytest.raises(jsonpath.PathError):
+        jsonpath.select(doc, "$.a[")
