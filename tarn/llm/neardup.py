@@ -225,8 +225,8 @@ def links(base: DataFrame, rows: DataFrame, words: int, similarity: Fraction, sc
     index = scratch.stage(index.join(maybe_broadcast(apart), ["part", "key"], "left_semi"), "near-apart")
     # a row without any candidate in its crowded buckets has no set, and no pair either
     bits = nodes.select("node", F.unhex(F.array_join(F.transform("fps", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("bits"))
-    index = index.join(bits, "node").join(sets, "node")
-    return first.unionByName(joined_in_place(simhash.dealt(index, [*PAYLOAD, "c", "bits", "s"]), plans, similarity))
+    wide = scratch.stage(bits.join(sets, "node"), "near-wide")
+    return first.unionByName(joined_in_place(simhash.dealt(index.join(wide, "node"), [*PAYLOAD, "c", "bits", "s"], index), plans, similarity))
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: Fraction) -> DataFrame:

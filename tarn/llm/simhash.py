@@ -231,13 +231,13 @@ def indexed(nodes: DataFrame, plans: list[list[tuple[list[int], int]]], payload:
     return nodes.select(F.inline(F.transform(F.array(*entries), entry)), *payload)
 
 
-def dealt(rows: DataFrame, payload: list[str]) -> DataFrame:
-    """indexed rows, dealt out by bucket and sorted, index rows before those that ask.
+def dealt(rows: DataFrame, payload: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """indexed rows, dealt out by bucket and sorted, index rows before those that ask; counted: rows to count instead where these take joins to make.
 
     A bucket over BLOCK index rows is dealt out: these to blocks by hash of the first column of payload, and
     all that ask, index rows among them, to every block.
     """
-    held = rows.where("not probe").groupBy("part", "key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
+    held = (rows if counted is None else counted).where("not probe").groupBy("part", "key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
     held = maybe_broadcast(held.select(F.col("part").alias("p"), F.col("key").alias("k"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")))
     rows = rows.join(held, (F.col("part") == F.col("p")) & (F.col("key") == F.col("k")), "left")
     own = F.pmod(F.xxhash64(payload[0]), F.col("blocks")).cast("int")
