@@ -359,7 +359,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             counts = np.concatenate((nx, ny)).astype(np.int64)
         some = np.flatnonzero(counts)
         none = lambda n: pa.nulls(n, pa.int64())
-        return pa.table({"id": pa.concat_arrays([pa.array(names[some]), none(len(u))]), "links": pa.concat_arrays([pa.array(counts[some]), none(len(u))]), "u": pa.concat_arrays([none(len(some)), pa.array(names[u])]), "v": pa.concat_arrays([none(len(some)), pa.array(names[v])])})
+        counted, linked = (pa.array(names[some]), pa.array(counts[some])), (pa.array(names[u]), pa.array(names[v]))
+        columns = [*(pa.concat_arrays([x, none(len(u))]) for x in counted), *(pa.concat_arrays([none(len(some)), x]) for x in linked)]
+        return pa.table(columns, names=["id", "links", "u", "v"])
 
     found = stage(one.unionByName(two).groupBy("a", "b").applyInArrow(traverse, "id long, links long, u long, v long"), "links")
     links = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))

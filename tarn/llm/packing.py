@@ -134,6 +134,15 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", capacities: tupl
         items = pa.StructArray.from_arrays([ids, table.column("h").combine_chunks().take(rows), pa.array([s for _, s, _ in flat], pa.int64()), pa.array([e for _, _, e in flat], pa.int64())], ["doc_id", "h", "start", "end"])
         edge = pa.array(np.cumsum([0, *map(len, bins)]), pa.int32())
         number = (int(key[0].as_py()) << 32) + np.arange(len(bins))
-        return pa.table({"bin_id": number, "capacity": pa.array([fitting(u, capacities) for u in used], pa.int64()), "used": pa.array(used, pa.int64()), "n_items": pa.array(list(map(len, bins)), pa.int64()), "items": pa.ListArray.from_arrays(edge, items), "doc_ids": pa.ListArray.from_arrays(edge, ids)})
+        return pa.table(
+            {
+                "bin_id": number,
+                "capacity": pa.array([fitting(u, capacities) for u in used], pa.int64()),
+                "used": pa.array(used, pa.int64()),
+                "n_items": pa.array(list(map(len, bins)), pa.int64()),
+                "items": pa.ListArray.from_arrays(edge, items),
+                "doc_ids": pa.ListArray.from_arrays(edge, ids),
+            }
+        )
 
     return base.groupBy("group").applyInArrow(group_bins, f"bin_id long, capacity long, used long, n_items long, items array<struct<doc_id:{kind},h:long,start:long,end:long>>, doc_ids array<{kind}>")

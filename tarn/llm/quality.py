@@ -166,7 +166,9 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_
             left = np.array(left, np.int64)
             failed = (c[:, 0] < 20) | (100 * c[:, 4] > 30 * c[:, 0])
             fine = ~failed & (left >= WORDS_LEFT) & (left >= SHARE_LEFT * c[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[:, k].copy()) for k in range(len(COUNTS))), pa.array(failed), pa.array(fine), pa.array(n_removed, pa.int64()), pa.array(left), pa.array(kept, pa.binary())], ["row", *COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_left", "kept_text"])
+            made = [pa.array(failed), pa.array(fine), pa.array(n_removed, pa.int64()), pa.array(left), pa.array(kept, pa.binary())]
+            names = ["row", *COUNTS, "base_failed", "kept", "n_lines_removed", "n_words_left", "kept_text"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[:, k].copy()) for k in range(len(COUNTS))), *made], names)
 
     row = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(apply, f"row {row}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, n_lines_removed long, n_words_left long, kept_text binary")

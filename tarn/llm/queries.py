@@ -66,7 +66,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_substring": op3_substring, "op4_suffix": op4_suffix, "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_pack": op7_pack, "op8_covertree": op8_covertree, "op9_extract": op9_extract, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mix, op2_simhash, op3_substring, op4_suffix, op5_shard, op6_quality, op7_pack, op8_covertree, op9_extract, op10_warc)
+}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 

@@ -83,7 +83,8 @@ def positions(docs: DataFrame, rule: Rule) -> DataFrame:
             def flush(found=found, batch=batch):
                 text, first, n, minimiser, digest = (np.concatenate(x) for x in zip(*found))
                 at = pa.array(text)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(minimiser, pa.int64()), pa.array(digest, pa.int64())], ["id", "th", "first", "n", "minimiser", "digest"])
+                found_at = [pa.array(x, pa.int64()) for x in (first, n, minimiser, digest)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *found_at], ["id", "th", "first", "n", "minimiser", "digest"])
 
             for text, first, n, minimiser, digest in windows.superkmers(texts, window, gram, words):
                 found.append((np.full(len(first), text), first, n, minimiser, digest))
@@ -253,7 +254,9 @@ def by_window(found: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
                 of, off, n, texts, cores = zip(*out)
                 h, c = (np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, x)), np.int64).reshape(-1, 2) for x in (texts, cores))
                 at = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(1, 5)), pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], ["h1", "h2", "off", "minimiser", "digest", "low", "count", "n", "string", "c1", "c2"])
+                own = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(off, pa.int64()), *(batch.column(c).take(at) for c in range(1, 5))]
+                own += [pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(own, ["h1", "h2", "off", "minimiser", "digest", "low", "count", "n", "string", "c1", "c2"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
