@@ -26,14 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: With this a query's shuffle files go when it has ended, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet and read it back. Nothing else uses the plan that writes, so its shuffle files go at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarn-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return written(df, f"{shared_dir(df.sparkSession)}/tarn-{tag}-{uuid.uuid4().hex}")
+
+
 class Scratch:
     """Staged tables that only steps up to `drop` read; their files go then."""
 
@@ -43,8 +59,7 @@ class Scratch:
     def stage(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/tarn-{tag}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, path)
 
     def drop(self) -> None:
         conf = self.spark._jsc.hadoopConfiguration()
