@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: English stop words (fixed values).
@@ -23,6 +23,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
+def lexemes(text: Column, config: str = "english") -> Column:
+    """Lexemes in the order of the text, repeats included."""
+    return F.transform(F.filter(words(text), lambda w: ~w.isin(STOP_WORDS)), stem) if config == "english" else words(text)
+
+
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once, however often body refers to it from within its own lambdas."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -47,7 +52,8 @@ def to_tsvector(text: Column, config: str = "english") -> Column:
 
         return _bound(first, lexemes)
 
-    return F.when(text.isNotNull(), _bound(F.array_sort(placed), runs))
+    # sort_array compares by Spark's own ordering, array_sort by a lambda that is interpreted for each pair
+    return F.when(text.isNotNull(), _bound(F.sort_array(placed), runs))
 
 
 def array_to_tsvector(lexemes: Column) -> Column:
@@ -252,3 +258,10 @@ def strip(vector: Column) -> Column:
 def ts_stat(vectors: Column) -> Column:
     """Rows (word, positions) of a vector; group by word for ndoc and nentry."""
     return F.explode(vectors)
+
+
+def ts_stat_texts(texts: DataFrame, text: str, config: str = "english") -> DataFrame:
+    """ts_stat over to_tsvector(text): word, ndoc, nentry. No vectors are built: all lexemes and the distinct ones of each text are counted in one aggregate."""
+    lists = F.array(F.struct(F.lit(False).alias("once"), F.col("w").alias("words")), F.struct(F.lit(True).alias("once"), F.array_distinct("w").alias("words")))
+    each = texts.select(lexemes(F.col(text), config).alias("w")).select(F.explode(lists).alias("x")).select("x.once", F.explode("x.words").alias("word"))
+    return each.groupBy("word").agg(F.count_if("once").alias("ndoc"), F.count_if(~F.col("once")).alias("nentry"))

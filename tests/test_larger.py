@@ -1,7 +1,9 @@
 """Registered queries on tables beyond the driver's, against their SQL in DuckDB."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tarn.functions import textsearch
 from tarn.plans import catalog
 
 
@@ -20,3 +22,16 @@ def against_sql(spark, folder, name, **tables):
 def test_networks_of_keys_over_two_octets(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "fn_network", part="SELECT k AS p_partkey FROM range(1, 140000, 97) AS t(k)")
     assert len(want) == 1444 and got == want
+
+
+def test_word_statistics_split_each_text_once(spark, tmp_path):
+    documents = "SELECT k AS doc_id, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN ' .. ' ELSE repeat('The cats, the CAT ' || k % 5 || ' ', 1 + k % 3) || k END AS text FROM range(200) AS t(k)"
+    got, want = against_sql(spark, tmp_path, "ts_stat", documents=documents)
+    assert got == want
+    plan = catalog.QUERIES["ts_stat"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "array_sort(" not in plan
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for config in ("simple", "english"):
+        vectors = docs.select(textsearch.ts_stat(textsearch.to_tsvector(F.col("text"), config)).alias("word", "at"))
+        by_vector = vectors.groupBy("word").agg(F.count("*").alias("ndoc"), F.sum(F.size("at")).alias("nentry"))
+        assert sorted(map(tuple, textsearch.ts_stat_texts(docs, "text", config).collect())) == sorted(map(tuple, by_vector.collect()))
