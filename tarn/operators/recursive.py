@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 10_000
 #: Rounds that stay tables by themselves before they are put together.
 ROUNDS_APART = 16
+#: Rows (of fixed-width columns) up to which a round, or all that was seen, is sent to the other side of its join.
+BROADCAST_ROWS = 1_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -28,25 +30,35 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast if df, known to have `rows` rows, is small; else its joins shuffle both sides."""
+    narrow = not any("<" in kind or kind in ("string", "binary", "variant") for _, kind in df.dtypes)
+    return F.broadcast(df) if narrow and rows <= BROADCAST_ROWS else df
+
+
 def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True) -> DataFrame:
     """seed UNION [ALL] step(new rows), until a round brings none.
 
     With `distinct`, a round keeps only rows not seen before, so cycles end; the rounds are as
-    many as the longest shortest path.
+    many as the longest shortest path. What `step` joins to is read in each round, but shuffled
+    only in rounds of over BROADCAST_ROWS rows.
     """
     columns = seed.columns
     new = _cut(seed.distinct() if distinct else seed)
-    rounds = [new]
+    rounds, n = [new], new.count()
+    n_seen = n
     for _ in range(MAX_ROUNDS):
         seen = reduce(DataFrame.unionByName, rounds)
-        more = step(new).toDF(*columns)
+        more = step(_sent(new, n)).toDF(*columns)
         if distinct:
             more = more.distinct()
             same = [more[c].eqNullSafe(seen[c]) for c in columns]
-            more = more.join(seen, same, "left_anti")
+            more = more.join(_sent(seen, n_seen), same, "left_anti")
         new = _cut(more)
-        if new.isEmpty():
+        n = new.count()
+        if not n:
             return seen
+        n_seen += n
         rounds.append(new)
         if len(rounds) > ROUNDS_APART:  # what was seen is written again only now and then
             rounds = [_cut(reduce(DataFrame.unionByName, rounds))]
